@@ -1,0 +1 @@
+"""Registered request queries."""

@@ -150,3 +150,69 @@ SELECT model, pass_at_1, pass_at_5, pass_at_10, CAST(rank() OVER (ORDER BY pass_
 FROM board""", (_board_sql(),)))
 def q_leaderboard(spark, d):
     return _board(spark, d).select("model", "pass_at_1", "pass_at_5", "pass_at_10", "rank")
+
+
+@register("leaderboard_categories", with_views(["attempts"], """
+SELECT category, CAST(count(*) AS BIGINT) AS models, grouping(category) = 1 AS is_total
+FROM (SELECT DISTINCT model, category FROM attempts)
+GROUP BY ROLLUP (category)"""))
+def q_leaderboard_categories(spark, d):
+    return S.leaderboard_categories(_board(spark, d), "category")
+
+
+@register("leaderboard_best", with_views(["attempts"], """
+SELECT metric, model, value FROM (
+  SELECT metric, model, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS rn
+  FROM (SELECT model, 'pass_at_1' AS metric, pass_at_1 AS value FROM board
+        UNION ALL SELECT model, 'pass_at_5', pass_at_5 FROM board
+        UNION ALL SELECT model, 'pass_at_10', pass_at_10 FROM board)
+  WHERE value IS NOT NULL)
+WHERE rn = 1""", (_board_sql(),)))
+def q_leaderboard_best(spark, d):
+    return S.leaderboard_best(_board(spark, d), "model")
+
+
+@register("wilson_interval", with_views(["attempts"], """
+SELECT model, total_solutions, passed_solutions, total_problems,
+       round(pass_rate, 9) AS pass_rate,
+       round(centre - half, 9) AS wilson_low, round(centre + half, 9) AS wilson_high,
+       round(half, 9) AS half_width, half <= 0.03 AS within_target
+FROM (SELECT *, (p + z2 / (2 * n)) / (1 + z2 / n) AS centre,
+             1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n) AS half
+      FROM (SELECT model, CAST(count(*) AS BIGINT) AS total_solutions,
+                   CAST(count_if(passed) AS BIGINT) AS passed_solutions,
+                   count(DISTINCT task_id) AS total_problems,
+                   count_if(passed) / count(*) AS pass_rate,
+                   count_if(passed) / count(*) AS p, CAST(count(*) AS DOUBLE) AS n, 1.96 * 1.96 AS z2
+            FROM attempts GROUP BY model))"""))
+def q_wilson_interval(spark, d):
+    w = S.wilson_interval(V.attempt_counts(spark, d).drop("category"), ["model"])
+    for c in ("pass_rate", "wilson_low", "wilson_high", "half_width"):
+        w = w.withColumn(c, r(c))
+    return w
+
+
+@register("submission_check", with_views(["attempts"], """
+SELECT model, min_samples, problems, len(reasons) = 0 AS accepted, array_to_string(reasons, '; ') AS reasons
+FROM (SELECT model, min(num_samples) AS min_samples, count(*) AS problems,
+             list_filter([CASE WHEN min(num_samples) < 50
+                               THEN printf('fewer than 50 samples for some problem (min %d)', min(num_samples)) END,
+                          CASE WHEN count(*) < 164 THEN printf('%d of 164 problems attempted', count(*)) END],
+                         lambda x: x IS NOT NULL) AS reasons
+      FROM (SELECT model, task_id, count(*) AS num_samples FROM attempts GROUP BY model, task_id)
+      GROUP BY model)"""))
+def q_submission_check(spark, d):
+    return S.submission_check(V.attempt_counts(spark, d), "model", expected_problems=V.N_TASKS_ATTEMPTS)
+
+
+@register("card_reconcile", with_views(["attempts"], f"""
+SELECT model, min_n, max_n, round(pass_at_1, 9) AS pass_at_1, round(pass_rate, 9) AS pass_rate,
+       min_n = max_n AS uniform_n, NOT (min_n = max_n) OR abs(pass_at_1 - pass_rate) < 1e-9 AS reconciles
+FROM (SELECT model, min(num_samples) AS min_n, max(num_samples) AS max_n,
+             avg({sql_pass_at_k('num_samples', 'num_correct', '1')}) AS pass_at_1,
+             sum(num_correct) / sum(num_samples) AS pass_rate
+      FROM {_ATTEMPT_COUNTS} GROUP BY model)"""))
+def q_card_reconcile(spark, d):
+    out = S.card_reconcile(V.attempt_counts(spark, d), "model")
+    return out.withColumn("pass_at_1", r("pass_at_1")).withColumn("pass_rate", r("pass_rate"))
+

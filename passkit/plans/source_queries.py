@@ -1 +1,186 @@
-"""Registered source queries."""
+"""Registered source/sink queries.
+
+Each one first writes a dataset that Spark derives from the test-bed
+tables into the shared folder (``spark.checkpoint.dir``), then reads it
+back through the library's readers; the oracle computes the expected rows
+straight from the tables, so a lossless round trip is what is checked.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from passkit.operators import scoring as S
+from passkit.plans import views as V
+from passkit.plans.oracle_views import with_views
+from passkit.plans.registry import register
+from passkit.session import shared_dir
+from passkit.sources import catalog as C
+from passkit.sources import jsonl as J
+from passkit.sources.tables import table
+
+
+def derived_dir(spark, sf_dir: str, name: str) -> str:
+    tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.strip("/"))
+    return os.path.join(shared_dir(spark), "passkit_derived", tag, name)
+
+
+def _write_problems(spark, d):
+    """V1 as a problems file (one part, in item order); every 7th item lacks its task_id."""
+    p = V.problems(spark, d)
+    p = p.withColumn("task_id", F.when(F.col("item_id") % 7 == 3, F.lit(None)).otherwise(F.col("task_id")))
+    path = derived_dir(spark, d, "problems.jsonl")
+    J.write_jsonl(p.orderBy("item_id").coalesce(1)
+                  .select("task_id", "prompt", "q_tests", "entry_point", "test_setup_code", "canonical_solution"),
+                  path, mode="overwrite")
+    return path
+
+
+@register("read_problems", """
+SELECT CASE WHEN item_id % 7 = 3 THEN 'task_' || CAST(row_number() OVER (ORDER BY item_id) - 1 AS VARCHAR)
+            ELSE CAST(item_id AS VARCHAR) END AS task_id,
+       CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS pos,
+       text AS prompt, 'f' || CAST(item_id AS VARCHAR) AS entry_point
+FROM benchmark""")
+def q_read_problems(spark, d):
+    df = J.read_problems(spark, _write_problems(spark, d))
+    return df.select("task_id", F.col("pos").cast("int"), "prompt", "entry_point")
+
+
+@register("read_solutions", with_views(["completions"], """
+SELECT task_id, sample_index, model_name, completion FROM completions"""))
+def q_read_solutions(spark, d):
+    """V4 written as solutions; shape-3 rows use the legacy ``extracted_code`` field."""
+    c = V.completions(spark, d)
+    legacy = F.col("turn") % 4 == 3
+    out = c.select("task_id", "sample_index", "model_name",
+                   F.when(~legacy, F.col("completion")).alias("completion"),
+                   F.when(legacy, F.col("completion")).alias("extracted_code"),
+                   F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("generated_at"))
+    path = derived_dir(spark, d, "solutions.jsonl")
+    J.write_jsonl(out, path, mode="overwrite")
+    return J.read_solutions(spark, path).select("task_id", "sample_index", "model_name", "completion")
+
+
+@register("sample_row")
+def q_sample_row(spark, d):
+    return J.sample_row(spark, _write_problems(spark, d))
+
+
+@register("required_fields_report", """
+SELECT field, present, null_rows, rows FROM (
+  SELECT 'task_id' AS field, true AS present, count_if(item_id % 7 = 3) AS null_rows, count(*) AS rows FROM benchmark
+  UNION ALL SELECT 'prompt', true, count_if(text IS NULL), count(*) FROM benchmark
+  UNION ALL SELECT 'tests', false, count(*), count(*) FROM benchmark
+  UNION ALL SELECT 'entry_point', true, 0, count(*) FROM benchmark)""")
+def q_required_fields_report(spark, d):
+    """The written problems file has no ``tests`` field; task ids are read raw (no default)."""
+    raw = spark.read.schema(J.PROBLEM_SCHEMA.fieldNames() and T.StructType(
+        [f for f in J.PROBLEM_SCHEMA.fields if f.name != "tests"])).json(_write_problems(spark, d))
+    return J.required_fields_report(raw)
+
+
+def _key_sets(spark, d):
+    """One key set per document: which problem fields a file built from it would carry."""
+    t = V.texts(spark, d)
+    k = F.filter(F.array(F.lit("prompt"),
+                         F.when(F.col("lang") == "en", F.lit("entry_point")),
+                         F.when(F.col("quality") == 1, F.lit("test_setup_code")),
+                         F.when(F.col("toxic") == 1, F.lit("canonical_solution")),
+                         F.when(F.col("source").isin("src0", "src1", "src2", "src3", "src4"), F.lit("q_tests"))),
+                 lambda x: x.isNotNull())
+    return t.select("doc_id", k.alias("keys"))
+
+
+_KEYS_SQL = """(SELECT doc_id, list_filter(['prompt',
+        CASE WHEN lang = 'en' THEN 'entry_point' END,
+        CASE WHEN quality = 1 THEN 'test_setup_code' END,
+        CASE WHEN toxic = 1 THEN 'canonical_solution' END,
+        CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN 'q_tests' END], lambda x: x IS NOT NULL) AS keys
+   FROM texts)"""
+_SCHEMA_SQL = """CASE WHEN list_contains(keys, 'entry_point') AND list_contains(keys, 'prompt')
+                       AND list_contains(keys, 'test_setup_code') THEN 'mbpp'
+                  WHEN list_contains(keys, 'entry_point') AND list_contains(keys, 'prompt')
+                       AND list_contains(keys, 'canonical_solution') THEN 'humaneval'
+                  WHEN list_contains(keys, 'q_tests') AND list_contains(keys, 'test_setup_code') THEN 'q_mbpp'
+                  WHEN list_contains(keys, 'q_tests') THEN 'q_humaneval' ELSE 'generic' END"""
+
+
+@register("detect_schema", with_views(["texts"], f"""
+SELECT doc_id, schema,
+       CASE WHEN starts_with(schema, 'q_') OR list_contains(keys, 'q_tests') THEN schema ELSE 'generic' END
+         AS prompt_template
+FROM (SELECT doc_id, keys, {_SCHEMA_SQL} AS schema FROM {_KEYS_SQL})"""))
+def q_detect_schema(spark, d):
+    k = _key_sets(spark, d)
+    s = k.withColumn("schema", C.detect_schema(F.col("keys")))
+    return s.select("doc_id", "schema", C.prompt_template(F.col("schema"), F.col("keys")).alias("prompt_template"))
+
+
+@register("list_datasets", with_views(["texts"], f"""
+SELECT 'doc' || CAST(doc_id AS VARCHAR) AS name, printf('%s -> %s (%s)', 'q', 'python', {_SCHEMA_SQL}) AS description
+FROM {_KEYS_SQL}"""))
+def q_list_datasets(spark, d):
+    k = _key_sets(spark, d)
+    return k.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),
+                    C.describe(F.lit(C.LANGUAGE), F.lit(C.TEST_LANGUAGE), C.detect_schema(F.col("keys")))
+                    .alias("description"))
+
+
+def _write_catalog_fixture(spark, d):
+    """Datasets of every shape, all derived from the problems view."""
+    root = derived_dir(spark, d, "catalog")
+    p = V.problems(spark, d)
+    shapes = {
+        "humaneval.jsonl": ["task_id", "prompt", "tests", "entry_point", "canonical_solution"],
+        "mbpp.jsonl": ["task_id", "prompt", "tests", "entry_point", "test_setup_code"],
+        "q_humaneval.jsonl": ["task_id", "prompt", "tests", "q_tests"],
+        "q_mbpp.jsonl": ["task_id", "prompt", "tests", "q_tests", "test_setup_code"],
+        "generic.data": ["task_id", "prompt"],
+    }
+    for name, cols in shapes.items():
+        J.write_jsonl(p.select(*cols).coalesce(1), os.path.join(root, name), mode="overwrite")
+    p.select(F.concat(F.lit("not json: "), F.col("prompt")).alias("value")).coalesce(1) \
+        .write.mode("overwrite").text(os.path.join(root, "broken.data"))
+    return root
+
+
+@register("dataset_catalog")
+def q_dataset_catalog(spark, d):
+    return C.catalog(spark, _write_catalog_fixture(spark, d)).select(
+        "dataset", "format", "schema", "language", "test_language", "prompt_template", "first_line_is_json")
+
+
+@register("detect_format")
+def q_detect_format(spark, d):
+    c = C.first_lines(spark, _write_catalog_fixture(spark, d))
+    return c.select("dataset", C.detect_format(F.col("dataset"), F.col("first_line")).alias("format"))
+
+
+_SUMMARY_SCHEMA = T.StructType([
+    T.StructField("model_name", T.StringType()), T.StructField("total_solutions", T.LongType()),
+    T.StructField("passed_solutions", T.LongType()), T.StructField("total_problems", T.LongType()),
+    T.StructField("pass_rate", T.DoubleType()), T.StructField("execution_method", T.StringType()),
+    T.StructField("max_workers", T.IntegerType()), T.StructField("pass_at_k", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("per_problem_results", T.ArrayType(T.StructType([
+        T.StructField("task_id", T.StringType()), T.StructField("num_samples", T.LongType()),
+        T.StructField("num_correct", T.LongType())]))),
+])
+
+
+@register("summary_roundtrip", with_views(["results"], """
+SELECT model_name, task_id, count(*) AS num_samples, CAST(count_if(passed) AS BIGINT) AS num_correct
+FROM results GROUP BY model_name, task_id"""))
+def q_summary_roundtrip(spark, d):
+    """Summary documents written as text and read back; their per-problem rows must survive."""
+    pp = V.results_counts(spark, d)
+    s = S.summary(pp, ["model_name"])
+    docs = J.summary_documents(s, pp, ["model_name"])
+    path = derived_dir(spark, d, "summary.json")
+    J.write_summary(docs, path)
+    back = J.read_summary(spark, path, _SUMMARY_SCHEMA)
+    return back.select("model_name", F.inline("per_problem_results"))

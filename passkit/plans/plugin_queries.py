@@ -1 +1,115 @@
-"""Registered plugin queries."""
+"""Registered plug-in queries: generation, test rewriting, assertion inventory, evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passkit.functions.extraction import with_solution_code
+from passkit.operators import evaluate as E
+from passkit.operators import plugins as G
+from passkit.operators import requests as Q
+from passkit.operators import scoring as S
+from passkit.plans import views as V
+from passkit.plans.oracle_views import VIEWS, with_views
+from passkit.plans.registry import register
+from passkit.sources.tables import table
+
+VIEWS["rich_tests"] = """
+  SELECT CAST(item_id AS VARCHAR) AS task_id,
+         'def check(candidate):' || chr(10) || '    assert candidate(' || CAST(item_id AS VARCHAR) || ') == '
+         || CAST(item_id * 2 AS VARCHAR) || chr(10)
+         || CASE item_id % 4 WHEN 0 THEN '    assert candidate(0) != 1'
+                             WHEN 1 THEN '    assert not candidate(-1)'
+                             WHEN 2 THEN '    assert candidate(' || CAST(item_id AS VARCHAR) || ')'
+                             ELSE '    assert abs(candidate(1) - 2) < 1e-6' END
+         || CASE WHEN item_id % 5 = 0 THEN chr(10) || '    assert candidate(' || CAST(item_id AS VARCHAR) || ') == '
+                                            || CAST(item_id AS VARCHAR) || ' == x'
+                 ELSE '' END AS tests
+  FROM benchmark"""
+
+
+def rich_tests(spark, d):
+    """Test texts of every assertion shape, one per benchmark item."""
+    b = table(spark, d, "benchmark")
+    iid = F.col("item_id").cast("string")
+    shape = F.col("item_id") % 4
+    extra = (F.when(shape == 0, F.lit("    assert candidate(0) != 1"))
+             .when(shape == 1, F.lit("    assert not candidate(-1)"))
+             .when(shape == 2, F.concat(F.lit("    assert candidate("), iid, F.lit(")")))
+             .otherwise(F.lit("    assert abs(candidate(1) - 2) < 1e-6")))
+    chained = F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("\n    assert candidate("), iid, F.lit(") == "), iid,
+                                                         F.lit(" == x"))).otherwise(F.lit(""))
+    tests = F.concat(F.lit("def check(candidate):\n    assert candidate("), iid, F.lit(") == "),
+                     (F.col("item_id") * 2).cast("string"), F.lit("\n"), extra, chained)
+    return b.select(iid.alias("task_id"), tests.alias("tests"))
+
+
+@register("generate_plugin")
+def q_generate_plugin(spark, d):
+    """Two samples per problem from the deterministic echo generator."""
+    req = Q.expand_samples(V.problems(spark, d).select("task_id", "entry_point"), 2)
+    req = req.withColumn("model_name", F.lit("echo")).withColumn("sample_index", F.col("sample_index").cast("int"))
+    return G.generate(req)
+
+
+@register("loosen_equality")
+def q_loosen_equality(spark, d):
+    t = rich_tests(spark, d)
+    return t.select("task_id", G.loosen_equality(F.col("tests")).alias("loosened"))
+
+
+_LINE_SQL = """(SELECT task_id, unnest(string_split(tests, chr(10))) AS line FROM rich_tests)"""
+
+
+@register("assertion_inventory", with_views(["rich_tests"], f"""
+SELECT kind, function, count(*) AS asserts FROM (
+  SELECT CASE WHEN regexp_matches(body, '^not\\b') THEN 'not'
+              WHEN len(string_split(ops, '==')) - 1 = 1 AND NOT regexp_matches(ops, '!=|<=|>=|<|>|\\bin\\b|\\bis\\b') THEN 'eq'
+              WHEN len(string_split(ops, '==')) - 1 > 0 OR regexp_matches(ops, '!=|<=|>=|<|>|\\bin\\b|\\bis\\b') THEN 'compare'
+              ELSE 'bare' END AS kind,
+         regexp_extract(line, 'assert\\s+(\\w+)\\s*\\(', 1) AS function
+  FROM (SELECT line, body, regexp_replace(body, '''[^'']*''|"[^"]*"', '', 'g') AS ops
+        FROM (SELECT line, regexp_replace(line, '^\\s*assert\\s+', '') AS body FROM {_LINE_SQL}
+              WHERE regexp_matches(line, '^\\s*assert\\s'))))
+GROUP BY kind, function"""))
+def q_assertion_inventory(spark, d):
+    lines = rich_tests(spark, d).select("task_id", F.explode(F.split("tests", "\n")).alias("line"))
+    a = lines.where(F.col("line").rlike(r"^\s*assert\s"))
+    out = a.select(G.assertion_kind_regex(F.col("line")).alias("kind"),
+                   F.regexp_extract("line", r"assert\s+(\w+)\s*\(", 1).alias("function"))
+    return out.groupBy("kind", "function").agg(F.count(F.lit(1)).alias("asserts"))
+
+
+@register("assertion_inventory_exact")
+def q_assertion_inventory_exact(spark, d):
+    """The same inventory from the Python parser (multi-line asserts included)."""
+    t = rich_tests(spark, d).select(F.inline(G.assertion_inventory_exact(F.col("tests"))))
+    return t.groupBy("kind", "function").agg(F.count(F.lit(1)).alias("asserts"))
+
+
+def evaluated(spark, d):
+    """Solutions -> problems -> guards -> extraction -> runner: one result row per solution."""
+    from passkit.plans.evaluation_queries import problems_g, solutions
+    sol = solutions(spark, d)
+    probs = problems_g(spark, d).select("task_id", "entry_point", "tests").withColumn("test_setup_code", F.lit(""))
+    j = E.attach_problem(sol, probs)
+    j = j.withColumn("error", E.guard_error(F.col("task_id"), F.col("has_problem"), F.col("entry_point"),
+                                           F.col("completion")))
+    guarded = j.where(F.col("error").isNotNull()).select(
+        "task_id", F.col("sample_index").cast("int"), "model_name", F.lit(False).alias("passed"),
+        F.lit(None).cast("string").alias("info"), "error")
+    runnable = with_solution_code(j.where(F.col("error").isNull()), "completion", "entry_point")
+    return G.evaluate(runnable).unionByName(guarded)
+
+
+@register("evaluate_plugin")
+def q_evaluate_plugin(spark, d):
+    return evaluated(spark, d)
+
+
+@register("evaluate_pass_at_k")
+def q_evaluate_pass_at_k(spark, d):
+    """The whole evaluation ending in gated pass@k per model."""
+    res = evaluated(spark, d)
+    pp = S.per_problem(res, ["model_name", "task_id"])
+    return S.gated_pass_at_k(pp, ["model_name"])

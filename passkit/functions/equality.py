@@ -76,3 +76,8 @@ def smart_equal(df, a: str, b: str) -> Column:
     """Equality column for columns ``a`` and ``b`` of ``df`` (types read from its schema)."""
     ta, tb = df.schema[a].dataType, df.schema[b].dataType
     return smart_equal_typed(F.col(a), ta, F.col(b), tb)
+
+
+def as_set(c: Column) -> Column:
+    """A Python set restated on arrays: order and repeats do not matter."""
+    return F.array_sort(F.array_distinct(c))

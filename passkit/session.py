@@ -40,7 +40,11 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
+            # the warehouse folder is the session's shared storage for tables
+            warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+            if not warehouse:
+                raise RuntimeError("neither spark.checkpoint.dir nor spark.sql.warehouse.dir is set")
+            fallback = warehouse.rstrip("/") + "/passkit_checkpoints"
         spark.conf.set("spark.checkpoint.dir", fallback)
         path = fallback
     spark.sparkContext.setCheckpointDir(path)

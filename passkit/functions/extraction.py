@@ -95,7 +95,9 @@ def _parts_from(lines: Column, st: Column, fold: Column, name: Column) -> Column
     tail = F.filter(F.slice(lines, start + 1, F.greatest(last - start, F.lit(0))),
                     lambda _l, i: (F.element_at(st, start + 1 + i) != "")
                     & ~F.element_at(st, start + 1 + i).startswith(FENCE))
-    captured = F.concat(head, F.aggregate(tail, F.lit(""), lambda acc, l: F.concat(acc, F.lit("\n"), l)))
+    # array_join keeps assembly linear in the body length (a concat fold would copy it per line)
+    captured = F.concat(head, F.when(F.size(tail) > 0, F.concat(F.lit("\n"), F.array_join(tail, "\n")))
+                        .otherwise(F.lit("")))
     cands = F.filter(st, lambda s: (F.instr(s, "{") > 0) & (F.instr(s, "}") > 0) & F.contains(s, name)
                      & (_last_pos(s, "}") > F.instr(s, "{")))
     one = F.element_at(cands, 1)

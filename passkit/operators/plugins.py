@@ -59,8 +59,15 @@ def structural_runner(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def evaluate(runnable: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame] = structural_runner,
-             key: str = "task_id") -> DataFrame:
-    """Run ``runner`` on (code, tests, setup) batches, partitioned by task.
+             partition_by: list[str] | None = None) -> DataFrame:
+    """Run ``runner`` on (code, tests, setup) batches.
+
+    By default the input keeps its partitioning (``mapInPandas`` is a narrow
+    step, so no code text is shuffled and a task holding a third of all
+    samples is still spread over the scan's splits). A runner that caches
+    per-problem setup can ask for ``partition_by=["task_id", "sample_index"]``
+    style co-location; a hash on the task alone would put a hot task in one
+    partition.
 
     Rows whose code strips to nothing get ``error='Empty code'`` without
     reaching the runner (the last guard; testing it here keeps the plan from
@@ -91,7 +98,9 @@ def evaluate(runnable: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame]
             base["passed"] = base["passed"].astype(bool)
             yield base
     src = runnable.select(*[F.col(c) if c in runnable.columns else F.lit("").alias(c) for c in cols])
-    return src.repartition(key).mapInPandas(run, RUN_SCHEMA)
+    if partition_by:
+        src = src.repartition(*partition_by)
+    return src.mapInPandas(run, RUN_SCHEMA)
 
 
 # -- test-text rewriting -------------------------------------------------------------------

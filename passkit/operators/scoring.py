@@ -74,12 +74,16 @@ def gated_wide(problems: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 5
     return out.drop("_min_n", *[f"_m{k}" for k in ks])
 
 
-def leaderboard(problems: DataFrame, model: str = "model", ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+def leaderboard(problems: DataFrame, model: str = "model", ks: Sequence[int] = (1, 5, 10),
+                carry: Sequence[str] = ()) -> DataFrame:
     """Models ranked by pass@1 (rank() semantics; ties share a rank).
 
-    The ranking window has no partition: it runs on one row per model.
+    ``carry`` are columns functionally dependent on the model (provider,
+    category, ...): grouping by them too keeps them without a second pass
+    over the input. The ranking window has no partition: it runs on one row
+    per model.
     """
-    wide = gated_wide(problems, [model], ks)
+    wide = gated_wide(problems, [model, *carry], ks)
     return wide.withColumn("rank", F.rank().over(Window.orderBy(F.desc(f"pass_at_{ks[0]}"))))
 
 

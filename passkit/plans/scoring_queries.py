@@ -22,7 +22,7 @@ def r(c, digits: int = R):
 SELECT task_id, count(*) AS num_samples, CAST(count_if(coalesce(passed, false)) AS BIGINT) AS num_correct
 FROM results GROUP BY task_id"""))
 def q_per_problem(spark, d):
-    return S.per_problem(V.results(spark, d).select("task_id", "passed"))
+    return S.per_problem(V.results(spark, d, sample_index=False).select("task_id", "passed"))
 
 
 @register("totals", with_views(["results"], """
@@ -92,7 +92,7 @@ SELECT model_name, event_id,
 FROM results
 WINDOW w AS (PARTITION BY model_name ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def q_running_pass_rate(spark, d):
-    res = V.results(spark, d).select("model_name", "event_id", "passed")
+    res = V.results(spark, d, sample_index=False).select("model_name", "event_id", "passed")
     out = S.running_pass_rate(res, "model_name", "event_id")
     return out.select("model_name", "event_id", "running_total", "running_passed",
                       r("running_pass_rate").alias("running_pass_rate"))
@@ -136,10 +136,8 @@ def _board_sql(extra: str = "") -> str:
 
 def _board(spark, d):
     pp = V.attempt_counts(spark, d)
-    b = S.leaderboard(pp.drop("category"), "model")
-    # category (the model's region) rides along; it is functionally dependent on model
-    cats = pp.select("model", "category").distinct()
-    b = b.join(cats, "model")
+    # category (the model's region) is functionally dependent on the model
+    b = S.leaderboard(pp, "model", carry=["category"])
     for k in (1, 5, 10):
         b = b.withColumn(f"pass_at_{k}", r(f"pass_at_{k}"))
     return b

@@ -48,8 +48,12 @@ def problems(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, d: str, zeros: bool = False) -> DataFrame:
-    """V2 (V2z with ``zeros``): one result per event, sample_index by event_id within user."""
+def results(spark: SparkSession, d: str, zeros: bool = False, sample_index: bool = True) -> DataFrame:
+    """V2 (V2z with ``zeros``): one result per event, sample_index by event_id within user.
+
+    The sample index needs a join Catalyst cannot prune; pass
+    ``sample_index=False`` when a query does not read it.
+    """
     e = table(spark, d, "events")
     passed = F.col("event_type") == "purchase"
     if zeros:
@@ -63,6 +67,8 @@ def results(spark: SparkSession, d: str, zeros: bool = False) -> DataFrame:
         F.col("ts").alias("generated_at"),
         F.col("value"),
     )
+    if not sample_index:
+        return out.drop("user_id")
     return row_index(out, ["user_id"], ["event_id"], "sample_index").drop("user_id")
 
 
@@ -178,15 +184,16 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(lab, "doc_id", "left")
 
 
-def answers(spark: SparkSession, d: str) -> DataFrame:
+def answers(spark: SparkSession, d: str, with_label: bool = False) -> DataFrame:
     """V8: expected = embedding; actual changed (first element) or cut (last element) by id."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     emb = F.col("embedding")
     changed = F.when(F.col("vec_id") % 7 == 0,
                      F.concat(F.array(F.element_at(emb, 1) + F.lit(1.0).cast("float")),
                               F.slice(emb, 2, F.size(emb) - 1))).otherwise(emb)
     actual = F.when(F.col("vec_id") % 11 == 0, F.slice(changed, 1, F.size(changed) - 1)).otherwise(changed)
-    return e.select(F.col("vec_id"), emb.alias("expected"), actual.alias("actual"))
+    cols = [F.col("vec_id"), emb.alias("expected"), actual.alias("actual")]
+    return e.select(*cols, *([F.col("label")] if with_label else []))
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:

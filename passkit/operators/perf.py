@@ -36,12 +36,10 @@ def drop_warmup(runs: DataFrame, warmup: int, run: str = "run") -> DataFrame:
 
 def latency_stats(runs: DataFrame, keys: Sequence[str], value: str = "latency") -> DataFrame:
     """mean, median, sample stdev (0.0 for one value), min, max, p95, p99 per group."""
-    keys = list(keys)
-    basic = runs.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"),
-        F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("samples"))
-    pct = exact_percentiles(runs, keys, value, [0.5, 0.95, 0.99], ["median", "p95", "p99"])
-    return basic.join(pct, on=keys, how="left")
+    v = F.col("_v")
+    return exact_percentiles(runs, keys, value, [0.5, 0.95, 0.99], ["median", "p95", "p99"], extra_aggs=[
+        F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("samples")])
 
 
 def throughput(outputs: DataFrame, keys: Sequence[str], batch_size: str = "batch_size",

@@ -22,14 +22,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
-                      names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                      names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
+                      extra_aggs: Sequence[Column] = ()) -> DataFrame:
+    """Exact ``percentile(value, p)`` per group for every p in ``ps``.
+
+    ``extra_aggs`` (over column ``_v``, the non-null values) are computed in
+    the sketch pass and returned alongside, so other statistics of the same
+    groups cost no extra scan.
+    """
     keys = list(keys)
     names = list(names or [f"p{int(round(p * 100))}" for p in ps])
     eps = 4.0 / accuracy
@@ -37,7 +44,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
     highs = [min(1.0, p + eps) for p in ps]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
+                                    F.percentile_approx("_v", lows + highs, accuracy).alias("_q"),
+                                    *extra_aggs)
+    extra_names = [c for c in stats.columns if c not in (*keys, "_n", "_q")]
     k = len(ps)
     targets = stats.select(*keys, "_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"),
@@ -63,5 +72,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
         F.first("frac").alias("frac"))
     res = picked.withColumn("val", F.when(F.col("frac") == 0, F.col("v_lo"))
                             .otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")))
-    return res.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("val"))).alias(n)
-                                    for i, n in enumerate(names)])
+    out = res.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("val"))).alias(n)
+                                   for i, n in enumerate(names)])
+    if extra_names:
+        out = stats.select(*keys, *extra_names).join(out, on=keys, how="left")
+    return out

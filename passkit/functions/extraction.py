@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passkit.functions.text import py_strip
+from passkit.functions.text import PY_SPACE, py_strip
 
 FENCE_OPEN = "```q"
 FENCE = "```"
@@ -37,74 +37,77 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _count(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+def _sql(template: str, **names: str) -> F.Column:
+    """Spark SQL text -> Column: one parse on the JVM instead of hundreds of py4j calls."""
+    for k, v in names.items():
+        template = template.replace("<" + k + ">", v)
+    return F.expr(template)
 
 
-def _last_pos(s: Column, ch: str) -> Column:
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, r'^{PY_SPACE}+|{PY_SPACE}+\\z', '')"
+
+
+def _count_sql(s: str, ch: str) -> str:
+    return f"(length({s}) - length(replace({s}, '{ch}', '')))"
+
+
+def _last_sql(s: str, ch: str) -> str:
     """1-based position of the last ``ch`` in ``s`` (0 when absent)."""
-    r = F.instr(F.reverse(s), ch)
-    return F.when(r == 0, F.lit(0)).otherwise(F.length(s) - r + 1)
-
-
-def _block_from(lines: Column, st: Column) -> Column:
-    n = F.size(lines)
-    opened = F.array_position(st, FENCE_OPEN).cast("int")
-    after = F.slice(st, opened + 1, F.greatest(n - opened, F.lit(0)))
-    close_rel = F.array_position(after, FENCE).cast("int")
-    length = F.when(close_rel == 0, n - opened).otherwise(close_rel - 1)
-    body = F.filter(F.slice(lines, opened + 1, F.greatest(length, F.lit(0))),
-                    lambda _l, i: F.element_at(st, opened + 1 + i) != FENCE_OPEN)
-    return F.when((opened > 0) & (F.size(body) > 0), F.array_join(body, "\n"))
-
-
-def _function_fold(lines: Column, st: Column, name: Column) -> Column:
-    """Fold over line numbers -> struct(start, end, depth); start = 0 when nothing starts."""
-    marker = F.concat(name, F.lit(":"))
-    init = F.struct(F.lit(False).alias("cap"), F.lit(False).alias("done"), F.lit(0).alias("depth"),
-                    F.lit(0).alias("start"), F.lit(0).alias("end"))
-
-    def step(acc, i):
-        s = F.element_at(st, i)
-        brace = F.instr(s, "{")
-        part = F.substring(s, brace, 1 << 30)
-        pre_skip = ~acc["cap"] & ((s == "") | s.startswith("//"))
-        fence = s.startswith(FENCE)
-        starts = ~acc["cap"] & F.contains(s, marker) & (brace > 0)
-        d0 = _count(part, "{") - _count(part, "}")
-        d1 = acc["depth"] + _count(s, "{") - _count(s, "}")
-        keep = acc["done"] | pre_skip | fence
-        return (F.when(keep, acc)
-                .when(starts, F.struct(F.lit(True).alias("cap"), (d0 == 0).alias("done"), d0.alias("depth"),
-                                       i.alias("start"), F.when(d0 == 0, i).otherwise(F.lit(0)).alias("end")))
-                .when(acc["cap"] & (s != ""), F.struct(F.lit(True).alias("cap"), (d1 == 0).alias("done"),
-                                                      d1.alias("depth"), acc["start"],
-                                                      F.when(d1 == 0, i).otherwise(F.lit(0)).alias("end")))
-                .otherwise(acc))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), init, step)
-
-
-def _parts_from(lines: Column, st: Column, fold: Column, name: Column) -> Column:
-    """struct(body, how) from the fold's line numbers; ``fold`` must be a column reference."""
-    n = F.size(lines)
-    start, end = fold["start"], fold["end"]
-    last = F.when(end > 0, end).otherwise(n)
-    first_line = F.element_at(st, F.greatest(start, F.lit(1)))
-    head = F.substring(first_line, F.instr(first_line, "{"), 1 << 30)
-    tail = F.filter(F.slice(lines, start + 1, F.greatest(last - start, F.lit(0))),
-                    lambda _l, i: (F.element_at(st, start + 1 + i) != "")
-                    & ~F.element_at(st, start + 1 + i).startswith(FENCE))
+    return f"(CASE WHEN instr(reverse({s}), '{ch}') = 0 THEN 0 ELSE length({s}) - instr(reverse({s}), '{ch}') + 1 END)"
+
+
+def _stripped_lines(lines: str) -> F.Column:
+    return _sql(f"transform(<L>, x -> {_strip_sql('x')})", L=lines)
+
+
+def _block_from(lines: str, st: str) -> F.Column:
+    """First ```q block's content from line array ``lines`` and stripped lines ``st``."""
+    opened = "CAST(array_position(<S>, '```q') AS INT)"
+    close_rel = f"CAST(array_position(slice(<S>, {opened} + 1, greatest(size(<L>) - {opened}, 0)), '```') AS INT)"
+    length = f"(CASE WHEN {close_rel} = 0 THEN size(<L>) - {opened} ELSE {close_rel} - 1 END)"
+    body = (f"filter(slice(<L>, {opened} + 1, greatest({length}, 0)), "
+            f"(l, j) -> element_at(<S>, {opened} + 1 + j) != '```q')")
+    return _sql(f"CASE WHEN {opened} > 0 AND size({body}) > 0 THEN array_join({body}, '\\n') END", L=lines, S=st)
+
+
+def _function_fold(lines: str, st: str, name: str) -> F.Column:
+    """Fold over line numbers -> struct(cap, done, depth, start, end); start = 0 when nothing starts."""
+    s = "element_at(<S>, i)"
+    part = f"substring({s}, instr({s}, '{{'))"
+    d0 = f"({_count_sql(part, '{')} - {_count_sql(part, '}')})"
+    d1 = f"(acc.depth + {_count_sql(s, '{')} - {_count_sql(s, '}')})"
+    return _sql(f"""aggregate(sequence(1, greatest(size(<L>), 1)),
+        named_struct('cap', false, 'done', false, 'depth', 0, 'start', 0, 'end', 0),
+        (acc, i) -> CASE
+          WHEN acc.done OR (NOT acc.cap AND ({s} = '' OR startswith({s}, '//'))) OR startswith({s}, '```') THEN acc
+          WHEN NOT acc.cap AND contains({s}, concat(<N>, ':')) AND instr({s}, '{{') > 0 THEN
+            named_struct('cap', true, 'done', {d0} = 0, 'depth', {d0}, 'start', i,
+                         'end', CASE WHEN {d0} = 0 THEN i ELSE 0 END)
+          WHEN acc.cap AND {s} != '' THEN
+            named_struct('cap', true, 'done', {d1} = 0, 'depth', {d1}, 'start', acc.start,
+                         'end', CASE WHEN {d1} = 0 THEN i ELSE 0 END)
+          ELSE acc END)""", L=lines, S=st, N=name)
+
+
+def _parts_from(lines: str, st: str, fold: str, name: str) -> F.Column:
+    """struct(body, how) from the fold's line numbers; ``fold`` is a column name."""
+    start, end = "<FO>.start", "<FO>.end"
+    last = f"(CASE WHEN {end} > 0 THEN {end} ELSE size(<L>) END)"
+    first = f"element_at(<S>, greatest({start}, 1))"
+    head = f"substring({first}, instr({first}, '{{'))"
+    tail = (f"filter(slice(<L>, {start} + 1, greatest({last} - {start}, 0)), "
+            f"(l, j) -> element_at(<S>, {start} + 1 + j) != '' AND NOT startswith(element_at(<S>, {start} + 1 + j), '```'))")
     # array_join keeps assembly linear in the body length (a concat fold would copy it per line)
-    captured = F.concat(head, F.when(F.size(tail) > 0, F.concat(F.lit("\n"), F.array_join(tail, "\n")))
-                        .otherwise(F.lit("")))
-    cands = F.filter(st, lambda s: (F.instr(s, "{") > 0) & (F.instr(s, "}") > 0) & F.contains(s, name)
-                     & (_last_pos(s, "}") > F.instr(s, "{")))
-    one = F.element_at(cands, 1)
-    one_body = F.substring(one, F.instr(one, "{"), _last_pos(one, "}") - F.instr(one, "{") + 1)
-    return (F.when(start > 0, F.struct(captured.alias("body"), F.lit("braces").alias("how")))
-            .when(F.size(cands) > 0, F.struct(one_body.alias("body"), F.lit("oneliner").alias("how")))
-            .otherwise(F.struct(F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("how"))))
+    captured = f"concat({head}, CASE WHEN size({tail}) > 0 THEN concat('\\n', array_join({tail}, '\\n')) ELSE '' END)"
+    cands = (f"filter(<S>, x -> instr(x, '{{') > 0 AND instr(x, '}}') > 0 AND contains(x, <N>) "
+             f"AND {_last_sql('x', '}')} > instr(x, '{{'))")
+    one = f"element_at({cands}, 1)"
+    one_body = f"substring({one}, instr({one}, '{{'), {_last_sql(one, '}')} - instr({one}, '{{') + 1)"
+    return _sql(f"""CASE WHEN {start} > 0 THEN named_struct('body', {captured}, 'how', 'braces')
+                         WHEN size({cands}) > 0 THEN named_struct('body', {one_body}, 'how', 'oneliner')
+                         ELSE named_struct('body', CAST(NULL AS STRING), 'how', CAST(NULL AS STRING)) END""",
+                L=lines, S=st, FO=fold, N=name)
 
 
 # The scanners reference their line arrays and the fold result many times;
@@ -114,18 +117,19 @@ def _parts_from(lines: Column, st: Column, fold: Column, name: Column) -> Column
 
 def with_code_block(df: DataFrame, text: str, out: str = "code_block") -> DataFrame:
     """Add the first ```q block's content (NULL when none or empty)."""
-    t = df.withColumn("_x_lines", _lines(F.col(text))).withColumn("_x_st", F.transform("_x_lines", py_strip))
-    return t.withColumn(out, _block_from(F.col("_x_lines"), F.col("_x_st"))).drop("_x_lines", "_x_st")
+    t = df.withColumn("_x_lines", _lines(F.col(text))).withColumn("_x_st", _stripped_lines("_x_lines"))
+    return t.withColumn(out, _block_from("_x_lines", "_x_st")).drop("_x_lines", "_x_st")
 
 
 def with_function(df: DataFrame, text: str, name: str, out: str = "function", how: str | None = None,
                   prefix: str = "_xf") -> DataFrame:
     """Add the function body extracted from ``text`` for entry point ``name`` (NULL when none)."""
     L, S, FO, P = f"{prefix}_lines", f"{prefix}_st", f"{prefix}_fold", f"{prefix}_parts"
+    q = lambda c: f"`{c}`"
     t = (df.withColumn(L, _lines(F.col(text)))
-         .withColumn(S, F.transform(L, py_strip))
-         .withColumn(FO, _function_fold(F.col(L), F.col(S), F.col(name)))
-         .withColumn(P, _parts_from(F.col(L), F.col(S), F.col(FO), F.col(name))))
+         .withColumn(S, _stripped_lines(q(L)))
+         .withColumn(FO, _function_fold(q(L), q(S), q(name)))
+         .withColumn(P, _parts_from(q(L), q(S), q(FO), q(name))))
     t = t.withColumn(out, F.col(f"{P}.body"))
     if how:
         t = t.withColumn(how, F.col(f"{P}.how"))

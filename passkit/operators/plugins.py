@@ -9,15 +9,21 @@ sees a pandas batch at a time, never the whole table.
 from __future__ import annotations
 
 import ast
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passkit.operators.evaluate import FAILED_PREFIX, PASSED
 
+# Python workers may not have this package on their path (the driver found it
+# through its own sys.path): ship the plug-in functions by value.
+cloudpickle.register_pickle_by_value(sys.modules["passkit"])
+
 GENERATED_SCHEMA = "task_id string, sample_index int, model_name string, completion string"
 RUN_SCHEMA = "task_id string, sample_index int, model_name string, passed boolean, info string, error string"
 

@@ -45,15 +45,19 @@ def detect_format(name: Column, first_line: Column) -> Column:
 def first_lines(spark: SparkSession, root: str) -> DataFrame:
     """(dataset, file, first_line) for every dataset directory directly under ``root``.
 
-    The dataset is the directory holding the part file; its first line is
-    the first line of its first part file.
+    The dataset is the directory holding the part files. Files are listed
+    from metadata; only each dataset's first file (by name) is scanned.
     """
-    t = spark.read.option("recursiveFileLookup", "true").text(root).select(
+    files = spark.read.option("recursiveFileLookup", "true").text(root).inputFiles()
+    first: dict[str, str] = {}
+    for f in sorted(files):
+        first.setdefault(f.rstrip("/").split("/")[-2], f)
+    if not first:
+        return spark.createDataFrame([], "dataset string, file string, first_line string")
+    t = spark.read.text(sorted(first.values())).select(
         F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_mono"))
-    t = t.withColumn("dataset", F.element_at(F.split(F.col("file"), "/"), -2))
-    per_file = t.groupBy("dataset", "file").agg(F.min_by("value", "_mono").alias("first_line"))
-    return per_file.groupBy("dataset").agg(F.min_by(F.struct("file", "first_line"), F.col("file")).alias("_f")) \
-        .select("dataset", "_f.file", "_f.first_line")
+    per_file = t.groupBy("file").agg(F.min_by("value", "_mono").alias("first_line"))
+    return per_file.select(F.element_at(F.split(F.col("file"), "/"), -2).alias("dataset"), "file", "first_line")
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -70,3 +74,43 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
 def describe(language: Column, test_language: Column, schema: Column) -> Column:
     """'q -> python (humaneval)'."""
     return F.format_string("%s -> %s (%s)", language, test_language, schema)
+
+
+class DatasetRegistry:
+    """Named datasets of a session: config per name, each readable as a temp view.
+
+    ``register`` stores a config (auto-detected from the data when none is
+    given) and exposes the problems as a temp view under the name;
+    ``listing`` returns name -> 'q -> python (schema)' as a DataFrame.
+    """
+
+    def __init__(self, spark: SparkSession, configs: dict | None = None):
+        self.spark = spark
+        self.configs: dict[str, dict] = {k: dict(v) for k, v in (configs or REGISTERED).items()}
+
+    def register(self, name: str, path: str, config: dict | None = None) -> dict:
+        from passkit.sources.jsonl import read_problems
+        if config is None:
+            fl = self.spark.read.text(path).limit(1).select(F.col("value").alias("first_line"))
+            keys = F.coalesce(F.json_object_keys("first_line"), F.array().cast("array<string>"))
+            row = fl.select(detect_schema(keys).alias("schema"), keys.alias("keys")).first()
+            schema = row.schema if row else "generic"
+            keys_list = row["keys"] if row else []
+            fmt = "json" if path.rstrip("/").endswith(".json") else "jsonl"
+            template = schema if schema.startswith("q_") or "q_tests" in keys_list else "generic"
+            config = {"path": path, "format": fmt, "schema": schema, "language": LANGUAGE,
+                      "test_language": TEST_LANGUAGE, "prompt_template": template}
+        self.configs[name] = dict(config)
+        read_problems(self.spark, path, config.get("format", "jsonl")).createOrReplaceTempView(
+            name.replace("-", "_"))
+        return self.configs[name]
+
+    def get(self, name: str) -> dict:
+        if name not in self.configs:
+            raise ValueError(f"Dataset not registered: {name}")
+        return dict(self.configs[name])
+
+    def listing(self) -> DataFrame:
+        rows = [(n, c["language"], c["test_language"], c["schema"]) for n, c in sorted(self.configs.items())]
+        df = self.spark.createDataFrame(rows, "name string, language string, test_language string, schema string")
+        return df.select("name", describe(F.col("language"), F.col("test_language"), F.col("schema")).alias("description"))

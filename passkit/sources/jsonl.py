@@ -80,16 +80,23 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("ignoreNullFields", "true").json(path)
 
 
+def first_file(spark: SparkSession, path: str) -> str:
+    """The first data file of a dataset (by name), from the file listing only."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        raise ValueError(f"Dataset is empty: {path}")
+    return files[0]
+
+
 def sample_row(spark: SparkSession, path: str) -> DataFrame:
     """First line of the first file: its text, whether it is a JSON object, and its keys.
 
-    A non-object (array, scalar, bad JSON) gives ``is_object`` false and NULL keys.
+    Only the first file is read, and only its first split is scanned for
+    the one line (``limit(1)`` stops the scan). A non-object (array,
+    scalar, bad JSON) gives ``is_object`` false and NULL keys.
     """
-    t = (spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"),
-                                      F.monotonically_increasing_id().alias("_mono")))
-    first_file = t.agg(F.min("file").alias("file"))
-    line = (t.join(first_file, "file").groupBy("file")
-            .agg(F.min_by("value", "_mono").alias("first_line")))
+    f = first_file(spark, path)
+    line = spark.read.text(f).limit(1).select(F.lit(f).alias("file"), F.col("value").alias("first_line"))
     keys = F.json_object_keys(F.col("first_line"))
     return line.select("file", "first_line", keys.isNotNull().alias("is_object"), keys.alias("keys"))
 

@@ -86,3 +86,16 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and "pass_at_1" in df.columns
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 70
+
+
+def test_dataset_registry(spark):
+    d = tempfile.mkdtemp(prefix="passkit-reg-")
+    p = _write(os.path.join(d, "mine.jsonl"), json.dumps({"task_id": "a", "prompt": "x", "q_tests": [], "tests": "t"}) + "\n")
+    reg = C.DatasetRegistry(spark)
+    cfg = reg.register("mine", p)
+    assert (cfg["schema"], cfg["prompt_template"], cfg["format"]) == ("q_humaneval", "q_humaneval", "jsonl")
+    got = {r.name: r.description for r in reg.listing().collect()}
+    assert got == {"mine": "q -> python (q_humaneval)", "q-humaneval": "q -> python (humaneval)"}
+    assert spark.sql("SELECT task_id FROM mine").first().task_id == "a"
+    with pytest.raises(ValueError):
+        reg.get("nope")

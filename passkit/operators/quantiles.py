@@ -13,7 +13,7 @@ group holding a third of the table either one breaks. Here:
 3. one pass counts the rows below the bracket and the rows per distinct value
    inside it (an aggregation again, so ties on a hot value collapse map-side);
 4. a running count over the few bracket values finds the exact values of
-   ranks lo and lo+1.
+   ranks lo and lo+1, and one aggregation per group picks them for every p.
 
 The result equals ``percentile(value, p)`` exactly.
 """
@@ -55,25 +55,28 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
         for i, p in enumerate(ps)])).alias("t")).select(*keys, "_n", "t.*")
     targets = (targets.withColumn("_pos", F.col("p") * (F.col("_n") - 1))
                .withColumn("lo", F.floor("_pos")).withColumn("frac", F.col("_pos") - F.col("lo")))
-    # one aggregation: rows below the bracket, and counts per distinct bracket value
-    j = rows.join(targets.select(*keys, "pi", "a", "b"), on=keys)
+    # one aggregation: rows below the bracket (in the v = NULL cell), and counts per
+    # distinct value inside it; lo and frac ride along as group constants
+    j = rows.join(targets.select(*keys, "pi", "a", "b", "lo", "frac"), on=keys)
     inside = (F.col("_v") >= F.col("a")) & (F.col("_v") <= F.col("b"))
-    cells = (j.groupBy(*keys, "pi", F.when(inside, F.col("_v")).alias("v"))
+    cells = (j.groupBy(*keys, "pi", "lo", "frac", F.when(inside, F.col("_v")).alias("v"))
              .agg(F.count_if(F.col("_v") < F.col("a")).alias("below"), F.count(F.lit(1)).alias("c")))
-    below = cells.where(F.col("v").isNull()).select(*keys, "pi", F.col("below").alias("_below"))
-    vals = cells.where(F.col("v").isNotNull()).select(*keys, "pi", "v", "c")
-    w = Window.partitionBy(*keys, "pi").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (vals.join(below, on=[*keys, "pi"], how="left")
-              .withColumn("cum", F.coalesce(F.col("_below"), F.lit(0)) + F.sum("c").over(w))
-              .join(targets.select(*keys, "pi", "lo", "frac"), on=[*keys, "pi"]))
-    picked = ranked.groupBy(*keys, "pi").agg(
-        F.min(F.when(F.col("cum") > F.col("lo"), F.col("v"))).alias("v_lo"),
-        F.min(F.when(F.col("cum") > F.col("lo") + 1, F.col("v"))).alias("v_hi"),
-        F.first("frac").alias("frac"))
-    res = picked.withColumn("val", F.when(F.col("frac") == 0, F.col("v_lo"))
-                            .otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")))
-    out = res.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("val"))).alias(n)
-                                   for i, n in enumerate(names)])
+    part = Window.partitionBy(*keys, "pi")
+    run = part.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (cells.withColumn("cum", F.sum("below").over(part)
+                               + F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).over(run))
+              .where(F.col("v").isNotNull()))
+    aggs = []
+    for i, _ in enumerate(ps):
+        mine = F.col("pi") == i
+        aggs += [F.min(F.when(mine & (F.col("cum") > F.col("lo")), F.col("v"))).alias(f"_lo{i}"),
+                 F.min(F.when(mine & (F.col("cum") > F.col("lo") + 1), F.col("v"))).alias(f"_hi{i}"),
+                 F.max(F.when(mine, F.col("frac"))).alias(f"_f{i}")]
+    picked = ranked.groupBy(*keys).agg(*aggs)
+    out = picked.select(*keys, *[
+        F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}"))
+        .otherwise(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
+        for i, n in enumerate(names)])
     if extra_names:
         out = stats.select(*keys, *extra_names).join(out, on=keys, how="left")
     return out

@@ -83,7 +83,16 @@ def _fx(scope: str, lines: str) -> str:
 _BLK_SCOPE = """blk_scope AS (SELECT l.* FROM blk_lines l JOIN blk b USING (model_name, task_id, sample_index)
                           WHERE b.block <> '')"""
 
-_CTES = (_SRC, _LINES, _BLOCK, _BLK_SCOPE, _fx("fb", "blk_scope"), _fx("ft", "lines"))
+def extraction_ctes(src: str = _SRC) -> tuple[str, ...]:
+    """The extraction CTEs over a ``src`` CTE of (model_name, task_id, sample_index, t, name).
+
+    Defines ``fb_fn`` (function found in the first block) and ``ft_fn``
+    (function in the whole text), keyed by (model_name, task_id, sample_index).
+    """
+    return (src, _LINES, _BLOCK, _BLK_SCOPE, _fx("fb", "blk_scope"), _fx("ft", "lines"))
+
+
+_CTES = extraction_ctes()
 
 
 def _src(spark, d):

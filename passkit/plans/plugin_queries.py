@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passkit.functions.extraction import with_solution_code
+from passkit.functions.text import sql_strip
 from passkit.operators import evaluate as E
 from passkit.operators import plugins as G
 from passkit.operators import requests as Q
@@ -44,7 +45,10 @@ def rich_tests(spark, d):
     return b.select(iid.alias("task_id"), tests.alias("tests"))
 
 
-@register("generate_plugin")
+@register("generate_plugin", with_views(["problems"], """
+SELECT task_id, CAST(s AS INTEGER) AS sample_index, 'echo' AS model_name,
+       '```q' || chr(10) || entry_point || ':{[x] x+' || CAST(s AS VARCHAR) || '}' || chr(10) || '```' AS completion
+FROM problems, range(0, 2) t(s)"""))
 def q_generate_plugin(spark, d):
     """Two samples per problem from the deterministic echo generator."""
     req = Q.expand_samples(V.problems(spark, d).select("task_id", "entry_point"), 2)
@@ -61,17 +65,22 @@ def q_loosen_equality(spark, d):
 _LINE_SQL = """(SELECT task_id, unnest(string_split(tests, chr(10))) AS line FROM rich_tests)"""
 
 
-@register("assertion_inventory", with_views(["rich_tests"], f"""
+def _inventory_sql(function_sql: str) -> str:
+    """Single-line assertion classes in SQL; ``function_sql`` names the called function."""
+    return with_views(["rich_tests"], f"""
 SELECT kind, function, count(*) AS asserts FROM (
   SELECT CASE WHEN regexp_matches(body, '^not\\b') THEN 'not'
               WHEN len(string_split(ops, '==')) - 1 = 1 AND NOT regexp_matches(ops, '!=|<=|>=|<|>|\\bin\\b|\\bis\\b') THEN 'eq'
               WHEN len(string_split(ops, '==')) - 1 > 0 OR regexp_matches(ops, '!=|<=|>=|<|>|\\bin\\b|\\bis\\b') THEN 'compare'
               ELSE 'bare' END AS kind,
-         regexp_extract(line, 'assert\\s+(\\w+)\\s*\\(', 1) AS function
+         {function_sql} AS function
   FROM (SELECT line, body, regexp_replace(body, '''[^'']*''|"[^"]*"', '', 'g') AS ops
         FROM (SELECT line, regexp_replace(line, '^\\s*assert\\s+', '') AS body FROM {_LINE_SQL}
               WHERE regexp_matches(line, '^\\s*assert\\s'))))
-GROUP BY kind, function"""))
+GROUP BY kind, function""")
+
+
+@register("assertion_inventory", _inventory_sql("regexp_extract(line, 'assert\\s+(\\w+)\\s*\\(', 1)"))
 def q_assertion_inventory(spark, d):
     lines = rich_tests(spark, d).select("task_id", F.explode(F.split("tests", "\n")).alias("line"))
     a = lines.where(F.col("line").rlike(r"^\s*assert\s"))
@@ -80,9 +89,12 @@ def q_assertion_inventory(spark, d):
     return out.groupBy("kind", "function").agg(F.count(F.lit(1)).alias("asserts"))
 
 
-@register("assertion_inventory_exact")
+@register("assertion_inventory_exact", _inventory_sql(
+    "nullif(regexp_extract(line, 'assert\\s+(?:not\\s+)?(\\w+)\\s*\\(', 1), '')"))
 def q_assertion_inventory_exact(spark, d):
-    """The same inventory from the Python parser (multi-line asserts included)."""
+    """The same inventory from the Python parser (multi-line asserts included; the
+    function of ``assert not f(x)`` is ``f``). The oracle restates it for these
+    single-line shapes."""
     t = rich_tests(spark, d).select(F.inline(G.assertion_inventory_exact(F.col("tests"))))
     return t.groupBy("kind", "function").agg(F.count(F.lit(1)).alias("asserts"))
 
@@ -102,14 +114,53 @@ def evaluated(spark, d):
     return G.evaluate(runnable).unionByName(guarded)
 
 
-@register("evaluate_plugin")
+_GUARD_SQL = f"""CASE WHEN p.task_id IS NULL THEN 'No problem data found for ' || s.task_id
+            WHEN coalesce(p.entry_point, '') = '' THEN 'Missing entry_point for ' || s.task_id
+            WHEN {sql_strip("coalesce(s.completion, '')")} = '' THEN 'Empty code' END"""
+
+
+def _evaluated_sql(select: str) -> str:
+    from passkit.plans.extraction_queries import extraction_ctes
+    src = f"""src AS (SELECT s.model_name, s.task_id, s.sample_index, s.completion AS t, p.entry_point AS name
+         FROM solutions s JOIN problems_g p ON s.task_id = p.task_id
+         WHERE ({_GUARD_SQL}) IS NULL)"""
+    code = f"""code AS (
+  SELECT src.model_name, src.task_id, src.sample_index,
+         {sql_strip(f"coalesce(fb.body, ft.body, {sql_strip('src.t')})")} AS code
+  FROM src LEFT JOIN fb_fn fb USING (model_name, task_id, sample_index)
+  LEFT JOIN ft_fn ft USING (model_name, task_id, sample_index))"""
+    results = f"""evaluated AS (
+  SELECT s.task_id, CAST(s.sample_index AS INTEGER) AS sample_index, s.model_name,
+         coalesce(starts_with(c.code, '{{') AND ends_with(c.code, '}}')
+                  AND length(c.code) - length(replace(c.code, '{{', '')) = length(c.code) - length(replace(c.code, '}}', '')),
+                  false) AS passed,
+         CASE WHEN ({_GUARD_SQL}) IS NOT NULL OR c.code = '' THEN NULL
+              WHEN starts_with(c.code, '{{') AND ends_with(c.code, '}}')
+                   AND length(c.code) - length(replace(c.code, '{{', '')) = length(c.code) - length(replace(c.code, '}}', ''))
+              THEN 'passed' ELSE 'failed: Test assertion failed: not a balanced q lambda' END AS info,
+         coalesce({_GUARD_SQL}, CASE WHEN c.code = '' THEN 'Empty code' END) AS error
+  FROM solutions s LEFT JOIN problems_g p ON s.task_id = p.task_id
+  LEFT JOIN code c ON s.model_name = c.model_name AND s.task_id = c.task_id AND s.sample_index = c.sample_index)"""
+    return with_views(["solutions", "problems_g", "completions", "problems"], select,
+                      extraction_ctes(src) + (code, results))
+
+
+@register("evaluate_plugin", _evaluated_sql("SELECT * FROM evaluated"))
 def q_evaluate_plugin(spark, d):
+    """Every solution gets exactly one result row: guarded, or extracted and run."""
     return evaluated(spark, d)
 
 
-@register("evaluate_pass_at_k")
+_K_SQL = "CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i)) END"
+
+
+@register("evaluate_pass_at_k", _evaluated_sql(f"""
+SELECT model_name, k, round(avg({_K_SQL}), 9) AS pass_at_k
+FROM (SELECT model_name, task_id, count(*) AS n, CAST(count_if(passed) AS BIGINT) AS c FROM evaluated GROUP BY ALL),
+     (SELECT unnest([1, 5, 10, 20, 50, 100]) AS k)
+GROUP BY model_name, k HAVING min(n) >= k"""))
 def q_evaluate_pass_at_k(spark, d):
     """The whole evaluation ending in gated pass@k per model."""
     res = evaluated(spark, d)
     pp = S.per_problem(res, ["model_name", "task_id"])
-    return S.gated_pass_at_k(pp, ["model_name"])
+    return S.gated_pass_at_k(pp, ["model_name"]).withColumn("pass_at_k", F.round("pass_at_k", 9))

@@ -163,19 +163,29 @@ def running_pass_rate(results: DataFrame, key: str, order_col: str, passed: str
     return out.withColumn("running_pass_rate", F.col("running_passed") / F.col("running_total"))
 
 
-def summary(problems_counts: DataFrame, by: Sequence[str], max_workers: int = 1) -> DataFrame:
-    """One summary row per group: scalars plus the gated pass@k as a map.
-
-    Per-problem rows and result rows stay tables of their own (they grow
-    with the data); the document sink joins them back when it writes.
+def summary(problems_counts: DataFrame, by: Sequence[str], max_workers: int = 1,
+            ks: Sequence[int] = K_VALUES) -> DataFrame:
+    """One summary row per group: totals, one ``pass_at_{k}`` column per k of the grid
+    (NULL where the gate drops k, so ``to_json`` leaves the key out, as the
+    reference's document does), execution method and workers.
+
+    Totals and the gated estimates come from one aggregation over the
+    per-problem rows. Per-problem rows and result rows stay tables of their
+    own (they grow with the data); the document sink joins them back.
     """
-    t = totals(problems_counts, by)
-    g = gated_pass_at_k(problems_counts, by)
-    gm = g.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.concat(F.lit("pass_at_"), F.col("k").cast("string")), F.col("pass_at_k"))))).alias("pass_at_k"))
+    by = list(by)
+    est = problems_counts
+    aggs = [F.coalesce(F.sum("num_samples"), F.lit(0)).cast("bigint").alias("total_solutions"),
+            F.coalesce(F.sum("num_correct"), F.lit(0)).cast("bigint").alias("passed_solutions"),
+            F.count(F.lit(1)).alias("total_problems"), F.min("num_samples").alias("_min_n")]
+    for k in ks:
+        est = est.withColumn(f"_p{k}", pass_at_k("num_samples", "num_correct", F.lit(k)))
+        aggs.append(F.avg(f"_p{k}").alias(f"_m{k}"))
+    out = (est.groupBy(*by) if by else est.groupBy()).agg(*aggs)
+    out = out.withColumn("pass_rate", safe_ratio("passed_solutions", "total_solutions"))
+    for k in ks:
+        out = out.withColumn(f"pass_at_{k}", F.when(F.col("_min_n") >= k, F.col(f"_m{k}")))
     method = "sequential" if max_workers == 1 else "multithreaded"
-    if not by:
-        t, gm, by = t.withColumn("_all", F.lit(0)), gm.withColumn("_all", F.lit(0)), ["_all"]
-    out = t.join(gm, on=list(by), how="left").drop("_all")
-    return (out.withColumn("execution_method", F.lit(method))
+    return (out.drop("_min_n", *[f"_m{k}" for k in ks])
+            .withColumn("execution_method", F.lit(method))
             .withColumn("max_workers", F.lit(max_workers)))

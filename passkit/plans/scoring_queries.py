@@ -110,12 +110,29 @@ def q_metric_text(spark, d):
     return S.metric_text(g, ["model_name"])
 
 
-@register("summary")
+def _summary_sql() -> str:
+    cols = ",\n       ".join(
+        f"CASE WHEN min(num_samples) >= {k} THEN round(avg({sql_pass_at_k('num_samples', 'num_correct', str(k))}), 9) END"
+        f" AS pass_at_{k}" for k in (1, 5, 10, 20, 50, 100))
+    return with_views(["results"], f"""
+SELECT model_name, CAST(sum(num_samples) AS BIGINT) AS total_solutions,
+       CAST(sum(num_correct) AS BIGINT) AS passed_solutions, count(*) AS total_problems,
+       round(sum(num_correct) / sum(num_samples), 9) AS pass_rate,
+       {cols},
+       'sequential' AS execution_method, 1 AS max_workers
+FROM (SELECT model_name, task_id, count(*) AS num_samples, CAST(count_if(passed) AS BIGINT) AS num_correct
+      FROM results GROUP BY model_name, task_id)
+GROUP BY model_name""")
+
+
+@register("summary", _summary_sql())
 def q_summary(spark, d):
-    """The summary document's scalars per model (per-problem rows stay a table)."""
+    """The summary document's fields per model (per-problem rows stay a table)."""
     pp = V.results_counts(spark, d)
     s = S.summary(pp, ["model_name"], max_workers=1)
-    return s.withColumn("pass_rate", r("pass_rate"))
+    for c in ["pass_rate"] + [f"pass_at_{k}" for k in (1, 5, 10, 20, 50, 100)]:
+        s = s.withColumn(c, r(c))
+    return s
 
 
 # -- V3: lineitem attempts, 25 models ------------------------------------------------

@@ -165,7 +165,8 @@ _SUMMARY_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("total_solutions", T.LongType()),
     T.StructField("passed_solutions", T.LongType()), T.StructField("total_problems", T.LongType()),
     T.StructField("pass_rate", T.DoubleType()), T.StructField("execution_method", T.StringType()),
-    T.StructField("max_workers", T.IntegerType()), T.StructField("pass_at_k", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("max_workers", T.IntegerType()),
+    *[T.StructField(f"pass_at_{k}", T.DoubleType()) for k in (1, 5, 10, 20, 50, 100)],
     T.StructField("per_problem_results", T.ArrayType(T.StructType([
         T.StructField("task_id", T.StringType()), T.StructField("num_samples", T.LongType()),
         T.StructField("num_correct", T.LongType())]))),

@@ -57,3 +57,16 @@ def test_template_texts(spark):
     assert r[1].m == '"""Complete the following task in q (KDB+) language:\na q programmer task\n\n\n"""'
     assert r[0].g == '"""You are an expert q (KDB+) programmer. Here is your task:\ndo x\n"""\n'
     assert r[1].g == "a q programmer task"
+
+
+def test_summary_document_keys(spark):
+    """Gated-out k are absent from the document (NULL fields are not written)."""
+    import json as _json
+    from passkit.operators import scoring as S
+    pp = V.results_counts(spark, SF01)
+    doc = J.summary_documents(S.summary(pp, ["model_name"]), pp, ["model_name"]).first().document
+    d = _json.loads(doc)
+    assert {"pass_at_1", "pass_at_5", "pass_at_10", "pass_at_20"} <= set(d)
+    assert "pass_at_50" not in d and "pass_at_100" not in d
+    assert d["total_problems"] == len(d["per_problem_results"]) == 150
+    assert d["execution_method"] == "sequential" and d["max_workers"] == 1

@@ -115,10 +115,25 @@ def _parts_from(lines: str, st: str, fold: str, name: str) -> F.Column:
 # So every stage is its own column: Catalyst keeps non-trivial expressions
 # in separate projections instead of duplicating them.
 
+def _emit(t: DataFrame, fields: dict[str, F.Column]) -> DataFrame:
+    """Add ``fields`` through a one-row generator (``inline`` of a 1-element array).
+
+    A filter on a generator's output is not pushed below the generator, so
+    a later ``where`` on an extracted column cannot copy the fold (and the
+    line arrays it reads) into the filter condition.
+    """
+    tmp = {out: f"_xo_{i}" for i, out in enumerate(fields)}
+    st = F.struct(*[c.alias(tmp[out]) for out, c in fields.items()])
+    t = t.select("*", F.inline(F.array(st)))
+    for out, name in tmp.items():
+        t = t.withColumnRenamed(name, out)
+    return t
+
+
 def with_code_block(df: DataFrame, text: str, out: str = "code_block") -> DataFrame:
     """Add the first ```q block's content (NULL when none or empty)."""
     t = df.withColumn("_x_lines", _lines(F.col(text))).withColumn("_x_st", _stripped_lines("_x_lines"))
-    return t.withColumn(out, _block_from("_x_lines", "_x_st")).drop("_x_lines", "_x_st")
+    return _emit(t, {out: _block_from("_x_lines", "_x_st")}).drop("_x_lines", "_x_st")
 
 
 def with_function(df: DataFrame, text: str, name: str, out: str = "function", how: str | None = None,
@@ -130,10 +145,10 @@ def with_function(df: DataFrame, text: str, name: str, out: str = "function", ho
          .withColumn(S, _stripped_lines(q(L)))
          .withColumn(FO, _function_fold(q(L), q(S), q(name)))
          .withColumn(P, _parts_from(q(L), q(S), q(FO), q(name))))
-    t = t.withColumn(out, F.col(f"{P}.body"))
+    fields = {out: F.col(f"{P}.body")}
     if how:
-        t = t.withColumn(how, F.col(f"{P}.how"))
-    return t.drop(L, S, FO, P)
+        fields[how] = F.col(f"{P}.how")
+    return _emit(t, fields).drop(L, S, FO, P)
 
 
 def with_extracted(df: DataFrame, text: str, name: str, code: str = "code", path: str = "path") -> DataFrame:

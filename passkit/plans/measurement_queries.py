@@ -57,7 +57,7 @@ def q_latency_percentiles(spark, d):
 
 
 @register("token_count", with_views(["texts"], f"""
-SELECT doc_id, {sql_word_count('text')} AS words FROM texts"""))
+SELECT doc_id, CAST({sql_word_count('text')} AS INTEGER) AS words FROM texts"""))
 def q_token_count(spark, d):
     return V.texts(spark, d).select("doc_id", word_count(F.col("text")).alias("words"))
 
@@ -191,7 +191,7 @@ def q_balanced_trial(spark, d):
 
 
 @register("profile_summary", with_views(["trials"], """
-SELECT model, count(*) AS configurations_tested, count_if(error IS NULL) AS valid_configurations,
+SELECT model, count(*) AS configurations_tested, CAST(count_if(error IS NULL) AS BIGINT) AS valid_configurations,
        round(max(tokens_per_second) FILTER (WHERE error IS NULL), 9) AS max_tokens_per_second,
        round(min(memory_used_gb) FILTER (WHERE error IS NULL), 9) AS min_memory_usage_gb
 FROM trials GROUP BY model"""))

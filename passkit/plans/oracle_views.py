@@ -49,7 +49,7 @@ VIEWS: dict[str, str] = {
   FROM conversations WHERE role = 'assistant'""",
     "measurements": """
   SELECT event_type AS model, event_id, user_id AS prompt_id, value AS latency,
-         dense_rank() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS run
+         CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS INTEGER) AS run
   FROM events""",
     "trials": """
   SELECT p_brand AS model, p_partkey AS trial_no, p_size AS batch_size,

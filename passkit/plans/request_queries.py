@@ -119,8 +119,8 @@ def q_split_calls(spark, d):
 
 
 @register("request_messages", with_views(["problems"], f"""
-SELECT task_id, to_json([{{'role': 'user', 'content': {_lit(P.HUMANEVAL_PREAMBLE)} || prompt || {_lit(P.HUMANEVAL_CLOSE)}}}])
-       AS messages
+SELECT task_id, CAST(to_json([{{'role': 'user', 'content': {_lit(P.HUMANEVAL_PREAMBLE)} || prompt || {_lit(P.HUMANEVAL_CLOSE)}}}])
+       AS VARCHAR) AS messages
 FROM problems"""))
 def q_request_messages(spark, d):
     p = V.problems(spark, d).select("task_id", "prompt", "entry_point")
@@ -130,7 +130,7 @@ def q_request_messages(spark, d):
 
 @register("conversation_messages", """
 SELECT conv_id, count(*) AS n_messages,
-       to_json(list({'role': role, 'content': text} ORDER BY turn)) AS messages
+       CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS messages
 FROM conversations GROUP BY conv_id""")
 def q_conversation_messages(spark, d):
     c = table(spark, d, "conversations")
@@ -155,7 +155,7 @@ def _sql_settings_case(field_sql) -> str:
 @register("model_settings", with_views(["requests"], f"""
 SELECT model_name, task_id, fam AS family,
        {_sql_settings_case(lambda v: str(v[0]))} AS max_concurrent,
-       {_sql_settings_case(lambda v: repr(v[1]))} AS rate_limit_delay,
+       CAST({_sql_settings_case(lambda v: repr(v[1]))} AS DOUBLE) AS rate_limit_delay,
        {_sql_settings_case(lambda v: str(v[2]).lower())} AS requires_parallel_generation,
        {_sql_settings_case(lambda v: str(v[3]).lower())} AS requires_seed_diversification,
        {_sql_settings_case(lambda v: _lit(",".join(sorted(v[4]))))} AS updated_keys,

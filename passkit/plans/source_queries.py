@@ -72,7 +72,7 @@ def q_sample_row(spark, d):
 
 
 @register("required_fields_report", """
-SELECT field, present, null_rows, rows FROM (
+SELECT field, present, CAST(null_rows AS BIGINT) AS null_rows, rows FROM (
   SELECT 'task_id' AS field, true AS present, count_if(item_id % 7 = 3) AS null_rows, count(*) AS rows FROM benchmark
   UNION ALL SELECT 'prompt', true, count_if(text IS NULL), count(*) FROM benchmark
   UNION ALL SELECT 'tests', false, count(*), count(*) FROM benchmark

@@ -26,3 +26,17 @@ def test_matches_oracle(spark, con, name):
 def test_rows_only(spark, name):
     df = QUERIES[name](spark, SF01)
     assert df.count() >= 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "array<string>": "VARCHAR[]", "array<float>": "FLOAT[]", "array<int>": "INTEGER[]"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle_types_match(spark, con, name):
+    """Same column names and the same types in both engines (no HUGEINT/DECIMAL/JSON drift)."""
+    got = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in QUERIES[name](spark, SF01).schema.fields}
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({ORACLE[name]})").fetchall()}
+    assert got == want

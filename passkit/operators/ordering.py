@@ -19,6 +19,24 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_WIDTH = 1 << 16
 
 
+def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), keeping ``left``'s key columns.
+
+    Aggregations group NULL keys together; joining their results back with
+    plain ``=`` would silently drop those rows.
+    """
+    keys = list(keys)
+    if not keys:
+        return left.join(right, how=how) if how != "inner" else left.join(right)
+    ren = {k: f"_jb_{i}" for i, k in enumerate(keys)}
+    r = right.select(*[F.col(c).alias(ren.get(c, c)) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[ren[k]])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*ren.values())
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                  values: Mapping[str, Column], width: int = DEFAULT_BLOCK_WIDTH) -> DataFrame:
     """Add inclusive running sums of ``values`` per ``keys`` in ``order_cols`` order.
@@ -29,7 +47,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     """
     keys, order_cols = list(keys), list(order_cols)
     blk = "_pk_block"
-    base = df.withColumn(blk, F.floor(F.col(order_cols[0]) / F.lit(width)))
+    # NULL order values sort first, as in a window: they get the lowest block
+    base = df.withColumn(blk, F.coalesce(F.floor(F.col(order_cols[0]) / F.lit(width)), F.lit(-(1 << 62))))
     for name, expr in values.items():
         base = base.withColumn(f"_pk_v_{name}", expr)
     block_totals = base.groupBy(*keys, blk).agg(
@@ -41,7 +60,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
           for name in values])
     inside = (Window.partitionBy(*keys, blk).orderBy(*order_cols)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = base.join(offsets, on=[*keys, blk], how="inner")
+    out = join_back(base, offsets, [*keys, blk])
     for name in values:
         out = out.withColumn(name, F.col(f"_pk_o_{name}") + F.sum(f"_pk_v_{name}").over(inside))
     drop = [blk] + [f"_pk_{p}_{name}" for name in values for p in ("v", "o")]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from passkit.functions.metrics import safe_ratio
 from passkit.functions.text import word_count
+from passkit.operators.ordering import join_back
 from passkit.operators.quantiles import exact_percentiles
 
 MB = 1024.0 ** 2
@@ -26,7 +27,7 @@ def run_rank(df: DataFrame, keys: Sequence[str], order: str, name: str = "run")
     keys = list(keys)
     distinct = df.select(*keys, order).distinct()
     ranked = distinct.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)))
-    return df.join(ranked, on=[*keys, order])
+    return join_back(df, ranked, [*keys, order])
 
 
 def drop_warmup(runs: DataFrame, warmup: int, run: str = "run") -> DataFrame:

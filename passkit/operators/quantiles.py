@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passkit.operators.ordering import join_back
+
 DEFAULT_ACCURACY = 100_000
 
 
@@ -57,7 +59,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
                .withColumn("lo", F.floor("_pos")).withColumn("frac", F.col("_pos") - F.col("lo")))
     # one aggregation: rows below the bracket (in the v = NULL cell), and counts per
     # distinct value inside it; lo and frac ride along as group constants
-    j = rows.join(targets.select(*keys, "pi", "a", "b", "lo", "frac"), on=keys)
+    j = join_back(rows, targets.select(*keys, "pi", "a", "b", "lo", "frac"), keys)
     inside = (F.col("_v") >= F.col("a")) & (F.col("_v") <= F.col("b"))
     cells = (j.groupBy(*keys, "pi", "lo", "frac", F.when(inside, F.col("_v")).alias("v"))
              .agg(F.count_if(F.col("_v") < F.col("a")).alias("below"), F.count(F.lit(1)).alias("c")))
@@ -78,5 +80,5 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
         .otherwise(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
         for i, n in enumerate(names)])
     if extra_names:
-        out = stats.select(*keys, *extra_names).join(out, on=keys, how="left")
+        out = join_back(stats.select(*keys, *extra_names), out, keys, "left")
     return out

@@ -84,3 +84,19 @@ def test_balanced_choice_ties_and_zero_memory(spark):
     assert r.balanced_trial == 1 and r.balanced_score == pytest.approx(1.0)
     b = P.best_trials(df).first()
     assert b.best_throughput_trial == 1 and b.best_memory_trial == 1
+
+
+def test_null_keys_and_orders_keep_every_row(spark):
+    """Block prefix sums, run ranks and percentiles keep NULL-key / NULL-order rows."""
+    from pyspark.sql import Window
+    from passkit.operators.ordering import running_sums
+    rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 3, 3.0), (None, 4, 5.0), ("b", 5, None)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = running_sums(df, ["k"], ["t"], {"n": F.lit(1)}, width=2)
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.withColumn("n", F.count(F.lit(1)).over(w))
+    assert sorted(got.select("k", "t", "n").collect(), key=repr) == sorted(want.select("k", "t", "n").collect(), key=repr)
+    ranked = P.run_rank(df, ["k"], "t")
+    assert ranked.count() == 5
+    pct = {r.k: r.p50 for r in exact_percentiles(df, ["k"], "v", [0.5]).collect()}
+    assert pct == {"a": 1.5, None: 4.0, "b": None} or pct == {"a": 1.5, None: 4.0}

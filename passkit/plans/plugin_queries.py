@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.functions.extraction import with_solution_code
 from passkit.functions.text import sql_strip
-from passkit.operators import evaluate as E
 from passkit.operators import plugins as G
 from passkit.operators import requests as Q
 from passkit.operators import scoring as S
@@ -101,17 +99,9 @@ def q_assertion_inventory_exact(spark, d):
 
 def evaluated(spark, d):
     """Solutions -> problems -> guards -> extraction -> runner: one result row per solution."""
+    from passkit.operators.harness import execute_solutions
     from passkit.plans.evaluation_queries import problems_g, solutions
-    sol = solutions(spark, d)
-    probs = problems_g(spark, d).select("task_id", "entry_point", "tests").withColumn("test_setup_code", F.lit(""))
-    j = E.attach_problem(sol, probs)
-    j = j.withColumn("error", E.guard_error(F.col("task_id"), F.col("has_problem"), F.col("entry_point"),
-                                           F.col("completion")))
-    guarded = j.where(F.col("error").isNotNull()).select(
-        "task_id", F.col("sample_index").cast("int"), "model_name", F.lit(False).alias("passed"),
-        F.lit(None).cast("string").alias("info"), "error")
-    runnable = with_solution_code(j.where(F.col("error").isNull()), "completion", "entry_point")
-    return G.evaluate(runnable).unionByName(guarded)
+    return execute_solutions(solutions(spark, d), problems_g(spark, d))
 
 
 _GUARD_SQL = f"""CASE WHEN p.task_id IS NULL THEN 'No problem data found for ' || s.task_id

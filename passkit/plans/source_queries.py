@@ -21,7 +21,6 @@ from passkit.plans.registry import register
 from passkit.session import shared_dir
 from passkit.sources import catalog as C
 from passkit.sources import jsonl as J
-from passkit.sources.tables import table
 
 
 def derived_dir(spark, sf_dir: str, name: str) -> str:

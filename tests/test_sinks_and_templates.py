@@ -70,3 +70,17 @@ def test_summary_document_keys(spark):
     assert "pass_at_50" not in d and "pass_at_100" not in d
     assert d["total_problems"] == len(d["per_problem_results"]) == 150
     assert d["execution_method"] == "sequential" and d["max_workers"] == 1
+
+
+def test_generate_execute_score(spark):
+    """The three commands end to end on the benchmark problems."""
+    from passkit.operators.harness import execute_solutions, generate_solutions, score_results
+    problems = V.problems(spark, SF01)
+    sol = generate_solutions(problems, "echo", 3)
+    assert sol.count() == 3 * problems.count()
+    res = execute_solutions(sol, problems)
+    assert res.count() == sol.count()
+    pp, summary = score_results(res)
+    s = summary.first()
+    assert s.total_solutions == sol.count() and s.passed_solutions == sol.count()  # echo answers are q lambdas
+    assert s.pass_at_1 == 1.0 and s.pass_at_5 is None  # n = 3 gates out k = 5

@@ -78,8 +78,8 @@ SELECT field, present, CAST(null_rows AS BIGINT) AS null_rows, rows FROM (
   UNION ALL SELECT 'entry_point', true, 0, count(*) FROM benchmark)""")
 def q_required_fields_report(spark, d):
     """The written problems file has no ``tests`` field; task ids are read raw (no default)."""
-    raw = spark.read.schema(J.PROBLEM_SCHEMA.fieldNames() and T.StructType(
-        [f for f in J.PROBLEM_SCHEMA.fields if f.name != "tests"])).json(_write_problems(spark, d))
+    without_tests = T.StructType([f for f in J.PROBLEM_SCHEMA.fields if f.name != "tests"])
+    raw = spark.read.schema(without_tests).json(_write_problems(spark, d))
     return J.required_fields_report(raw)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passkit.operators.ordering import row_index
+from passkit.operators.perf import run_rank
 from passkit.sources.tables import table
 
 # Fixed values of the fixtures: number of problems tasks are folded into,
@@ -155,10 +156,7 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("event_type").alias("model"), F.col("event_id"), F.col("user_id").alias("prompt_id"),
         F.to_date(F.col("ts")).alias("day"), F.col("value").alias("latency"))
-    days = e.select("model", "day").distinct()
-    from pyspark.sql import Window
-    runs = days.withColumn("run", F.dense_rank().over(Window.partitionBy("model").orderBy("day")))
-    return e.join(runs, ["model", "day"]).drop("day")
+    return run_rank(e, ["model"], "day").drop("day")
 
 
 def trials(spark: SparkSession, d: str) -> DataFrame:

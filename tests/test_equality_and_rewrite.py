@@ -72,3 +72,24 @@ def test_assertion_kinds():
     kinds = [(k["kind"], k["function"]) for k in assertion_kinds(src)]
     assert kinds == [("eq", "candidate"), ("compare", "candidate"), ("not", "candidate"),
                      ("bare", "candidate"), ("compare", "candidate")]
+
+
+@pytest.mark.parametrize("stage,msg,loose,strict", [
+    ("passed", None, "passed", "passed"),
+    ("assert", "x != y", "failed: Test assertion failed: x != y", "failed: Test assertion failed: x != y"),
+    ("test", "runtime error", "timed out", "failed: Test execution failed: runtime error"),
+    ("test", "Timeout after 5s", "timed out", "timed out"),
+    ("ipc", "cannot import name", "failed: IPC port error: cannot import name",
+     "failed: IPC execution error: cannot import name"),
+    ("ipc", "q executable not found", "failed: Q/KDB+ executable not found. Please ensure q is installed and in PATH.",
+     "failed: Q/KDB+ executable not found. Please ensure q is installed and in PATH."),
+    ("nocheck", None, "failed: No 'check' function found in tests", "failed: No 'check' function found in tests"),
+])
+def test_outcome_labels(spark, stage, msg, loose, strict):
+    from passkit.operators.evaluate import classify_outcome, outcome_kind
+    df = spark.createDataFrame([(stage, msg)], "s string, m string")
+    r = df.select(classify_outcome(F.col("s"), F.col("m")).alias("a"),
+                  classify_outcome(F.col("s"), F.col("m"), strict=True).alias("b")).first()
+    assert (r.a, r.b) == (loose, strict)
+    k = df.select(outcome_kind(classify_outcome(F.col("s"), F.col("m"))).alias("k")).first().k
+    assert k in ("passed", "timed out") or k.startswith("failed: ")

@@ -100,3 +100,13 @@ def test_null_keys_and_orders_keep_every_row(spark):
     assert ranked.count() == 5
     pct = {r.k: r.p50 for r in exact_percentiles(df, ["k"], "v", [0.5]).collect()}
     assert pct == {"a": 1.5, None: 4.0, "b": None} or pct == {"a": 1.5, None: 4.0}
+
+
+def test_latency_stats_approx_close_to_exact(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("m", float(v)) for v in rng.exponential(10, 5000)], "model string, latency double")
+    ex = P.latency_stats(df, ["model"]).first()
+    ap = P.latency_stats(df, ["model"], exact=False, accuracy=1000).first()
+    assert ap.mean == pytest.approx(ex.mean) and ap.samples == ex.samples == 5000
+    for c in ("median", "p95", "p99"):
+        assert getattr(ap, c) == pytest.approx(getattr(ex, c), rel=0.05)

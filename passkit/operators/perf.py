@@ -35,8 +35,23 @@ def drop_warmup(runs: DataFrame, warmup: int, run: str = "run") -> DataFrame:
     return runs.where(F.col(run) > warmup)
 
 
-def latency_stats(runs: DataFrame, keys: Sequence[str], value: str = "latency") -> DataFrame:
-    """mean, median, sample stdev (0.0 for one value), min, max, p95, p99 per group."""
+def latency_stats(runs: DataFrame, keys: Sequence[str], value: str = "latency", exact: bool = True,
+                  accuracy: int = 100_000) -> DataFrame:
+    """mean, median, sample stdev (0.0 for one value), min, max, p95, p99 per group.
+
+    ``exact=False`` answers the percentiles from the quantile sketch alone
+    (one pass, rank error <= n / accuracy, no interpolation) -- the opt-in
+    for very large inputs where the exact refinement pass is not wanted.
+    """
+    keys = list(keys)
+    if not exact:
+        x = F.col(value)
+        return runs.groupBy(*keys).agg(
+            F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stdev"),
+            F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("samples"),
+            F.percentile_approx(x, [0.5, 0.95, 0.99], accuracy).alias("_q")
+        ).select(*keys, "mean", "stdev", "min", "max", "samples", F.col("_q")[0].alias("median"),
+                 F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99"))
     v = F.col("_v")
     return exact_percentiles(runs, keys, value, [0.5, 0.95, 0.99], ["median", "p95", "p99"], extra_aggs=[
         F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),

@@ -63,12 +63,23 @@ def read_problems(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
     return df.withColumn("task_id", F.coalesce(F.col("task_id"), F.concat(F.lit("task_"), F.col("pos").cast("string"))))
 
 
-def read_solutions(spark: SparkSession, path: str) -> DataFrame:
-    """Solutions; the legacy ``extracted_code`` stands in where ``completion`` is absent."""
+def read_solutions(spark: SparkSession, path: str, default_ids: bool = False) -> DataFrame:
+    """Solutions; the legacy ``extracted_code`` stands in where ``completion`` is absent,
+    a missing sample_index is 0.
+
+    ``default_ids`` names solutions without a task_id ``task_{pos}`` by their
+    position in the file, as the reference does; it costs a positional index
+    over the whole input, so it is off unless asked for.
+    """
     df = _reader(spark, SOLUTION_SCHEMA).json(path)
-    return (df.withColumn("completion", F.coalesce(F.col("completion"), F.col("extracted_code")))
-            .withColumn("sample_index", F.coalesce(F.col("sample_index"), F.lit(0)))
-            .drop("extracted_code"))
+    df = (df.withColumn("completion", F.coalesce(F.col("completion"), F.col("extracted_code")))
+          .withColumn("sample_index", F.coalesce(F.col("sample_index"), F.lit(0)))
+          .drop("extracted_code"))
+    if default_ids:
+        df = row_index(df.withColumn("_mono", F.monotonically_increasing_id()), [], ["_mono"], "_pos").drop("_mono")
+        df = df.withColumn("task_id", F.coalesce(F.col("task_id"), F.concat(F.lit("task_"), F.col("_pos").cast("string"))))
+        df = df.drop("_pos")
+    return df
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -99,3 +99,12 @@ def test_dataset_registry(spark):
     assert spark.sql("SELECT task_id FROM mine").first().task_id == "a"
     with pytest.raises(ValueError):
         reg.get("nope")
+
+
+def test_solution_default_ids(spark):
+    d = tempfile.mkdtemp(prefix="passkit-src-")
+    p = _write(os.path.join(d, "s.jsonl"), "\n".join(json.dumps(o) for o in [
+        {"task_id": "a", "completion": "x"}, {"completion": "y", "sample_index": 3}, {"task_id": "b"}]) + "\n")
+    rows = sorted((r.task_id, r.sample_index, r.completion) for r in J.read_solutions(spark, p, default_ids=True).collect())
+    assert rows == [("a", 0, "x"), ("b", 0, None), ("task_1", 3, "y")]
+    assert J.read_solutions(spark, p).where("task_id IS NULL").count() == 1

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from passkit.functions.text import PY_SPACE, py_strip
 
+# The code-fence lines the scanner recognises.
 FENCE_OPEN = "```q"
 FENCE = "```"
 

@@ -19,6 +19,7 @@ from passkit.operators.ordering import row_index
 
 SEED_MULTIPLIER = 2654435761  # odd, so sample -> seed is a bijection mod 2^31
 SEED_MODULUS = 1 << 31
+# Sequences per generation call once n exceeds the single-call limit.
 MAX_SEQUENCES_PER_CALL = 8
 SINGLE_CALL_LIMIT = 10
 

@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Language pair of every dataset and the registered datasets.
+# Language pair of every dataset.
 LANGUAGE = "q"
 TEST_LANGUAGE = "python"
-REGISTERED = {
-    "q-humaneval": {"path": "./datasets/q_humaneval.jsonl", "format": "jsonl", "schema": "humaneval",
-                    "language": "q", "test_language": "python", "prompt_template": "q_humaneval"},
-}
+# Datasets known before any registration (a deployment lists its own here).
+REGISTERED: dict[str, dict] = {}
 
 
 def detect_schema(keys: Column) -> Column:

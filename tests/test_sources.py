@@ -95,7 +95,7 @@ def test_dataset_registry(spark):
     cfg = reg.register("mine", p)
     assert (cfg["schema"], cfg["prompt_template"], cfg["format"]) == ("q_humaneval", "q_humaneval", "jsonl")
     got = {r.name: r.description for r in reg.listing().collect()}
-    assert got == {"mine": "q -> python (q_humaneval)", "q-humaneval": "q -> python (humaneval)"}
+    assert got == {"mine": "q -> python (q_humaneval)"}
     assert spark.sql("SELECT task_id FROM mine").first().task_id == "a"
     with pytest.raises(ValueError):
         reg.get("nope")

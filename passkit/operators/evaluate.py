@@ -37,10 +37,36 @@ def problem_lookup(problems: DataFrame, pos: str = "pos") -> DataFrame:
     return best.select("task_id", *[F.col(f"_p.{c}").alias(c) for c in others])
 
 
-def attach_problem(solutions: DataFrame, problems: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Left outer join solutions -> problems; unmatched solutions are kept with ``has_problem`` false."""
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], buckets: int, how: str = "left",
+                salt_from: Sequence[str] = ()) -> DataFrame:
+    """Equi-join that spreads each key of ``big`` over ``buckets`` partitions.
+
+    ``big`` gets a salt from a hash of ``salt_from`` (deterministic, so a
+    recomputed partition lands in the same bucket); ``small`` is repeated
+    once per bucket with a generator column. A key holding a third of
+    ``big`` is then split ``buckets`` ways instead of landing in one task.
+    """
+    keys = list(keys)
+    src = [F.col(c) for c in (salt_from or big.columns)]
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*src), F.lit(buckets)).cast("int"))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return b.join(s, on=[*keys, "_salt"], how=how).drop("_salt")
+
+
+def attach_problem(solutions: DataFrame, problems: DataFrame, keys: Sequence[str] = ("task_id",),
+                   salt_buckets: int = 0) -> DataFrame:
+    """Left outer join solutions -> problems; unmatched solutions are kept with ``has_problem`` false.
+
+    By default the planner broadcasts the problems when their measured size
+    allows, and AQE splits a skewed task partition otherwise;
+    ``salt_buckets`` forces a deterministic salted join instead.
+    """
     p = problems.withColumn("has_problem", F.lit(True))
-    out = solutions.join(p, on=list(keys), how="left")
+    if salt_buckets > 1:
+        salt_cols = [c for c in ("model_name", "sample_index") if c in solutions.columns]
+        out = salted_join(solutions, p, keys, salt_buckets, "left", salt_cols)
+    else:
+        out = solutions.join(p, on=list(keys), how="left")
     return out.withColumn("has_problem", F.coalesce(F.col("has_problem"), F.lit(False)))
 
 

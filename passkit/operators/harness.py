@@ -43,7 +43,8 @@ def generate_solutions(problems: DataFrame, model_name: str, n: int, template: s
 
 
 def execute_solutions(solutions: DataFrame, problems: DataFrame,
-                      runner: Callable[[pd.DataFrame], pd.DataFrame] = G.structural_runner) -> DataFrame:
+                      runner: Callable[[pd.DataFrame], pd.DataFrame] = G.structural_runner,
+                      salt_buckets: int = 0) -> DataFrame:
     """One result per solution: guarded rows fail with their message, the rest are
     extracted and run through ``runner``. No row is dropped.
 
@@ -55,7 +56,7 @@ def execute_solutions(solutions: DataFrame, problems: DataFrame,
     probs = problems.select(*cols)
     if "test_setup_code" not in probs.columns:
         probs = probs.withColumn("test_setup_code", F.lit(""))
-    j = E.attach_problem(solutions, probs)
+    j = E.attach_problem(solutions, probs, salt_buckets=salt_buckets)
     j = j.withColumn("error", E.guard_error(F.col("task_id"), F.col("has_problem"), F.col("entry_point"),
                                            F.col("completion")))
     guarded = j.where(F.col("error").isNotNull()).select(

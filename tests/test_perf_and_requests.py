@@ -110,3 +110,14 @@ def test_latency_stats_approx_close_to_exact(spark):
     assert ap.mean == pytest.approx(ex.mean) and ap.samples == ex.samples == 5000
     for c in ("median", "p95", "p99"):
         assert getattr(ap, c) == pytest.approx(getattr(ex, c), rel=0.05)
+
+
+def test_salted_attach_equals_plain_with_hot_task(spark):
+    from passkit.operators.evaluate import attach_problem
+    sol = spark.createDataFrame([("hot" if i % 3 else f"t{i % 11}", i, "m") for i in range(3000)] + [("orphan", 0, "m")],
+                                "task_id string, sample_index int, model_name string")
+    probs = spark.createDataFrame([("hot", "f"), *[(f"t{i}", f"g{i}") for i in range(11)]], "task_id string, entry_point string")
+    plain = attach_problem(sol, probs).collect()
+    salted = attach_problem(sol, probs, salt_buckets=16)
+    assert sorted(plain) == sorted(salted.select(*[c for c in plain[0].asDict()]).collect())
+    assert salted.count() == 3001 and salted.where("NOT has_problem").count() == 1

@@ -102,7 +102,9 @@ def check_answers(answers: DataFrame, expected: DataFrame, equal: Column | None
         from passkit.functions.equality import smart_equal
         equal = smart_equal(j, "actual", "expected")
     ok = F.coalesce(F.col("_has_case"), F.lit(False)) & equal
-    per_sample = j.groupBy(task, sample).agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("cases_passed"),
+    # distinct cases: a repeated answer row cannot stand in for a missing case
+    per_sample = j.groupBy(task, sample).agg(F.count_distinct(F.when(F.coalesce(ok, F.lit(False)), F.col(case)))
+                                             .alias("cases_passed"),
                                              F.count(F.lit(1)).alias("cases_answered"))
     n_cases = expected.groupBy(task).agg(F.count(F.lit(1)).alias("cases_expected"))
     out = per_sample.join(n_cases, on=[task], how="left").fillna(0, subset=["cases_expected"])

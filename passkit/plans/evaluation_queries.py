@@ -125,10 +125,10 @@ _ANSWERS_SQL = """
 
 @register("check_answers", with_views(["answers"], """
 SELECT a.task_id, a.sample_index,
-       CAST(count_if(coalesce(a.value = e.expected, false)) AS BIGINT) AS cases_passed,
+       count(DISTINCT CASE WHEN coalesce(a.value = e.expected, false) THEN a.case_no END) AS cases_passed,
        CAST(count(*) AS BIGINT) AS cases_answered,
        CAST(max(n.cases_expected) AS BIGINT) AS cases_expected,
-       count_if(coalesce(a.value = e.expected, false)) >= max(n.cases_expected) AS passed
+       count(DISTINCT CASE WHEN coalesce(a.value = e.expected, false) THEN a.case_no END) >= max(n.cases_expected) AS passed
 FROM answer_rows a
 LEFT JOIN expected_rows e ON a.task_id = e.task_id AND a.case_no = e.case_no
 LEFT JOIN (SELECT task_id, count(*) AS cases_expected FROM expected_rows GROUP BY task_id) n ON a.task_id = n.task_id

@@ -93,3 +93,14 @@ def test_outcome_labels(spark, stage, msg, loose, strict):
     assert (r.a, r.b) == (loose, strict)
     k = df.select(outcome_kind(classify_outcome(F.col("s"), F.col("m"))).alias("k")).first().k
     assert k in ("passed", "timed out") or k.startswith("failed: ")
+
+
+def test_check_answers_duplicates_and_missing(spark):
+    from passkit.operators.evaluate import check_answers
+    expected = spark.createDataFrame([("t", 1, [1]), ("t", 2, [2]), ("u", 1, [5])], "task_id string, case_no int, value array<int>")
+    answers = spark.createDataFrame([("t", 0, 1, [1]), ("t", 0, 1, [1]),      # case 1 twice, case 2 missing
+                                     ("t", 1, 1, [1]), ("t", 1, 2, [2]),      # all right
+                                     ("v", 0, 1, [9])],                       # task without cases
+                                    "task_id string, sample_index int, case_no int, value array<int>")
+    got = {(r.task_id, r.sample_index): r.passed for r in check_answers(answers, expected).collect()}
+    assert got == {("t", 0): False, ("t", 1): True, ("v", 0): True}

@@ -43,13 +43,16 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 
 def live_tally(results: DataFrame, out_path: str, checkpoint: str,
-               keys: Sequence[str] = ("model_name", "task_id")) -> StreamingQuery:
-    """Start the tally; every micro-batch appends (keys, counts, batch_id) for the keys it changed."""
+               keys: Sequence[str] = ("model_name", "task_id"), ks: Sequence[int] = ()) -> StreamingQuery:
+    """Start the tally; every micro-batch appends (keys, counts, pass_at_{k}..., batch_id) for the
+    keys it changed -- the running pass@k of each problem as results arrive."""
     counts = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.count_if(F.coalesce(F.col("passed"), F.lit(False))).alias("num_correct"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        for k in ks:
+            batch = batch.withColumn(f"pass_at_{k}", pass_at_k("num_samples", "num_correct", F.lit(k)))
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
     return (counts.writeStream.outputMode("update").foreachBatch(sink)
@@ -67,8 +70,11 @@ def read_tally(spark: SparkSession, out_path: str, keys: Sequence[str] = ("model
     return out
 
 
-def stream_dedup(solutions: DataFrame, out_path: str, checkpoint: str, delay: str = "3650 days",
+def stream_dedup(solutions: DataFrame, out_path: str, checkpoint: str, delay: str,
                  keys: Sequence[str] = KEY, event_time: str = "generated_at") -> StreamingQuery:
+    """Drop re-appended samples. ``delay`` must cover how far out of event-time order
+    records arrive: state is kept that long, and rows older than the watermark
+    are late (Spark drops them), so a too-short delay loses data."""
     # watermarks need TIMESTAMP; solution times are written without a zone (NTZ)
     timed = solutions.withColumn("_event_time", F.col(event_time).cast("timestamp"))
     deduped = (timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(keys))

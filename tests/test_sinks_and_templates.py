@@ -84,3 +84,20 @@ def test_generate_execute_score(spark):
     s = summary.first()
     assert s.total_solutions == sol.count() and s.passed_solutions == sol.count()  # echo answers are q lambdas
     assert s.pass_at_1 == 1.0 and s.pass_at_5 is None  # n = 3 gates out k = 5
+
+
+def test_live_tally_running_pass_at_k(spark):
+    """Running pass@1 per problem written by the stream equals the batch estimate at the end."""
+    from passkit.functions.metrics import pass_at_k
+    from passkit.plans.streaming_queries import RESULTS_STREAM_SCHEMA, _write_result_files
+    from passkit.streaming import live as L
+    run = L.new_run_dir(spark, "tally-test")
+    src = _write_result_files(spark, SF01, run)
+    L.live_tally(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=3),
+                 f"{run}/out", f"{run}/ck", ks=(1,)).awaitTermination()
+    written = spark.read.parquet(f"{run}/out")
+    assert written.select("batch_id").distinct().count() > 1  # several micro-batches
+    final = written.groupBy("model_name", "task_id").agg(F.max_by("pass_at_1", "batch_id").alias("p"))
+    batch = V.results_counts(spark, SF01).withColumn("q", pass_at_k("num_samples", "num_correct", F.lit(1)))
+    diff = final.join(batch, ["model_name", "task_id"]).where(F.abs(F.col("p") - F.col("q")) > 1e-12)
+    assert diff.count() == 0 and final.count() == batch.count()

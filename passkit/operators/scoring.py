@@ -45,15 +45,32 @@ def mean_pass_at_k(problems: DataFrame, k: int, by: Sequence[str] = ()) -> DataF
     return agg.agg(F.coalesce(F.avg("_p"), F.lit(0.0)).alias(f"pass_at_{k}"))
 
 
-def gated_pass_at_k(problems: DataFrame, by: Sequence[str] = (), ks: Sequence[int] = K_VALUES) -> DataFrame:
+def estimates_by_counts(problems: DataFrame, ks: Sequence[int] = K_VALUES) -> DataFrame:
+    """pass@k once per distinct (num_samples, num_correct, k).
+
+    With millions of problems the (n, c) pairs are few (at most ~n_max^2 / 2),
+    so the interpreted product runs on that small table instead of on every
+    per-problem row; the planner broadcasts it back when its measured size
+    allows.
+    """
+    pairs = problems.select("num_samples", "num_correct").distinct()
+    return (pairs.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+            .withColumn("_p", pass_at_k("num_samples", "num_correct", F.col("k"))))
+
+
+def gated_pass_at_k(problems: DataFrame, by: Sequence[str] = (), ks: Sequence[int] = K_VALUES,
+                    by_counts: bool = False) -> DataFrame:
     """Long form (by..., k, pass_at_k): k is kept only if every problem has >= k samples.
 
     The k grid is a generator column on the per-problem rows (no join), and
     one aggregation yields both the mean and the gate's min(num_samples).
+    ``by_counts`` takes the estimates from ``estimates_by_counts`` instead.
     """
-    est = (problems
-           .withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
-           .withColumn("_p", pass_at_k("num_samples", "num_correct", F.col("k"))))
+    est = problems.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    if by_counts:
+        est = est.join(estimates_by_counts(problems, ks), on=["num_samples", "num_correct", "k"])
+    else:
+        est = est.withColumn("_p", pass_at_k("num_samples", "num_correct", F.col("k")))
     out = (est.groupBy(*by, "k")
            .agg(F.avg("_p").alias("pass_at_k"), F.min("num_samples").alias("_min_n"))
            .where(F.col("_min_n") >= F.col("k"))

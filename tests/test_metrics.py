@@ -93,3 +93,10 @@ def test_running_pass_rate_matches_window_with_hot_key(spark):
     a = sorted(got.select("model", "event_id", "s", "n").collect())
     b = sorted(want.select("model", "event_id", "s", "n").collect())
     assert a == b
+
+
+def test_estimates_by_counts_equal_direct(spark):
+    pp = V.attempt_counts(spark, SF01).drop("category")
+    a = sorted((r.model, r.k, round(r.pass_at_k, 12)) for r in S.gated_pass_at_k(pp, ["model"]).collect())
+    b = sorted((r.model, r.k, round(r.pass_at_k, 12)) for r in S.gated_pass_at_k(pp, ["model"], by_counts=True).collect())
+    assert a == b and len(a) > 25

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,9 @@ from passkit.sources import jsonl as J
 
 
 def derived_dir(spark, sf_dir: str, name: str) -> str:
+    """A fresh folder per call (concurrent calls never share or overwrite input)."""
     tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.strip("/"))
-    return os.path.join(shared_dir(spark), "passkit_derived", tag, name)
+    return os.path.join(shared_dir(spark), "passkit_derived", tag, uuid.uuid4().hex[:12], name)
 
 
 def _write_problems(spark, d):

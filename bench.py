@@ -3,7 +3,7 @@
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8).
 Each query runs to completion through the ``noop`` sink (full execution,
 nothing collected to the driver). One untimed pass over all queries warms
-the JVM and the Python workers; then each query runs twice and the faster
+the JVM and the Python workers; then each query runs three times and the fastest
 run counts. Times include building and planning the DataFrame.
 """
 
@@ -42,7 +42,7 @@ def main() -> None:
     times = {}
     for n in names:
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t = time.perf_counter()
             QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t

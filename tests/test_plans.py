@@ -20,9 +20,11 @@ def _plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cartesian_or_nested_loop_join(spark, name):
+def test_no_cartesian_or_nested_loop_join_or_row_udf(spark, name):
     plan = _plan(QUERIES[name](spark, SF01))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # Python only through Arrow batches (pandas_udf / mapInPandas), never row at a time
+    assert "BatchEvalPython" not in plan
 
 
 def test_leaderboard_reads_lineitem_once_with_three_columns(spark):

@@ -101,3 +101,10 @@ def test_live_tally_running_pass_at_k(spark):
     batch = V.results_counts(spark, SF01).withColumn("q", pass_at_k("num_samples", "num_correct", F.lit(1)))
     diff = final.join(batch, ["model_name", "task_id"]).where(F.abs(F.col("p") - F.col("q")) > 1e-12)
     assert diff.count() == 0 and final.count() == batch.count()
+
+
+def test_read_summary_missing_path_is_empty(spark):
+    from passkit.plans.source_queries import _SUMMARY_SCHEMA
+    missing = tempfile.mkdtemp(prefix="passkit-none-") + "/does-not-exist"
+    df = J.read_summary(spark, missing, _SUMMARY_SCHEMA)
+    assert df.count() == 0 and df.schema == _SUMMARY_SCHEMA

@@ -104,3 +104,41 @@ def test_check_answers_duplicates_and_missing(spark):
                                     "task_id string, sample_index int, case_no int, value array<int>")
     got = {(r.task_id, r.sample_index): r.passed for r in check_answers(answers, expected).collect()}
     assert got == {("t", 0): False, ("t", 1): True, ("v", 0): True}
+
+
+def _py_equal(a, b):
+    """The rule in plain Python: NULL = NULL, NaN never equal, lists by length and elements."""
+    if a is None or b is None:
+        return a is None and b is None
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(_py_equal(x, y) for x, y in zip(a, b))
+    if isinstance(a, float) and a != a or isinstance(b, float) and b != b:
+        return False
+    return a == b
+
+
+def test_smart_equal_random_nested(spark):
+    import random
+    rng = random.Random(5)
+    atoms = [None, 0.0, 1.0, 2.5, -1.0, float("nan")]
+
+    def inner():
+        return None if rng.random() < 0.08 else [rng.choice(atoms) for _ in range(rng.randint(0, 3))]
+
+    def outer():
+        return None if rng.random() < 0.05 else [inner() for _ in range(rng.randint(0, 3))]
+
+    rows = []
+    for _ in range(1000):
+        a = outer()
+        b = a if rng.random() < 0.4 else outer()
+        if a is not None and b is a and rng.random() < 0.5:  # near-copies
+            b = [list(x) if x is not None else None for x in a]
+            if b and b[0]:
+                b[0][0] = rng.choice(atoms)
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a array<array<double>>, b array<array<double>>")
+    got = [r.e for r in df.select(smart_equal(df, "a", "b").alias("e")).collect()]
+    want = [_py_equal(a, b) for a, b in rows]
+    assert got == want
+    assert 100 < sum(want) < 900  # both outcomes well represented

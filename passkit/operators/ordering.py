@@ -41,14 +41,27 @@ def running_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                  values: Mapping[str, Column], width: int = DEFAULT_BLOCK_WIDTH) -> DataFrame:
     """Add inclusive running sums of ``values`` per ``keys`` in ``order_cols`` order.
 
-    ``order_cols[0]`` must be numeric (ids, epoch values); later order
-    columns only break ties inside a block. Each output column is named by
-    its ``values`` key.
+    ``order_cols[0]`` is numeric, a timestamp or a date (blocks are cut on
+    its epoch value; the original column still orders rows inside a block);
+    later order columns only break ties. Each output column is named by its
+    ``values`` key.
     """
     keys, order_cols = list(keys), list(order_cols)
     blk = "_pk_block"
+    first = F.col(order_cols[0])
+    kind = df.schema[order_cols[0]].dataType.typeName()
+    if kind == "timestamp":
+        first = F.unix_micros(first)
+    elif kind == "timestamp_ntz":
+        # zone-free epoch at second resolution: a cast to TIMESTAMP would depend on the
+        # session zone and is not monotone across DST gaps
+        secs = (F.unix_date(F.to_date(first)).cast("long") * 86400 + F.hour(first) * 3600
+                + F.minute(first) * 60 + F.second(first))
+        first = secs * 1_000_000
+    elif kind == "date":
+        first = F.unix_date(first)
     # NULL order values sort first, as in a window: they get the lowest block
-    base = df.withColumn(blk, F.coalesce(F.floor(F.col(order_cols[0]) / F.lit(width)), F.lit(-(1 << 62))))
+    base = df.withColumn(blk, F.coalesce(F.floor(first / F.lit(width)), F.lit(-(1 << 62))))
     for name, expr in values.items():
         base = base.withColumn(f"_pk_v_{name}", expr)
     block_totals = base.groupBy(*keys, blk).agg(

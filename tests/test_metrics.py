@@ -100,3 +100,15 @@ def test_estimates_by_counts_equal_direct(spark):
     a = sorted((r.model, r.k, round(r.pass_at_k, 12)) for r in S.gated_pass_at_k(pp, ["model"]).collect())
     b = sorted((r.model, r.k, round(r.pass_at_k, 12)) for r in S.gated_pass_at_k(pp, ["model"], by_counts=True).collect())
     assert a == b and len(a) > 25
+
+
+def test_running_sums_on_timestamps(spark):
+    from pyspark.sql import Window
+    from passkit.operators.ordering import running_sums
+    from passkit.sources.tables import table
+    e = table(spark, SF01, "events").select("event_type", "ts", "event_id")
+    got = running_sums(e, ["event_type"], ["ts", "event_id"], {"n": F.lit(1)}, width=3_600_000_000)  # 1 h blocks
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    want = e.withColumn("n", F.count(F.lit(1)).over(w))
+    assert got.select("event_id", "n").exceptAll(want.select("event_id", "n")).count() == 0
+    assert got.count() == want.count()

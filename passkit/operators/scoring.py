@@ -78,12 +78,23 @@ def gated_pass_at_k(problems: DataFrame, by: Sequence[str] = (), ks: Sequence[in
     return out
 
 
-def gated_wide(problems: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Wide form: one pass_at_{k} column per k, NULL where the gate drops k."""
+def gated_wide(problems: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 5, 10),
+               by_counts: bool = False) -> DataFrame:
+    """Wide form: one pass_at_{k} column per k, NULL where the gate drops k.
+
+    ``by_counts`` evaluates the estimator once per distinct (n, c) and joins
+    it back (see ``estimates_by_counts``).
+    """
     est = problems
+    if by_counts:
+        table = (estimates_by_counts(problems, ks).groupBy("num_samples", "num_correct")
+                 .pivot("k", list(ks)).agg(F.first("_p")))
+        table = table.select("num_samples", "num_correct", *[F.col(str(k)).alias(f"_p{k}") for k in ks])
+        est = problems.join(table, on=["num_samples", "num_correct"])
     aggs = [F.min("num_samples").alias("_min_n")]
     for k in ks:
-        est = est.withColumn(f"_p{k}", pass_at_k("num_samples", "num_correct", F.lit(k)))
+        if not by_counts:
+            est = est.withColumn(f"_p{k}", pass_at_k("num_samples", "num_correct", F.lit(k)))
         aggs.append(F.avg(f"_p{k}").alias(f"_m{k}"))
     out = est.groupBy(*by).agg(*aggs)
     for k in ks:
@@ -92,7 +103,7 @@ def gated_wide(problems: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 5
 
 
 def leaderboard(problems: DataFrame, model: str = "model", ks: Sequence[int] = (1, 5, 10),
-                carry: Sequence[str] = ()) -> DataFrame:
+                carry: Sequence[str] = (), by_counts: bool = False) -> DataFrame:
     """Models ranked by pass@1 (rank() semantics; ties share a rank).
 
     ``carry`` are columns functionally dependent on the model (provider,
@@ -100,7 +111,7 @@ def leaderboard(problems: DataFrame, model: str = "model", ks: Sequence[int] = (
     over the input. The ranking window has no partition: it runs on one row
     per model.
     """
-    wide = gated_wide(problems, [model, *carry], ks)
+    wide = gated_wide(problems, [model, *carry], ks, by_counts)
     return wide.withColumn("rank", F.rank().over(Window.orderBy(F.desc(f"pass_at_{ks[0]}"))))
 
 

@@ -112,3 +112,10 @@ def test_running_sums_on_timestamps(spark):
     want = e.withColumn("n", F.count(F.lit(1)).over(w))
     assert got.select("event_id", "n").exceptAll(want.select("event_id", "n")).count() == 0
     assert got.count() == want.count()
+
+
+def test_leaderboard_by_counts_equal_direct(spark):
+    pp = V.attempt_counts(spark, SF01)
+    cols = ["model", "pass_at_1", "pass_at_5", "pass_at_10", "rank"]
+    r = lambda df: sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in row) for row in df.select(*cols).collect())
+    assert r(S.leaderboard(pp, "model", carry=["category"])) == r(S.leaderboard(pp, "model", carry=["category"], by_counts=True))

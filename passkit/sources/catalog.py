@@ -61,12 +61,24 @@ def first_lines(spark: SparkSession, root: str) -> DataFrame:
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """Auto-configuration of every dataset under ``root`` (format, schema, languages, template)."""
     fl = first_lines(spark, root)
-    keys = F.coalesce(F.json_object_keys(F.col("first_line")), F.array().cast("array<string>"))
+    # a '.json' dataset is a JSON document (an array of records or one record per
+    # file): its first record, not its first line, carries the keys
+    docs = [r.file for r in fl.where(F.col("dataset").endswith(".json")).select("file").collect()]
+    if docs:
+        whole = (spark.read.text(docs, wholetext=True)
+                 .select(F.col("_metadata.file_path").alias("file"), F.trim(F.col("value")).alias("_doc")))
+        fl = fl.join(whole, "file", "left")
+        record = F.when(F.col("_doc").startswith("["), F.get_json_object(F.col("_doc"), "$[0]")).otherwise(F.col("_doc"))
+        fl = fl.withColumn("_record", F.coalesce(record, F.col("first_line"))).drop("_doc")
+    else:
+        fl = fl.withColumn("_record", F.col("first_line"))
+    keys = F.coalesce(F.json_object_keys(F.col("_record")), F.array().cast("array<string>"))
     out = fl.withColumn("keys", keys).withColumn("format", detect_format(F.col("dataset"), F.col("first_line")))
     out = out.withColumn("schema", detect_schema(F.col("keys")))
     return (out.withColumn("language", F.lit(LANGUAGE)).withColumn("test_language", F.lit(TEST_LANGUAGE))
             .withColumn("prompt_template", prompt_template(F.col("schema"), F.col("keys")))
-            .withColumn("first_line_is_json", F.try_parse_json(F.col("first_line")).isNotNull()))
+            .withColumn("first_line_is_json", F.try_parse_json(F.col("first_line")).isNotNull())
+            .drop("_record"))
 
 
 def describe(language: Column, test_language: Column, schema: Column) -> Column:
@@ -89,7 +101,12 @@ class DatasetRegistry:
     def register(self, name: str, path: str, config: dict | None = None) -> dict:
         from passkit.sources.jsonl import read_problems
         if config is None:
-            fl = self.spark.read.text(path).limit(1).select(F.col("value").alias("first_line"))
+            if path.rstrip("/").endswith(".json"):  # a document: keys of its first record
+                doc = F.trim(F.col("value"))
+                fl = self.spark.read.text(path, wholetext=True).limit(1).select(
+                    F.when(doc.startswith("["), F.get_json_object(doc, "$[0]")).otherwise(doc).alias("first_line"))
+            else:
+                fl = self.spark.read.text(path).limit(1).select(F.col("value").alias("first_line"))
             keys = F.coalesce(F.json_object_keys("first_line"), F.array().cast("array<string>"))
             row = fl.select(detect_schema(keys).alias("schema"), keys.alias("keys")).first()
             schema = row.schema if row else "generic"

@@ -75,9 +75,13 @@ def test_catalog_over_files(spark):
         _write(os.path.join(root, name, "part-0"), json.dumps(obj) + "\n")
     os.makedirs(os.path.join(root, "d.data"))
     _write(os.path.join(root, "d.data", "part-0"), "not json\n")
+    os.makedirs(os.path.join(root, "e.json"))  # a pretty-printed document: keys come from its first record
+    _write(os.path.join(root, "e.json", "part-0"), json.dumps(
+        [{"prompt": "p", "entry_point": "f", "test_setup_code": ""}, {"prompt": "q"}], indent=2))
     got = {r.dataset: (r.format, r.schema, r.prompt_template) for r in C.catalog(spark, root).collect()}
     assert got == {"a.jsonl": ("jsonl", "humaneval", "generic"), "b.json": ("json", "q_humaneval", "q_humaneval"),
-                   "c.data": ("jsonl", "generic", "generic"), "d.data": ("jsonl", "generic", "generic")}
+                   "c.data": ("jsonl", "generic", "generic"), "d.data": ("jsonl", "generic", "generic"),
+                   "e.json": ("json", "mbpp", "generic")}
 
 
 def test_entry_and_registry(spark):
@@ -108,3 +112,12 @@ def test_solution_default_ids(spark):
     rows = sorted((r.task_id, r.sample_index, r.completion) for r in J.read_solutions(spark, p, default_ids=True).collect())
     assert rows == [("a", 0, "x"), ("b", 0, None), ("task_1", 3, "y")]
     assert J.read_solutions(spark, p).where("task_id IS NULL").count() == 1
+
+
+def test_registry_json_document(spark):
+    d = tempfile.mkdtemp(prefix="passkit-reg-")
+    p = _write(os.path.join(d, "doc.json"), json.dumps(
+        [{"task_id": "a", "prompt": "x", "entry_point": "f", "canonical_solution": ""}], indent=2))
+    cfg = C.DatasetRegistry(spark).register("doc", p)
+    assert (cfg["format"], cfg["schema"]) == ("json", "humaneval")
+    assert spark.sql("SELECT task_id FROM doc").first().task_id == "a"

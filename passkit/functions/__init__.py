@@ -1,0 +1 @@
+"""Column expressions (no DataFrame in, Column out): estimator, text, extraction, equality, prompts, model rules."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: scoring, evaluation, requests, measurements, quantiles, ordering, plug-ins, harness."""

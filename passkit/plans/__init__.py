@@ -1,0 +1 @@
+"""Registered queries: fixture views (Spark and SQL), query modules and the registry."""

@@ -1,0 +1 @@
+"""Structured Streaming: file streams, live tally, watermark dedup, batch dedup."""

@@ -142,3 +142,11 @@ def test_smart_equal_random_nested(spark):
     want = [_py_equal(a, b) for a, b in rows]
     assert got == want
     assert 100 < sum(want) < 900  # both outcomes well represented
+
+
+def test_problem_lookup_last_wins_and_defaults(spark):
+    from passkit.operators.evaluate import problem_lookup
+    rows = [("hot", i, f"v{i}") for i in range(5000)] + [(None, 5000, "a"), ("x", 5001, "b"), ("x", 5002, "c")]
+    df = spark.createDataFrame(rows, "task_id string, pos long, prompt string")
+    got = {r.task_id: (r.pos, r.prompt) for r in problem_lookup(df).collect()}
+    assert got == {"hot": (4999, "v4999"), "task_5000": (5000, "a"), "x": (5002, "c")}

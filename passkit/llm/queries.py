@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passkit.llm import quality_rules
+from passkit.llm import quality_rules, simhash
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -49,3 +49,8 @@ def op3_quality_rules(spark, sf_dir):
     rows = quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)))
     base = quality_rules.Policy("base", quality_rules.BASE)
     return rows.withColumn("base_failed", rows["failed_bits"].bitwiseAND(base.mask) != 0)
+
+
+@query("op8_simhash_bktree")
+def op8_simhash_bktree(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passkit.llm import quality_rules, simhash
+from passkit.llm import decontaminate, quality_rules, simhash
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -54,3 +54,8 @@ def op3_quality_rules(spark, sf_dir):
 @query("op8_simhash_bktree")
 def op8_simhash_bktree(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op10_benchmark_wand")
+def op10_benchmark_wand(spark, sf_dir):
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from passkit.llm import decontaminate, quality_rules, simhash
+from pyspark.sql import functions as F
+
+from passkit.llm import decontaminate, quality_rules, sentencepiece_wfst, simhash
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -59,3 +61,14 @@ def op8_simhash_bktree(spark, sf_dir):
 @query("op10_benchmark_wand")
 def op10_benchmark_wand(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op4_sentencepiece_wfst")
+def op4_sentencepiece_wfst(spark, sf_dir, model_path=TOKENIZER):
+    model = sentencepiece_wfst.compile_model(model_path)
+    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(documents(spark, sf_dir), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                       (F.translate("text", sentencepiece_wfst.SPACE, " ") == F.col("decoded")).alias("lossless"))

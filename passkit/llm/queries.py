@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.llm import decontaminate, quality_rules, sentencepiece_wfst, simhash
+from passkit.llm import decontaminate, line_templates, quality_rules, sentencepiece_wfst, simhash
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -72,3 +72,32 @@ def op4_sentencepiece_wfst(spark, sf_dir, model_path=TOKENIZER):
     rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(documents(spark, sf_dir), model), model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                        (F.translate("text", sentencepiece_wfst.SPACE, " ") == F.col("decoded")).alias("lossless"))
+
+
+OP1_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no, len(ls) AS n FROM
+             (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, line_no, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+        '[^\x20\x09-\x0D]+') AS toks FROM l),
+lines AS (SELECT *, array_to_string(toks, ' ') AS line, len(toks) AS n_tok, toks[1:2] AS lead FROM k WHERE len(toks) > 0),
+per AS (SELECT DISTINCT doc_id, line, toks, n_tok, lead FROM lines WHERE n_tok >= 5),
+leaves AS (SELECT n_tok, lead FROM lines WHERE n_tok >= 5 GROUP BY n_tok, lead HAVING count(DISTINCT line) > 1 AND count(*) >= 3),
+held AS (SELECT line, toks, n_tok, lead, count(*) AS w FROM per JOIN leaves USING (n_tok, lead) GROUP BY ALL),
+tok AS (SELECT n_tok, lead, line, w, unnest(toks) AS tok, unnest(range(len(toks))) AS p FROM held),
+marked AS (SELECT *, sum(w) OVER (PARTITION BY n_tok, lead, p, tok) < 3 AS wild FROM tok),
+named AS (SELECT line, string_agg(CASE WHEN wild THEN '<*>' ELSE tok END, ' ' ORDER BY p) AS name, count(*) FILTER (WHERE wild) AS n_wild,
+            count(*) AS n FROM marked GROUP BY line, n_tok, lead),
+x AS (SELECT doc_id, line_no, coalesce(CASE WHEN n - n_wild >= 0.8 * n THEN name END, lines.line) AS t FROM lines LEFT JOIN named ON named.line = lines.line),
+known AS (SELECT t, min(doc_id) AS first FROM x GROUP BY t HAVING count(DISTINCT doc_id) >= 3),
+first AS (SELECT t, doc_id, min(line_no) AS line_no FROM x JOIN known USING (t) WHERE doc_id = first GROUP BY t, doc_id),
+gone AS (SELECT x.doc_id, x.line_no FROM x JOIN first f USING (t) WHERE x.doc_id <> f.doc_id OR x.line_no <> f.line_no)
+SELECT l.doc_id, max(l.n)::BIGINT AS n_lines, count(gone.line_no)::BIGINT AS n_dropped,
+  coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE gone.line_no IS NULL), '') AS text
+FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line_no = l.line_no GROUP BY l.doc_id
+"""
+
+
+@query("op1_line_templates", OP1_SQL)
+def op1_line_templates(spark, sf_dir):
+    return line_templates.dedup(documents(spark, sf_dir)).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")

@@ -1,22 +1,59 @@
-"""Corpus pipeline: five stages over ``documents``, each a thin call of an operator in ``passkit.llm``."""
+"""Corpus pipeline: five stages over ``documents``, each a thin call of an operator in ``passkit.llm``.
+
+Defined results: an empty table passes through as an empty one; nulls and
+repeated rows are treated as each operator's docstring says; columns beyond
+those of ``documents`` are dropped by the first stage. ``n_chars`` follows
+``text`` (0 for a null text).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passkit.llm import quality_rules
+from passkit.llm import decontaminate, line_templates, quality_rules, sentencepiece_wfst, simhash
 from passkit.llm.base import documents, stored
+from passkit.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    return quality_rules.keep(docs).select(*COLUMNS)
+    return quality_rules.keep(docs.select(*COLUMNS))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines of recurring templates."""
+    out = line_templates.dedup(docs.select(*COLUMNS))
+    length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return simhash.keep_one(docs.select(*COLUMNS))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding gives its text back."""
+    model = sentencepiece_wfst.compile_model(TOKENIZER)
+    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                       (F.translate("text", sentencepiece_wfst.SPACE, " ") == F.col("decoded")).alias("lossless"))
 
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("sentencepiece", encoding_stage),
 ]
 
 
@@ -28,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+# the near-duplicate, benchmark and encoding stages have no SQL; tests compare them with brute force
 ORACLE_SQL = None

@@ -170,4 +170,7 @@ def keep(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataF
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
     mask = F.lit(policy.mask).cast("long")
     rows = measure(packed, "_text").withColumn("_bits", failed_bits())
-    return rows.filter(F.col("_bits").bitwiseAND(mask) == 0).select("_row.*")
+    # a filter on computed columns is pushed down with every expression copied into it,
+    # many times over here; a column that is not deterministic keeps it above them
+    rows = rows.withColumn("_here", F.monotonically_increasing_id())
+    return rows.filter((F.col("_bits").bitwiseAND(mask) == 0) & (F.col("_here") >= 0)).select("_row.*")

@@ -178,3 +178,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     names = named.select("fp", "root").join(best, "root").select("fp", "component_id")
     return fp.join(names, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+             shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: the smallest by id, then text hash.
+
+    A null id sorts first. Of rows equal in id and text any one stays.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+    groups = near_duplicates(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", shingle, radius)
+    kept = stored(groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("copies")).select(F.col("key.id").alias("id"), F.col("key.th").alias("th"), "copies"), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
+                       F.xxhash64(F.col(text).cast("string")).alias("_th"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")))
+    if kept.filter("copies > 1").isEmpty():
+        return rows.select("_row.*")
+    return rows.filter("copies = 1").select("_row.*").union(
+        rows.filter("copies > 1").dropDuplicates(["_id", "_th"]).select("_row.*"))

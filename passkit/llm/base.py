@@ -47,3 +47,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (few narrow columns) with a broadcast hint if it has at most ``most`` rows; else a shuffle join is left to Spark."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -25,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passkit.llm.base import stored, words_of
+from passkit.llm.base import small, stored, words_of
 
 DEPTH = 2
 MIN_DOCS = 3
 SIMILAR = 0.8
 LEAST_TOKENS = 5  # below it, one variable field is over a fifth of the line
-BROADCAST_ROWS = 1_000_000  # of two longs
 WILD = "<*>"
 
 
@@ -40,11 +39,6 @@ def _tokens(line: Column) -> Column:
         line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", WILD)).otherwise(line))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; a shuffle join otherwise."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, th, line_no, toks) of the lines with a token; (id, th) names a document."""
     t = F.col(text).cast("string")
@@ -69,7 +63,7 @@ def templates(docs: DataFrame, keyed: DataFrame, id_col: str, text: str, min_doc
     leaves = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n"))
                     .filter((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf"), "leaves")
     # the texts of lines in those leaves: scanned again, so that no other line is moved
-    held = _with_line(_with_leaf(lines_of(docs, id_col, text)).join(_small(leaves), "leaf"))
+    held = _with_line(_with_leaf(lines_of(docs, id_col, text)).join(small(leaves), "leaf"))
     held = held.groupBy("leaf", "line", "id", "th").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2")).groupBy(
         "leaf", "h1", "h2", "line").agg(F.count(F.lit(1)).alias("w"))
     held = stored(held, "contested")
@@ -89,7 +83,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_d
     """(id, th, drop): line numbers to drop, for the documents that lose a line."""
     keyed = stored(_with_line(_with_leaf(lines_of(docs, id_col, text))).drop("line"), "lines")
     names = stored(templates(docs, keyed, id_col, text, min_docs), "templates")
-    rows = keyed.join(_small(names), ["h1", "h2"], "left").select(
+    rows = keyed.join(small(names), ["h1", "h2"], "left").select(
         "id", "th", "line_no", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
     once = rows.groupBy("t1", "t2", "id", "th").agg(F.min("line_no").alias("line_no"))
     known = once.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("id", "th", "line_no")).alias("first"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.llm import decontaminate, line_templates, quality_rules, sentencepiece_wfst, simhash
+from passkit.llm import decontaminate, langid, line_templates, quality_rules, sentencepiece_wfst, simhash
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -101,3 +101,16 @@ FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line_no = l.line_no GRO
 def op1_line_templates(spark, sf_dir):
     return line_templates.dedup(documents(spark, sf_dir)).select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
+def _remainder(n: int):
+    """crc32 of the id as text, mod n; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query("op5_crossparse_langid")
+def op5_crossparse_langid(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.learn(docs, _remainder(4) != 2)
+    return langid.identify(docs, model).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

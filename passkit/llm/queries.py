@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.llm import decontaminate, langid, line_templates, quality_rules, sentencepiece_wfst, simhash
+from passkit.llm import decontaminate, langid, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -114,3 +114,12 @@ def op5_crossparse_langid(spark, sf_dir):
     model = langid.learn(docs, _remainder(4) != 2)
     return langid.identify(docs, model).select(
         "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_quality_crf")
+def op6_quality_crf(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality_crf.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _remainder(5) != 0)
+    return quality_crf.score(docs, model).select(
+        "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.llm import decontaminate, langid, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash
+from passkit.llm import decontaminate, langid, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -123,3 +123,22 @@ def op6_quality_crf(spark, sf_dir):
     return quality_crf.score(docs, model).select(
         "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
+@query("op9_warc_segments", OP9_SQL)
+def op9_warc_segments(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    fields = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)}
+    rows = warc.round_trip(table, fields)
+    return rows.select(F.col("row_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                       F.col("type").alias("record_type"), F.col("refers_to_row").cast("long").alias("refers_to"))

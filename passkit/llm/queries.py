@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.llm import decontaminate, langid, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
+from passkit.llm import debruijn, decontaminate, langid, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -142,3 +142,9 @@ def op9_warc_segments(spark, sf_dir):
     rows = warc.round_trip(table, fields)
     return rows.select(F.col("row_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
                        F.col("type").alias("record_type"), F.col("refers_to_row").cast("long").alias("refers_to"))
+
+
+@query("op7_debruijn_repeats")
+def op7_debruijn_repeats(spark, sf_dir):
+    return debruijn.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passkit.llm import debruijn, decontaminate, langid, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
+from passkit.llm import debruijn, decontaminate, langid, licenses, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
 from passkit.llm.base import documents
 
 QUERIES = {}
@@ -148,3 +148,11 @@ def op9_warc_segments(spark, sf_dir):
 def op7_debruijn_repeats(spark, sf_dir):
     return debruijn.remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    """The table has no paths: a document lies in source/lang/<last two digits of its id>/, as <id>.txt."""
+    docs = documents(spark, sf_dir).withColumn("path", F.concat_ws(
+        "/", F.col("source"), F.col("lang"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licenses.scan(docs, "path", "text", "doc_id")

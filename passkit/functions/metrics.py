@@ -16,15 +16,13 @@ def _col(x) -> Column:
 
 
 def pass_at_k(n, c, k) -> Column:
-    """1 - C(n-c, k) / C(n, k) as the stable product 1 - prod_{i=n-c+1..n} (1 - k/i).
+    """1 - C(n-c, k) / C(n, k) as 1 - prod_{i=0..k-1} (n - c - i) / (n - i): k factors, whatever n and c are.
 
-    ``n - c < k`` gives 1.0 (every k-subset holds a correct sample); ``c = 0``
-    gives 0.0 and must be tested before the product because
-    ``sequence(n+1, n)`` counts down instead of being empty.
+    ``n - c < k`` gives 1.0 (every k-subset holds a correct sample), ``c = 0`` gives 0.0.
     """
     n, c, k = _col(n), _col(c), _col(k)
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
-                       lambda acc, i: acc * (F.lit(1.0) - k / i))
+    prod = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1), F.lit(1.0),
+                       lambda acc, i: acc * ((n - c - i).cast("double") / (n - i)))
     return (F.when(n - c < k, F.lit(1.0))
             .when(c == 0, F.lit(0.0))
             .otherwise(F.lit(1.0) - prod))

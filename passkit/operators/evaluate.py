@@ -72,8 +72,9 @@ def attach_problem(solutions: DataFrame, problems: DataFrame, keys: Sequence[str
 
 def guard_error(task_id: Column, has_problem: Column, entry_point: Column, code: Column) -> Column:
     """First failing guard's message, NULL when the row may be run."""
-    return (F.when(~has_problem, F.concat(F.lit("No problem data found for "), task_id))
-            .when(F.coalesce(entry_point, F.lit("")) == "", F.concat(F.lit("Missing entry_point for "), task_id))
+    name = F.coalesce(task_id, F.lit("None"))  # a NULL id must not make the message NULL: the row would count as runnable
+    return (F.when(~F.coalesce(has_problem, F.lit(False)), F.concat(F.lit("No problem data found for "), name))
+            .when(F.coalesce(entry_point, F.lit("")) == "", F.concat(F.lit("Missing entry_point for "), name))
             .when(py_strip(F.coalesce(code, F.lit(""))) == "", F.lit("Empty code")))
 
 
@@ -82,18 +83,22 @@ def orphan_solutions(solutions: DataFrame, problems: DataFrame, keys: Sequence[s
 
 
 def unattempted_problems(problems: DataFrame, results: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    return problems.join(results.select(*keys), on=list(keys), how="left_anti")
+    # distinct first: it combines before the shuffle, so the big side meets the join as one row per key
+    return problems.join(results.select(*keys).distinct(), on=list(keys), how="left_anti")
 
 
 def check_answers(answers: DataFrame, expected: DataFrame, equal: Column | None = None,
-                  task: str = "task_id", sample: str = "sample_index", case: str = "case_no") -> DataFrame:
-    """A sample passes iff every expected case of its task has an equal answer.
+                  task: str = "task_id", sample: str = "sample_index", case: str = "case_no",
+                  samples: DataFrame | None = None) -> DataFrame:
+    """A sample passes iff every expected case of its task has an answer and all its answers to it are equal.
 
     Answers are joined to expected values on (task, case) -- an equi-join
-    on a near-unique key, no pair expansion -- and per sample we count the
-    cases answered correctly; the sample passes when that count reaches the
+    on a near-unique key, no pair expansion. A case counts as passed if no
+    answer to it is unequal; the sample passes when that count reaches the
     task's number of expected cases (so a task with no cases passes).
-    ``equal`` compares columns ``actual`` and ``expected``.
+    ``samples`` (task, sample) lists the samples to report, answered or not;
+    by default those with an answer. ``equal`` compares columns ``actual``
+    and ``expected``.
     """
     a = answers.withColumnRenamed("value", "actual")
     e = expected.withColumnRenamed("value", "expected").withColumn("_has_case", F.lit(True))
@@ -101,13 +106,13 @@ def check_answers(answers: DataFrame, expected: DataFrame, equal: Column | None
     if equal is None:
         from passkit.functions.equality import smart_equal
         equal = smart_equal(j, "actual", "expected")
-    ok = F.coalesce(F.col("_has_case"), F.lit(False)) & equal
-    # distinct cases: a repeated answer row cannot stand in for a missing case
-    per_sample = j.groupBy(task, sample).agg(F.count_distinct(F.when(F.coalesce(ok, F.lit(False)), F.col(case)))
-                                             .alias("cases_passed"),
-                                             F.count(F.lit(1)).alias("cases_answered"))
+    ok = F.coalesce(F.coalesce(F.col("_has_case"), F.lit(False)) & equal, F.lit(False))
+    per_case = j.groupBy(task, sample, case).agg(F.min(ok).alias("_ok"), F.count(F.lit(1)).alias("_n"))
+    per_sample = per_case.groupBy(task, sample).agg(F.count_if("_ok").alias("cases_passed"), F.sum("_n").alias("cases_answered"))
+    if samples is not None:
+        per_sample = samples.select(task, sample).distinct().join(per_sample, on=[task, sample], how="left")
     n_cases = expected.groupBy(task).agg(F.count(F.lit(1)).alias("cases_expected"))
-    out = per_sample.join(n_cases, on=[task], how="left").fillna(0, subset=["cases_expected"])
+    out = per_sample.join(n_cases, on=[task], how="left").fillna(0, subset=["cases_passed", "cases_answered", "cases_expected"])
     return out.withColumn("passed", F.col("cases_passed") >= F.col("cases_expected"))
 
 
@@ -115,26 +120,29 @@ def classify_outcome(stage: Column, message: Column, strict: bool = False) -> Co
     """Label of a test run from the stage that ended it and its error text.
 
     stage: 'passed' | 'assert' (assertion failed) | 'test' (other error while
-    testing) | 'nocheck' (tests define no check) | 'ipc' (outer error).
+    testing) | 'nocheck' (tests define no check) | 'notcallable' (their check
+    is no function) | 'ipc' (outer error). A NULL message reads as ''.
     The reference's substring tests are kept: any text holding "time"
     counts as a timeout and any outer text holding "port" as a port error
     ("runtime", "import" and "support" included); ``strict`` matches whole
     words instead.
     """
-    low = F.lower(F.coalesce(message, F.lit("")))
+    message = F.coalesce(message, F.lit(""))
+    low = F.lower(message)
     if strict:
         has_time = low.rlike(r"\b(timeout|timed out|time)\b")
         has_port = low.rlike(r"\bport\b")
     else:
-        has_time = low.contains("timeout") | low.contains("time")
+        has_time = low.contains("time")
         has_port = low.contains("port")
     fail = lambda *parts: F.concat(F.lit(FAILED_PREFIX), *parts)
     return (F.when(stage == "passed", F.lit(PASSED))
             .when(stage == "assert", fail(F.lit("Test assertion failed: "), message))
             .when(stage == "nocheck", fail(F.lit("No 'check' function found in tests")))
+            .when(stage == "notcallable", fail(F.lit("'check' is not callable in tests")))
             .when((stage == "test") & has_time, F.lit(TIMED_OUT))
             .when(stage == "test", fail(F.lit("Test execution failed: "), message))
-            .when(F.coalesce(message, F.lit("")).contains("q executable not found"), fail(F.lit(EXECUTABLE_MISSING)))
+            .when(message.contains("q executable not found"), fail(F.lit(EXECUTABLE_MISSING)))
             .when(has_port, fail(F.lit("IPC port error: "), message))
             .when(has_time, F.lit(TIMED_OUT))
             .otherwise(fail(F.lit("IPC execution error: "), message)))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passkit.functions.extraction import with_solution_code
+from passkit.functions.text import py_strip
 from passkit.functions.prompts import SCHEMA_TO_TEMPLATE, render
 from passkit.operators import evaluate as E
 from passkit.operators import plugins as G
@@ -27,26 +28,32 @@ from passkit.operators import scoring as S
 
 
 def generate_solutions(problems: DataFrame, model_name: str, n: int, template: str = "q_humaneval",
-                       generator: Callable[[pd.DataFrame], pd.DataFrame] = G.echo_generator) -> DataFrame:
+                       *, generator: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Render every problem, plan ``n`` requests each, run the generator plug-in.
 
-    Output: task_id, sample_index, completion, model_name, generated_at
-    (one row per request; a failed generator batch yields '' completions).
+    Output: task_id, sample_index, completion, model_name, error, generated_at,
+    one row per request. A problem that lacks a template field keeps its
+    requests, with '' completions and the reason in ``error``.
     """
     rendered = render(problems, SCHEMA_TO_TEMPLATE.get(template, template), out="prompt_text")
-    req = (Q.expand_samples(rendered.where(F.col("error").isNull()), n)
+    req = (Q.expand_samples(rendered, n)
            .withColumn("sample_index", F.col("sample_index").cast("int"))
            .withColumn("model_name", F.lit(model_name)))
     out = G.generate(req.select("task_id", "sample_index", "model_name", "entry_point",
-                                F.col("prompt_text").alias("prompt")), generator)
+                                F.col("prompt_text").alias("prompt"), "error"), generator)
     return out.withColumn("generated_at", F.localtimestamp())
 
 
 def execute_solutions(solutions: DataFrame, problems: DataFrame,
-                      runner: Callable[[pd.DataFrame], pd.DataFrame] = G.structural_runner,
-                      salt_buckets: int = 0) -> DataFrame:
+                      runner: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+                      salt_buckets: int = 0, verdicts: DataFrame | None = None,
+                      verdict_keys: Sequence[str] = ("task_id", "sample_index", "model_name")) -> DataFrame:
     """One result per solution: guarded rows fail with their message, the rest are
-    extracted and run through ``runner``. No row is dropped.
+    extracted and tested. No row is dropped; scans and joins happen once.
+
+    Tested by ``runner`` (a plug-in over batches), or by ``verdicts``: a
+    table of ``verdict_keys`` and ``passed``, such as ``evaluate.check_answers``
+    gives for recorded answers; a solution without a verdict fails.
 
     ``problems`` needs task_id, entry_point, tests and (optionally)
     test_setup_code; duplicates of a task_id should be resolved first with
@@ -59,11 +66,17 @@ def execute_solutions(solutions: DataFrame, problems: DataFrame,
     j = E.attach_problem(solutions, probs, salt_buckets=salt_buckets)
     j = j.withColumn("error", E.guard_error(F.col("task_id"), F.col("has_problem"), F.col("entry_point"),
                                            F.col("completion")))
-    guarded = j.where(F.col("error").isNotNull()).select(
-        "task_id", F.col("sample_index").cast("int"), "model_name", F.lit(False).alias("passed"),
-        F.lit(None).cast("string").alias("info"), "error")
-    runnable = with_solution_code(j.where(F.col("error").isNull()), "completion", "entry_point")
-    return G.evaluate(runnable, runner).unionByName(guarded)
+    coded = with_solution_code(j, "completion", "entry_point")
+    coded = coded.withColumn("sample_index", F.col("sample_index").cast("bigint"))
+    if verdicts is None:
+        return G.evaluate(coded, runner)
+    v = verdicts.select(*verdict_keys, F.col("passed").alias("_passed"))
+    out = coded.join(v, on=list(verdict_keys), how="left").withColumn(
+        "error", F.coalesce("error", F.when(py_strip(F.coalesce("code", F.lit(""))) == "", F.lit("Empty code"))))
+    ok = F.col("error").isNull() & F.coalesce("_passed", F.lit(False))
+    return out.select("task_id", "sample_index", "model_name", ok.alias("passed"),
+                      F.when(ok, F.lit(E.PASSED)).when(F.col("error").isNull(), F.lit(
+                          E.FAILED_PREFIX + "Test assertion failed: an answer differs")).alias("info"), "error")
 
 
 def score_results(results: DataFrame, by: Sequence[str] = ("model_name",), max_workers: int = 1

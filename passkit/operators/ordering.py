@@ -88,4 +88,4 @@ def row_index(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], nam
     when the order columns are unique per key.
     """
     out = running_sums(df, keys, order_cols, {name: F.lit(1)}, width)
-    return out.withColumn(name, (F.col(name) - 1).cast("int"))
+    return out.withColumn(name, (F.col(name) - 1).cast("bigint"))

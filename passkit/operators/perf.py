@@ -112,26 +112,34 @@ def valid_trials(trials: DataFrame) -> DataFrame:
 
 def best_trials(trials: DataFrame, key: str = "model", tps: str = "tokens_per_second",
                 mem: str = "memory_used_gb", order: str = "trial_no") -> DataFrame:
-    """Per model: fastest trial and leanest trial among valid ones; the earlier trial wins ties."""
+    """Per model: fastest trial and leanest trial among valid ones; the earlier trial wins ties.
+
+    A trial without a measurement cannot win by it (NULL orders are skipped by ``min_by``).
+    """
     v = valid_trials(trials)
+
+    def rank(metric, c):
+        return F.when(F.col(c).isNotNull(), F.struct(metric.alias("a"), F.col(order).alias("b")))
+
     return v.groupBy(key).agg(
-        F.min_by(F.col(order), F.struct((-F.col(tps)).alias("a"), F.col(order).alias("b"))).alias("best_throughput_trial"),
+        F.min_by(F.col(order), rank(-F.col(tps), tps)).alias("best_throughput_trial"),
         F.max(tps).alias("max_tokens_per_second"),
-        F.min_by(F.col(order), F.struct(F.col(mem).alias("a"), F.col(order).alias("b"))).alias("best_memory_trial"),
+        F.min_by(F.col(order), rank(F.col(mem), mem)).alias("best_memory_trial"),
         F.min(mem).alias("min_memory_used_gb"))
 
 
 def balanced_trial(trials: DataFrame, key: str = "model", tps: str = "tokens_per_second",
                    mem: str = "memory_used_gb", order: str = "trial_no") -> DataFrame:
-    """0.7 * t / max(t) + 0.3 * (1 - m / max(m)); memory term 1 when max(m) <= 0; earlier trial wins ties."""
+    """0.7 * t / max(t) + 0.3 * (1 - m / max(m)); throughput term 0 when max(t) is 0, memory term 1 when
+    max(m) <= 0; a trial without a measurement has no score; earlier trial wins ties."""
     v = valid_trials(trials)
     mx = v.groupBy(key).agg(F.max(tps).alias("_mt"), F.max(mem).alias("_mm"))
-    s = v.join(mx, key).withColumn(
-        "score", F.lit(0.7) * (F.col(tps) / F.col("_mt"))
+    s = v.join(mx.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn(
+        "score", F.lit(0.7) * F.when(F.col("_mt") == 0, F.lit(0.0)).otherwise(F.col(tps) / F.col("_mt"))
         + F.lit(0.3) * F.when(F.col("_mm") > 0, F.lit(1.0) - F.col(mem) / F.col("_mm")).otherwise(F.lit(1.0)))
     return s.groupBy(key).agg(
         F.min_by(F.struct(F.col(order).alias("trial_no"), F.col("score").alias("score")),
-                 F.struct((-F.col("score")).alias("a"), F.col(order).alias("b"))).alias("_b")
+                 F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("a"), F.col(order).alias("b")))).alias("_b")
     ).select(key, F.col("_b.trial_no").alias("balanced_trial"), F.col("_b.score").alias("balanced_score"))
 
 

@@ -18,55 +18,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passkit.operators.evaluate import FAILED_PREFIX, PASSED
-
 # Python workers may not have this package on their path (the driver found it
 # through its own sys.path): ship the plug-in functions by value.
 cloudpickle.register_pickle_by_value(sys.modules["passkit"])
 
 GENERATED_SCHEMA = "task_id string, sample_index int, model_name string, completion string"
-RUN_SCHEMA = "task_id string, sample_index int, model_name string, passed boolean, info string, error string"
+RUN_SCHEMA = "task_id string, sample_index bigint, model_name string, passed boolean, info string, error string"
 
 # -- generation --------------------------------------------------------------------------
 
 
-def echo_generator(batch: pd.DataFrame) -> pd.DataFrame:
-    """Deterministic stand-in for a model: answers every request with a fenced q lambda."""
-    code = "```q\n" + batch["entry_point"].astype(str) + ":{[x] x+" + batch["sample_index"].astype(str) + "}\n```"
-    return pd.DataFrame({"task_id": batch["task_id"], "sample_index": batch["sample_index"].astype("int32"),
-                         "model_name": batch["model_name"], "completion": code})
+def _halving(fn: Callable[[pd.DataFrame], list], batch: pd.DataFrame, failed: Callable[[pd.DataFrame, Exception], list]) -> list:
+    """``fn`` over a batch, row by row in the end: only rows that fail on their own get ``failed``'s result,
+    so what a row gets does not depend on how rows are batched."""
+    try:
+        return fn(batch.reset_index(drop=True))
+    except Exception as e:  # noqa: BLE001 - user code
+        if len(batch) <= 1:
+            return failed(batch, e)
+        half = len(batch) // 2
+        return _halving(fn, batch.iloc[:half], failed) + _halving(fn, batch.iloc[half:], failed)
+
+
+def replay_generator(batch: pd.DataFrame) -> pd.DataFrame:
+    """Generator over requests that carry a recorded answer in ``recorded``; a request without one has no output."""
+    got = batch[batch["recorded"].notna()]
+    return got[["task_id", "sample_index", "model_name"]].assign(completion=got["recorded"])
+
+
+def generate(requests: DataFrame, generator: Callable[[pd.DataFrame], pd.DataFrame], schema: str = GENERATED_SCHEMA) -> DataFrame:
+    """One row per request, in ``schema``, with ``generator``'s completion.
+
+    Outputs are matched to requests by (task_id, sample_index, model_name),
+    NULLs alike: a request without an output, or whose row makes the generator
+    fail, gets ''; of several outputs the first counts; outputs nobody asked
+    for are dropped. Requests with a non-null ``error`` column do not reach
+    the generator and get ''.
+    """
+    keys = ["task_id", "sample_index", "model_name"]
 
+    def key_rows(df: pd.DataFrame) -> list[tuple]:
+        return [tuple(None if pd.isna(v) else v for v in r) for r in df[keys].itertuples(index=False, name=None)]
+
+    def answers(b: pd.DataFrame) -> list[str]:
+        out = generator(b)
+        got: dict[tuple, str] = {}
+        for k, text in zip(key_rows(out), out["completion"]):
+            got.setdefault(k, "" if pd.isna(text) else text)
+        return [got.get(k, "") for k in key_rows(b)]
 
-def generate(requests: DataFrame, generator: Callable[[pd.DataFrame], pd.DataFrame] = echo_generator,
-             schema: str = GENERATED_SCHEMA) -> DataFrame:
-    """Run ``generator`` over batches of requests; a failing batch yields '' completions (no row lost)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                out = generator(b)
-            except Exception:  # noqa: BLE001 - a failed batch is padded, as the reference does
-                out = pd.DataFrame({"task_id": b["task_id"], "sample_index": b["sample_index"].astype("int32"),
-                                    "model_name": b["model_name"], "completion": ""})
+            out = b[keys].assign(sample_index=b["sample_index"].astype("Int32"), completion="")
+            todo = b["error"].isna() if "error" in b.columns else pd.Series(True, index=b.index)
+            if todo.any():
+                out.loc[todo, "completion"] = _halving(answers, b[todo], lambda x, e: [""] * len(x))
+            if "error" in b.columns:
+                out["error"] = b["error"]
             yield out
-    return requests.mapInPandas(run, schema)
+    return requests.mapInPandas(run, schema + (", error string" if "error" in requests.columns else ""))
 
 
 # -- test runners ------------------------------------------------------------------------
 
 
-def structural_runner(batch: pd.DataFrame) -> pd.DataFrame:
-    """The shipped runner: never executes code. A q lambda passes when it is one
-    brace-balanced ``{...}`` expression; anything else fails its assertion."""
-    code = batch["code"].fillna("").str.strip()
-    opens, closes = code.str.count(r"\{"), code.str.count(r"\}")
-    ok = code.str.startswith("{") & code.str.endswith("}") & (opens == closes)
-    info = ok.map({True: PASSED, False: FAILED_PREFIX + "Test assertion failed: not a balanced q lambda"})
-    return pd.DataFrame({"passed": ok, "info": info})
-
-
-def evaluate(runnable: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame] = structural_runner,
+def evaluate(runnable: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame],
              partition_by: list[str] | None = None) -> DataFrame:
-    """Run ``runner`` on (code, tests, setup) batches.
+    """Run ``runner`` on (code, tests, setup) batches; one result row per input row.
 
     By default the input keeps its partitioning (``mapInPandas`` is a narrow
     step, so no code text is shuffled and a task holding a third of all
@@ -75,35 +93,36 @@ def evaluate(runnable: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame]
     style co-location; a hash on the task alone would put a hot task in one
     partition.
 
-    Rows whose code strips to nothing get ``error='Empty code'`` without
-    reaching the runner (the last guard; testing it here keeps the plan from
-    filtering on the extraction columns). A runner exception becomes
-    ``passed=false, error='Execution error: ...'`` for the rows of that
-    batch; no row is dropped.
+    Rows with a non-null ``error`` (a failed guard) keep it and do not reach
+    the runner; rows whose code strips to nothing get ``Empty code``. A row
+    that makes the runner raise, or return another number of rows than it
+    was given, gets ``passed=false, error='Execution error: ...'``; batches
+    are halved until only such rows are left.
     """
     cols = ["task_id", "sample_index", "model_name", "code", "tests", "test_setup_code"]
 
+    def verdicts(b: pd.DataFrame) -> list[tuple]:
+        r = runner(b)
+        if len(r) != len(b):
+            raise ValueError(f"the runner returned {len(r)} rows for {len(b)}")
+        return list(zip(r["passed"].astype(bool), r["info"], [None] * len(b)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.reset_index(drop=True)
-            base = b[["task_id", "sample_index", "model_name"]].copy()
-            base["sample_index"] = base["sample_index"].astype("int32")
-            base["passed"] = False
-            base["info"] = None
-            base["error"] = None
-            empty = b["code"].fillna("").str.strip() == ""
-            base.loc[empty, "error"] = "Empty code"
-            todo = b[~empty]
-            if len(todo):
-                try:
-                    r = runner(todo.reset_index(drop=True))
-                    base.loc[~empty, "passed"] = r["passed"].astype(bool).values
-                    base.loc[~empty, "info"] = r["info"].values
-                except Exception as e:  # noqa: BLE001
-                    base.loc[~empty, "error"] = f"Execution error: {e}"
-            base["passed"] = base["passed"].astype(bool)
-            yield base
-    src = runnable.select(*[F.col(c) if c in runnable.columns else F.lit("").alias(c) for c in cols])
+            out = b[["task_id", "sample_index", "model_name"]].assign(passed=False, info=None, error=b["error"])
+            empty = b["error"].isna() & (b["code"].fillna("").str.strip() == "")
+            out.loc[empty, "error"] = "Empty code"
+            todo = out["error"].isna()
+            if todo.any():
+                got = _halving(verdicts, b.loc[todo, cols], lambda x, e: [(False, None, f"Execution error: {e}")] * len(x))
+                out.loc[todo, "passed"] = [g[0] for g in got]
+                out.loc[todo, "info"] = [g[1] for g in got]
+                out.loc[todo, "error"] = [g[2] for g in got]
+            out["passed"] = out["passed"].astype(bool)
+            yield out
+    src = runnable.select(*[F.col(c) if c in runnable.columns else F.lit("").alias(c) for c in cols],
+                          (F.col("error") if "error" in runnable.columns else F.lit(None)).cast("string").alias("error"))
     if partition_by:
         src = src.repartition(*partition_by)
     return src.mapInPandas(run, RUN_SCHEMA)
@@ -112,22 +131,27 @@ def evaluate(runnable: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame]
 # -- test-text rewriting -------------------------------------------------------------------
 
 
-class _LoosenEq(ast.NodeTransformer):
-    def visit_Assert(self, node: ast.Assert) -> ast.AST:
-        t = node.test
-        if isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], ast.Eq) and len(t.comparators) == 1:
-            node.test = ast.Call(func=ast.Name(id="smart_equal", ctx=ast.Load()),
-                                 args=[t.left, t.comparators[0]], keywords=[])
-        return self.generic_visit(node)
+def _equality_sides(stmt: ast.stmt) -> tuple[ast.expr, ast.expr] | None:
+    """The two sides of an ``assert <left> == <right>`` with one comparison."""
+    if not isinstance(stmt, ast.Assert) or not isinstance(stmt.test, ast.Compare):
+        return None
+    (op, *more_ops), (right, *_) = stmt.test.ops, stmt.test.comparators
+    return (stmt.test.left, right) if not more_ops and isinstance(op, ast.Eq) else None
 
 
 def loosen_text(text: str | None) -> str | None:
     """``assert a == b`` -> ``assert smart_equal(a, b)``; only when the text has ``def check(``
-    and ``==``; other asserts untouched; unparsable text returned as is."""
+    and ``==``; other asserts untouched; unparsable text returned as is. The
+    text comes back in the parser's normal form, as far as it parses."""
     if text is None or "def check(" not in text or "==" not in text:
         return text
     try:
-        return ast.unparse(_LoosenEq().visit(ast.parse(text)))
+        tree = ast.parse(text)
+        for stmt in ast.walk(tree):
+            sides = _equality_sides(stmt)
+            if sides:
+                stmt.test = ast.parse(f"smart_equal({', '.join(map(ast.unparse, sides))})", mode="eval").body
+        return ast.unparse(tree)
     except (SyntaxError, ValueError):
         return text
 

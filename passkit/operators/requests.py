@@ -43,7 +43,7 @@ def unique_seed(base: Column, sample_index: Column) -> Column:
 def assign_batches(df: DataFrame, order_cols: Sequence[str], size: int, keys: Sequence[str] = ()) -> DataFrame:
     """Consecutive batches of ``size`` rows in ``order_cols`` order (last one short)."""
     t = row_index(df, keys, order_cols, "_pos")
-    return (t.withColumn("batch_no", F.floor(F.col("_pos") / size).cast("int"))
+    return (t.withColumn("batch_no", F.floor(F.col("_pos") / size).cast("bigint"))
             .withColumn("position_in_batch", (F.col("_pos") % size).cast("int")).drop("_pos"))
 
 

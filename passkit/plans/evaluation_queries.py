@@ -17,7 +17,7 @@ from passkit.sources.tables import table
 VIEWS["solutions"] = """
   SELECT model_name, task_id, sample_index, completion FROM completions
   UNION ALL
-  SELECT 'm1' AS model_name, CAST(user_id AS VARCHAR) AS task_id, CAST(event_id AS INTEGER) AS sample_index,
+  SELECT 'm1' AS model_name, CAST(user_id AS VARCHAR) AS task_id, CAST(event_id AS BIGINT) AS sample_index,
          CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN '  ' || chr(9) || ' ' ELSE props END AS completion
   FROM events"""
 VIEWS["problems_g"] = """
@@ -33,7 +33,7 @@ def solutions(spark, d):
     v4 = V.completions(spark, d).select("model_name", "task_id", "sample_index", "completion")
     e = table(spark, d, "events")
     m1 = e.select(F.lit("m1").alias("model_name"), F.col("user_id").cast("string").alias("task_id"),
-                  F.col("event_id").cast("int").alias("sample_index"),
+                  F.col("event_id").cast("bigint").alias("sample_index"),
                   F.when(F.col("event_type") == "error", F.lit(""))
                   .when(F.col("event_type") == "view", F.lit("  \t "))
                   .otherwise(F.col("props")).alias("completion"))
@@ -88,6 +88,18 @@ def q_guard_chain(spark, d):
         F.when(F.col("error").isNotNull(), F.lit(False)).alias("passed"))
 
 
+@register("guard_null_ids", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'No problem data found for None'
+                      WHEN event_id % 3 = 1 THEN 'Missing entry_point for None' END AS error
+FROM events""")
+def q_guard_null_ids(spark, d):
+    """Solutions without a task id fail their guard with a message instead of counting as runnable."""
+    e = table(spark, d, "events")
+    shape = F.col("event_id") % 3
+    err = E.guard_error(F.lit(None).cast("string"), F.when(shape != 0, F.lit(True)), F.when(shape == 2, F.lit("f")), F.lit("{x}"))
+    return e.select("event_id", err.alias("error"))
+
+
 @register("orphan_solutions", with_views(["solutions", "problems"], """
 SELECT model_name, task_id, sample_index FROM solutions s
 WHERE NOT EXISTS (SELECT 1 FROM problems p WHERE p.task_id = s.task_id)"""))
@@ -120,28 +132,36 @@ _ANSWERS_SQL = """
   SELECT CAST(label AS VARCHAR), 1, vec_id, expected FROM answers JOIN embeddings USING (vec_id)
   UNION ALL
   SELECT CAST(label AS VARCHAR), 2, vec_id, expected FROM answers JOIN embeddings USING (vec_id)
-  WHERE vec_id % 3 <> 0"""
-
-
-@register("check_answers", with_views(["answers"], """
-SELECT a.task_id, a.sample_index,
-       count(DISTINCT CASE WHEN coalesce(a.value = e.expected, false) THEN a.case_no END) AS cases_passed,
-       CAST(count(*) AS BIGINT) AS cases_answered,
-       CAST(max(n.cases_expected) AS BIGINT) AS cases_expected,
-       count(DISTINCT CASE WHEN coalesce(a.value = e.expected, false) THEN a.case_no END) >= max(n.cases_expected) AS passed
-FROM answer_rows a
-LEFT JOIN expected_rows e ON a.task_id = e.task_id AND a.case_no = e.case_no
-LEFT JOIN (SELECT task_id, count(*) AS cases_expected FROM expected_rows GROUP BY task_id) n ON a.task_id = n.task_id
-GROUP BY a.task_id, a.sample_index""", (
+  WHERE vec_id % 3 <> 0
+  UNION ALL
+  SELECT CAST(label AS VARCHAR), 1, vec_id, expected[1:1] FROM answers JOIN embeddings USING (vec_id)
+  WHERE vec_id % 7 = 0"""
+
+
+SHEETS_SQL = """
+SELECT s.task_id, CAST(s.sample_index AS INTEGER) AS sample_index, CAST(coalesce(count_if(c.ok), 0) AS BIGINT) AS cases_passed,
+       CAST(coalesce(sum(c.n), 0) AS BIGINT) AS cases_answered, CAST(max(s.cases_expected) AS BIGINT) AS cases_expected,
+       coalesce(count_if(c.ok), 0) >= max(s.cases_expected) AS passed
+FROM (SELECT task_id, count(*) AS cases_expected, unnest([0, 1, 2, 3]) AS sample_index FROM expected_rows GROUP BY task_id) s
+LEFT JOIN (SELECT a.task_id, a.sample_index, a.case_no, count(*) AS n, bool_and(coalesce(a.value = e.expected, false)) AS ok
+           FROM answer_rows a LEFT JOIN expected_rows e ON a.task_id = e.task_id AND a.case_no = e.case_no GROUP BY ALL) c
+  ON c.task_id = s.task_id AND c.sample_index = s.sample_index
+GROUP BY s.task_id, s.sample_index"""
+SHEET_CTES = (
     f"answer_rows AS ({_ANSWERS_SQL})",
     """expected_rows AS (SELECT CAST(label AS VARCHAR) AS task_id, vec_id AS case_no, embedding AS expected
-                         FROM embeddings)""")))
+                         FROM embeddings)""")
+
+
+@register("check_answers", with_views(["answers"], SHEETS_SQL, SHEET_CTES))
 def q_check_answers(spark, d):
-    """Sample 0 answers with the altered arrays, 1 with exact copies, 2 leaves every third case out."""
+    """Sample 0 answers with the altered arrays, 1 with exact copies, 2 leaves every third case out, 3 has no answer;
+    sample 1 also gives a wrong second answer to every seventh case."""
     a = V.answers(spark, d, with_label=True)
     samples = F.array(
         F.struct(F.lit(0).alias("sample_index"), F.col("actual").alias("value")),
         F.struct(F.lit(1).alias("sample_index"), F.col("expected").alias("value")),
+        F.when(F.col("vec_id") % 7 == 0, F.struct(F.lit(1).alias("sample_index"), F.slice("expected", 1, 1).alias("value"))),
         F.when(F.col("vec_id") % 3 != 0, F.struct(F.lit(2).alias("sample_index"), F.col("expected").alias("value"))))
     # one scan: the three answer sets are a generator column, not a union of re-reads
     answers = (a.select(F.col("label").cast("string").alias("task_id"), F.col("vec_id").alias("case_no"),
@@ -149,7 +169,8 @@ def q_check_answers(spark, d):
                .select("task_id", "s.sample_index", "case_no", "s.value"))
     expected = table(spark, d, "embeddings").select(
         F.col("label").cast("string").alias("task_id"), F.col("vec_id").alias("case_no"), F.col("embedding").alias("value"))
-    return E.check_answers(answers, expected)
+    samples = expected.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("sample_index"))
+    return E.check_answers(answers, expected, samples=samples)
 
 
 _RUNS_SQL = """

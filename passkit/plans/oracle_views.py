@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {
        JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "completions": f"""
   SELECT CAST(conv_id % {N_TASKS_COMPLETIONS} AS VARCHAR) AS task_id,
-         CAST((conv_id // {N_TASKS_COMPLETIONS}) * 1000 + turn AS INTEGER) AS sample_index,
+         CAST((conv_id // {N_TASKS_COMPLETIONS}) * 1000 + turn AS BIGINT) AS sample_index,
          'm0' AS model_name, conv_id, turn,
          CASE turn % 4
            WHEN 0 THEN 'Here is the solution:' || {NL} || '```q' || {NL} || 'f' || CAST(conv_id % {N_TASKS_COMPLETIONS} AS VARCHAR)

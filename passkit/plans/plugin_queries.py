@@ -44,17 +44,26 @@ def rich_tests(spark, d):
 
 
 @register("generate_plugin", with_views(["problems"], """
-SELECT task_id, CAST(s AS INTEGER) AS sample_index, 'echo' AS model_name,
-       '```q' || chr(10) || entry_point || ':{[x] x+' || CAST(s AS VARCHAR) || '}' || chr(10) || '```' AS completion
-FROM problems, range(0, 2) t(s)"""))
+SELECT r.task_id, CAST(r.s AS INTEGER) AS sample_index, 'replay' AS model_name, coalesce(x.text, '') AS completion
+FROM (SELECT task_id, s FROM problems, range(0, 4) t(s)) r
+LEFT JOIN conversations x ON x.role = 'assistant' AND CAST(x.conv_id AS VARCHAR) = r.task_id AND x.turn = 2 * r.s + 1"""))
 def q_generate_plugin(spark, d):
-    """Two samples per problem from the deterministic echo generator."""
-    req = Q.expand_samples(V.problems(spark, d).select("task_id", "entry_point"), 2)
-    req = req.withColumn("model_name", F.lit("echo")).withColumn("sample_index", F.col("sample_index").cast("int"))
-    return G.generate(req)
-
-
-@register("loosen_equality")
+    """Four samples per problem, replayed from the recorded answers of the conversation with its id; '' where it has none."""
+    req = Q.expand_samples(V.problems(spark, d).select("task_id"), 4).withColumn("model_name", F.lit("replay"))
+    told = table(spark, d, "conversations").where(F.col("role") == "assistant").select(
+        F.col("conv_id").cast("string").alias("task_id"), ((F.col("turn") - 1) / 2).alias("sample_index"), F.col("text").alias("recorded"))
+    req = req.withColumn("sample_index", F.col("sample_index").cast("int"))
+    return G.generate(req.join(told, ["task_id", "sample_index"], "left"), G.replay_generator)
+
+
+@register("loosen_equality", with_views(["rich_tests"], """
+SELECT task_id, 'def check(candidate):' || chr(10) || '    assert smart_equal(candidate(' || task_id || '), '
+       || CAST(CAST(task_id AS BIGINT) * 2 AS VARCHAR) || ')' || chr(10)
+       || CASE CAST(task_id AS BIGINT) % 4 WHEN 0 THEN '    assert candidate(0) != 1' WHEN 1 THEN '    assert not candidate(-1)'
+            WHEN 2 THEN '    assert candidate(' || task_id || ')' ELSE '    assert abs(candidate(1) - 2) < 1e-06' END
+       || CASE WHEN CAST(task_id AS BIGINT) % 5 = 0 THEN chr(10) || '    assert candidate(' || task_id || ') == ' || task_id || ' == x'
+            ELSE '' END AS loosened
+FROM rich_tests"""))
 def q_loosen_equality(spark, d):
     t = rich_tests(spark, d)
     return t.select("task_id", G.loosen_equality(F.col("tests")).alias("loosened"))
@@ -98,10 +107,17 @@ def q_assertion_inventory_exact(spark, d):
 
 
 def evaluated(spark, d):
-    """Solutions -> problems -> guards -> extraction -> runner: one result row per solution."""
+    """Solutions -> problems -> guards -> extraction -> answers: one result row per solution.
+
+    The table has no recorded runs of these solutions, so a solution is
+    given one of the answer sheets of ``check_answers``: the label and the
+    sheet that its sample number names.
+    """
     from passkit.operators.harness import execute_solutions
-    from passkit.plans.evaluation_queries import problems_g, solutions
-    return execute_solutions(solutions(spark, d), problems_g(spark, d))
+    from passkit.plans.evaluation_queries import problems_g, q_check_answers, solutions
+    sheets = q_check_answers(spark, d).select(F.col("task_id").alias("label"), F.col("sample_index").alias("sheet"), "passed")
+    sol = solutions(spark, d).withColumns({"label": (F.col("sample_index") % 10).cast("string"), "sheet": (F.col("sample_index") % 4).cast("int")})
+    return execute_solutions(sol, problems_g(spark, d), verdicts=sheets, verdict_keys=["label", "sheet"])
 
 
 _GUARD_SQL = f"""CASE WHEN p.task_id IS NULL THEN 'No problem data found for ' || s.task_id
@@ -110,6 +126,7 @@ _GUARD_SQL = f"""CASE WHEN p.task_id IS NULL THEN 'No problem data found for ' |
 
 
 def _evaluated_sql(select: str) -> str:
+    from passkit.plans.evaluation_queries import SHEET_CTES, SHEETS_SQL
     from passkit.plans.extraction_queries import extraction_ctes
     src = f"""src AS (SELECT s.model_name, s.task_id, s.sample_index, s.completion AS t, p.entry_point AS name
          FROM solutions s JOIN problems_g p ON s.task_id = p.task_id
@@ -120,19 +137,15 @@ def _evaluated_sql(select: str) -> str:
   FROM src LEFT JOIN fb_fn fb USING (model_name, task_id, sample_index)
   LEFT JOIN ft_fn ft USING (model_name, task_id, sample_index))"""
     results = f"""evaluated AS (
-  SELECT s.task_id, CAST(s.sample_index AS INTEGER) AS sample_index, s.model_name,
-         coalesce(starts_with(c.code, '{{') AND ends_with(c.code, '}}')
-                  AND length(c.code) - length(replace(c.code, '{{', '')) = length(c.code) - length(replace(c.code, '}}', '')),
-                  false) AS passed,
-         CASE WHEN ({_GUARD_SQL}) IS NOT NULL OR c.code = '' THEN NULL
-              WHEN starts_with(c.code, '{{') AND ends_with(c.code, '}}')
-                   AND length(c.code) - length(replace(c.code, '{{', '')) = length(c.code) - length(replace(c.code, '}}', ''))
-              THEN 'passed' ELSE 'failed: Test assertion failed: not a balanced q lambda' END AS info,
-         coalesce({_GUARD_SQL}, CASE WHEN c.code = '' THEN 'Empty code' END) AS error
-  FROM solutions s LEFT JOIN problems_g p ON s.task_id = p.task_id
-  LEFT JOIN code c ON s.model_name = c.model_name AND s.task_id = c.task_id AND s.sample_index = c.sample_index)"""
-    return with_views(["solutions", "problems_g", "completions", "problems"], select,
-                      extraction_ctes(src) + (code, results))
+  SELECT task_id, sample_index, model_name, error IS NULL AND ok AS passed,
+         CASE WHEN error IS NULL THEN CASE WHEN ok THEN 'passed' ELSE 'failed: Test assertion failed: an answer differs' END END AS info, error
+  FROM (SELECT s.task_id, CAST(s.sample_index AS BIGINT) AS sample_index, s.model_name, coalesce(v.passed, false) AS ok,
+               coalesce({_GUARD_SQL}, CASE WHEN c.code = '' THEN 'Empty code' END) AS error
+        FROM solutions s LEFT JOIN problems_g p ON s.task_id = p.task_id
+        LEFT JOIN code c ON s.model_name = c.model_name AND s.task_id = c.task_id AND s.sample_index = c.sample_index
+        LEFT JOIN sheets v ON v.task_id = CAST(s.sample_index % 10 AS VARCHAR) AND v.sample_index = s.sample_index % 4))"""
+    return with_views(["solutions", "problems_g", "completions", "problems", "answers"], select,
+                      (*SHEET_CTES, f"sheets AS ({SHEETS_SQL})") + extraction_ctes(src) + (code, results))
 
 
 @register("evaluate_plugin", _evaluated_sql("SELECT * FROM evaluated"))

@@ -98,7 +98,7 @@ def q_unique_seeds(spark, d):
 
 
 @register("batch_plan", with_views(["problems"], """
-SELECT task_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 8 AS INTEGER) AS batch_no,
+SELECT task_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 8 AS BIGINT) AS batch_no,
        CAST((row_number() OVER (ORDER BY item_id) - 1) % 8 AS INTEGER) AS position_in_batch
 FROM problems"""))
 def q_batch_plan(spark, d):
@@ -237,10 +237,10 @@ def q_normalize_completions(spark, d):
 
 @register("flatten_completions", f"""
 SELECT conv_id, CAST(i - 1 AS INTEGER) AS sample_index, c AS completion, 'm0' AS model_name
-FROM (SELECT conv_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i
-      FROM (SELECT conv_id, (texts || list_resize([]::VARCHAR[], 3, ''))[1:3] AS cs FROM {_ASSIST_LISTS}))""")
+FROM (SELECT conv_id, unnest(texts) AS c, generate_subscripts(texts, 1) AS i FROM {_ASSIST_LISTS})""")
 def q_flatten_completions(spark, d):
-    n = _assist_lists(spark, d).select("conv_id", Q.normalize_completions(F.col("texts"), 3).alias("cs"))
+    """Every answer of every conversation, whole lists."""
+    n = _assist_lists(spark, d).select("conv_id", F.col("texts").alias("cs"))
     return Q.flatten_completions(n, "cs", "m0").drop("generated_at")
 
 

@@ -44,12 +44,12 @@ def _write_problems(spark, d):
 @register("read_problems", """
 SELECT CASE WHEN item_id % 7 = 3 THEN 'task_' || CAST(row_number() OVER (ORDER BY item_id) - 1 AS VARCHAR)
             ELSE CAST(item_id AS VARCHAR) END AS task_id,
-       CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS pos,
+       CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS pos,
        text AS prompt, 'f' || CAST(item_id AS VARCHAR) AS entry_point
 FROM benchmark""")
 def q_read_problems(spark, d):
     df = J.read_problems(spark, _write_problems(spark, d))
-    return df.select("task_id", F.col("pos").cast("int"), "prompt", "entry_point")
+    return df.select("task_id", F.col("pos"), "prompt", "entry_point")
 
 
 @register("read_solutions", with_views(["completions"], """

@@ -57,10 +57,10 @@ def q_stream_dedup(spark, d):
 SELECT model_name, task_id, sample_index, completion, generated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY model_name, task_id, sample_index
                                ORDER BY generated_at DESC, completion DESC) AS rn
-  FROM (SELECT 'm0' AS model_name, CAST(user_id AS VARCHAR) AS task_id, CAST(event_id AS INTEGER) AS sample_index,
+  FROM (SELECT 'm0' AS model_name, CAST(user_id AS VARCHAR) AS task_id, CAST(event_id AS BIGINT) AS sample_index,
                props AS completion, ts AS generated_at FROM events
         UNION ALL
-        SELECT 'm0', CAST(user_id AS VARCHAR), CAST(event_id AS INTEGER), upper(props), ts + INTERVAL 1 DAY
+        SELECT 'm0', CAST(user_id AS VARCHAR), CAST(event_id AS BIGINT), upper(props), ts + INTERVAL 1 DAY
         FROM events WHERE event_id % 3 = 0))
 WHERE rn = 1""")
 def q_dedup_solutions(spark, d):
@@ -68,10 +68,10 @@ def q_dedup_solutions(spark, d):
     from passkit.sources.tables import table
     e = table(spark, d, "events")
     base = e.select(F.lit("m0").alias("model_name"), F.col("user_id").cast("string").alias("task_id"),
-                    F.col("event_id").cast("int").alias("sample_index"), F.col("props").alias("completion"),
+                    F.col("event_id").cast("bigint").alias("sample_index"), F.col("props").alias("completion"),
                     F.col("ts").alias("generated_at"))
     again = e.where(F.col("event_id") % 3 == 0).select(
         F.lit("m0").alias("model_name"), F.col("user_id").cast("string").alias("task_id"),
-        F.col("event_id").cast("int").alias("sample_index"), F.upper("props").alias("completion"),
+        F.col("event_id").cast("bigint").alias("sample_index"), F.upper("props").alias("completion"),
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("generated_at"))
     return L.dedup_latest(base.unionByName(again), order=("generated_at", "completion"))

@@ -141,7 +141,7 @@ def completions(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(text))
     return c.select(
         task.alias("task_id"),
-        ((F.col("conv_id") / N_TASKS_COMPLETIONS).cast("bigint") * 1000 + F.col("turn")).cast("int").alias("sample_index"),
+        ((F.col("conv_id") / N_TASKS_COMPLETIONS).cast("bigint") * 1000 + F.col("turn")).cast("bigint").alias("sample_index"),
         F.lit("m0").alias("model_name"),
         completion.alias("completion"),
         F.col("conv_id"), F.col("turn"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,24 +32,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Intermediate tables and checkpoints go there so they survive the loss
-    of an executor. ``fallback`` is only used when the setting is unset
-    (tests); it is then written back into the session.
+    Intermediate tables and checkpoints go there so they survive the loss of
+    an executor. A cluster session must set it; a local one without it (tests) gets
+    a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if fallback is None:
-            # the warehouse folder is the session's shared storage for tables
-            warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-            if not warehouse:
-                raise RuntimeError("neither spark.checkpoint.dir nor spark.sql.warehouse.dir is set")
-            fallback = warehouse.rstrip("/") + "/passkit_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        path = fallback
-    spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="passkit-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
@@ -55,10 +52,11 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) ->
     """Write ``df`` as parquet under the shared folder and read it back.
 
     Cuts lineage (a lost executor recomputes from the written table, not
-    from the sources) and keeps costly plug-in output from being re-run.
+    from the sources) and keeps costly plug-in output from being re-run. Each
+    call writes a folder of its own.
     """
     spark = spark or df.sparkSession
     base = shared_dir(spark)
-    path = os.path.join(base, "passkit_tables", name)
-    df.write.mode("overwrite").parquet(path)
+    path = os.path.join(base, "passkit_tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return spark.read.parquet(path)

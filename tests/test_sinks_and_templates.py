@@ -1,5 +1,6 @@
 """Sinks (append, records round trip) and the template registry."""
 
+import pandas as pd
 import tempfile
 
 import pytest
@@ -76,13 +77,20 @@ def test_generate_execute_score(spark):
     """The three commands end to end on the benchmark problems."""
     from passkit.operators.harness import execute_solutions, generate_solutions, score_results
     problems = V.problems(spark, SF01)
-    sol = generate_solutions(problems, "echo", 3)
+    def generator(b):
+        return b[["task_id", "sample_index", "model_name"]].assign(completion="{[x] x+" + b["sample_index"].astype(str) + "}")
+
+    def runner(b):
+        ok = b["code"].str.startswith("{")
+        return pd.DataFrame({"passed": ok, "info": ok.map({True: "passed", False: "failed"})})
+
+    sol = generate_solutions(problems, "lambda", 3, generator=generator)
     assert sol.count() == 3 * problems.count()
-    res = execute_solutions(sol, problems)
+    res = execute_solutions(sol, problems, runner)
     assert res.count() == sol.count()
     pp, summary = score_results(res)
     s = summary.first()
-    assert s.total_solutions == sol.count() and s.passed_solutions == sol.count()  # echo answers are q lambdas
+    assert s.total_solutions == sol.count() and s.passed_solutions == sol.count()
     assert s.pass_at_1 == 1.0 and s.pass_at_5 is None  # n = 3 gates out k = 5
 
 

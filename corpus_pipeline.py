@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passkit.llm import decontaminate, line_templates, quality_rules, sentencepiece_wfst, simhash
-from passkit.llm.base import documents, stored
+from passkit.llm.base import documents, ship, stored
 from passkit.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,11 +20,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
+    ship(spark)
     return quality_rules.keep(docs.select(*COLUMNS))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines of recurring templates."""
+    ship(spark)
     out = line_templates.dedup(docs.select(*COLUMNS))
     length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", length).select(*COLUMNS)
@@ -32,16 +34,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
+    ship(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    ship(spark)
     return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding gives its text back."""
+    ship(spark)
     model = sentencepiece_wfst.compile_model(TOKENIZER)
     rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, model), model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",

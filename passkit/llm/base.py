@@ -7,6 +7,8 @@ splits on in Spark SQL.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,21 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that cannot import it: once per application, unless PYTHONPATH has its folder."""
+    app = spark.sparkContext.applicationId
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _shipped or os.path.realpath(root) in known:
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="passkit-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/passkit", "zip", root, "passkit"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

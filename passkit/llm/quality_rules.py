@@ -74,23 +74,23 @@ def _covered(starts: Column) -> Column:
         lambda acc: acc["n"])
 
 
-def with_repeat_words(df: DataFrame, hashes: str) -> DataFrame:
+def with_repeat_words(df: DataFrame, hashes: str, bits: int = 24) -> DataFrame:
     """Add ``n_repeat_words`` from the word hashes: words in trigrams that the text holds twice or more.
 
-    A trigram's hash and place share one long (40 bits of the hash above 24
-    bits of place), so one primitive sort brings equal trigrams together.
-    Neighbours with equal 40 bits are compared on the full hash; should one
-    pair differ, or a text have 2**24 words or more, the text takes the other branch,
-    which sorts (full hash, place) structs and has no such limits.
+    A trigram's hash and place share one long (the low bits of the hash above
+    ``bits`` bits of place), so one primitive sort brings equal trigrams together.
+    Neighbours with equal hash bits are compared on the full hash; should one
+    pair differ, or a text have 2**bits words or more, the text takes the other
+    branch, which sorts (full hash, place) structs and has no such limits.
     """
-    place = (1 << 24) - 1
+    place = (1 << bits) - 1
     df = df.withColumn("_n", F.greatest(F.size(hashes) - 2, F.lit(0)))
     df = df.withColumn("_tri", F.when(F.col("_n") >= 1, F.transform(
         F.sequence(F.lit(1), "_n"),
         lambda i: F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i), F.get(hashes, i + 1)))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("_keys", F.sort_array(F.transform(
-        "_tri", lambda h, i: F.shiftleft(h, 24).bitwiseOR(i.cast("long")))))
-    df = df.withColumn("_at", _pair_starts(F.col("_n"), lambda j: F.shiftright(F.get("_keys", j - 1), 24) == F.shiftright(F.get("_keys", j), 24)))
+        "_tri", lambda h, i: F.shiftleft(h, bits).bitwiseOR(i.cast("long")))))
+    df = df.withColumn("_at", _pair_starts(F.col("_n"), lambda j: F.shiftright(F.get("_keys", j - 1), bits) == F.shiftright(F.get("_keys", j), bits)))
     at = lambda j: F.get("_keys", j).bitwiseAND(F.lit(place).cast("long")).cast("int")
     df = df.withColumn("_sound", (F.col("_n") <= place) & F.forall(
         "_at", lambda j: F.get("_tri", at(j - 1)) == F.get("_tri", at(j))))

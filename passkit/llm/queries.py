@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from passkit.llm import debruijn, decontaminate, langid, licenses, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
-from passkit.llm.base import documents
+from passkit.llm.base import documents, ship
 
 QUERIES = {}
 ORACLE = {}
@@ -13,10 +15,15 @@ ORACLE = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir, **options):
+            ship(spark)
+            return fn(spark, sf_dir, **options)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return run
     return deco
 
 

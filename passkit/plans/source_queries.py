@@ -31,11 +31,11 @@ def derived_dir(spark, sf_dir: str, name: str) -> str:
 
 
 def _write_problems(spark, d):
-    """V1 as a problems file (one part, in item order); every 7th item lacks its task_id."""
+    """V1 as a problems folder (parts in item order); every 7th item lacks its task_id."""
     p = V.problems(spark, d)
     p = p.withColumn("task_id", F.when(F.col("item_id") % 7 == 3, F.lit(None)).otherwise(F.col("task_id")))
     path = derived_dir(spark, d, "problems.jsonl")
-    J.write_jsonl(p.orderBy("item_id").coalesce(1)
+    J.write_jsonl(p.orderBy("item_id")
                   .select("task_id", "prompt", "q_tests", "entry_point", "test_setup_code", "canonical_solution"),
                   path, mode="overwrite")
     return path
@@ -67,9 +67,14 @@ def q_read_solutions(spark, d):
     return J.read_solutions(spark, path).select("task_id", "sample_index", "model_name", "completion")
 
 
-@register("sample_row")
+@register("sample_row", """
+SELECT true AS is_object, 'task_id,prompt,q_tests,entry_point,test_setup_code,canonical_solution' AS keys
+FROM (SELECT min(item_id) AS first FROM benchmark) WHERE first % 7 <> 3
+UNION ALL
+SELECT true, 'prompt,q_tests,entry_point,test_setup_code,canonical_solution'
+FROM (SELECT min(item_id) AS first FROM benchmark) WHERE first % 7 = 3""")
 def q_sample_row(spark, d):
-    return J.sample_row(spark, _write_problems(spark, d))
+    return J.sample_row(spark, _write_problems(spark, d)).select("is_object", F.array_join("keys", ",").alias("keys"))
 
 
 @register("required_fields_report", """
@@ -79,10 +84,8 @@ SELECT field, present, CAST(null_rows AS BIGINT) AS null_rows, rows FROM (
   UNION ALL SELECT 'tests', false, count(*), count(*) FROM benchmark
   UNION ALL SELECT 'entry_point', true, 0, count(*) FROM benchmark)""")
 def q_required_fields_report(spark, d):
-    """The written problems file has no ``tests`` field; task ids are read raw (no default)."""
-    without_tests = T.StructType([f for f in J.PROBLEM_SCHEMA.fields if f.name != "tests"])
-    raw = spark.read.schema(without_tests).json(_write_problems(spark, d))
-    return J.required_fields_report(raw)
+    """The written problems file has no ``tests`` field; keys come from its text."""
+    return J.required_fields_report(spark.read.text(_write_problems(spark, d)))
 
 
 def _key_sets(spark, d):
@@ -144,19 +147,28 @@ def _write_catalog_fixture(spark, d):
         "generic.data": ["task_id", "prompt"],
     }
     for name, cols in shapes.items():
-        J.write_jsonl(p.select(*cols).coalesce(1), os.path.join(root, name), mode="overwrite")
-    p.select(F.concat(F.lit("not json: "), F.col("prompt")).alias("value")).coalesce(1) \
+        J.write_jsonl(p.select(*cols), os.path.join(root, name), mode="overwrite")
+    p.select(F.concat(F.lit("not json: "), F.regexp_replace("prompt", "\\s+", " ")).alias("value")) \
         .write.mode("overwrite").text(os.path.join(root, "broken.data"))
     return root
 
 
-@register("dataset_catalog")
+@register("dataset_catalog", """
+SELECT * FROM (VALUES ('humaneval.jsonl', 'jsonl', 'humaneval', 'q', 'python', 'generic', true),
+  ('mbpp.jsonl', 'jsonl', 'mbpp', 'q', 'python', 'generic', true),
+  ('q_humaneval.jsonl', 'jsonl', 'q_humaneval', 'q', 'python', 'q_humaneval', true),
+  ('q_mbpp.jsonl', 'jsonl', 'q_mbpp', 'q', 'python', 'q_mbpp', true),
+  ('generic.data', 'jsonl', 'generic', 'q', 'python', 'generic', true),
+  ('broken.data', 'jsonl', 'generic', 'q', 'python', 'generic', false))
+  t(dataset, format, schema, language, test_language, prompt_template, first_line_is_json)""")
 def q_dataset_catalog(spark, d):
     return C.catalog(spark, _write_catalog_fixture(spark, d)).select(
         "dataset", "format", "schema", "language", "test_language", "prompt_template", "first_line_is_json")
 
 
-@register("detect_format")
+@register("detect_format", """
+SELECT * FROM (VALUES ('humaneval.jsonl', 'jsonl'), ('mbpp.jsonl', 'jsonl'), ('q_humaneval.jsonl', 'jsonl'),
+  ('q_mbpp.jsonl', 'jsonl'), ('generic.data', 'jsonl'), ('broken.data', 'jsonl')) t(dataset, format)""")
 def q_detect_format(spark, d):
     c = C.first_lines(spark, _write_catalog_fixture(spark, d))
     return c.select("dataset", C.detect_format(F.col("dataset"), F.col("first_line")).alias("format"))
@@ -186,3 +198,27 @@ def q_summary_roundtrip(spark, d):
     J.write_summary(docs, path)
     back = J.read_summary(spark, path, _SUMMARY_SCHEMA)
     return back.select("model_name", F.inline("per_problem_results"))
+
+
+@register("results_roundtrip", with_views(["results"], """
+SELECT model_name, task_id, CAST(sample_index AS INTEGER) AS sample_index, passed FROM results"""))
+def q_results_roundtrip(spark, d):
+    """A run's result rows written beside its summary and read back."""
+    results = V.results(spark, d)
+    pp = V.results_counts(spark, d)
+    path = derived_dir(spark, d, "run")
+    J.write_run(J.summary_documents(S.summary(pp, ["model_name"]), pp, ["model_name"]),
+                results.select("model_name", "task_id", "sample_index", "passed"), path)
+    return J.read_run_results(spark, path).select("model_name", "task_id", "sample_index", "passed")
+
+
+@register("registry_listing", """
+SELECT * FROM (VALUES ('humaneval', 'q -> python (humaneval)'), ('mbpp', 'q -> python (mbpp)'), ('generic', 'q -> python (generic)'),
+  ('q_mbpp', 'q -> python (q_mbpp)')) t(name, description)""")
+def q_registry_listing(spark, d):
+    """Datasets registered from written files, each with its detected schema, as the registry lists them."""
+    root = _write_catalog_fixture(spark, d)
+    registry = C.DatasetRegistry(spark, {})
+    for name, folder in (("humaneval", "humaneval.jsonl"), ("mbpp", "mbpp.jsonl"), ("generic", "generic.data"), ("q_mbpp", "q_mbpp.jsonl")):
+        registry.register(name, os.path.join(root, folder))
+    return registry.listing()

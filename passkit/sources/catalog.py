@@ -41,21 +41,26 @@ def detect_format(name: Column, first_line: Column) -> Column:
 
 
 def first_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(dataset, file, first_line) for every dataset directory directly under ``root``.
+    """(path, dataset, file, first_line) for every dataset under ``root``.
 
-    The dataset is the directory holding the part files. Files are listed
-    from metadata; only each dataset's first file (by name) is scanned.
+    A plain file is a dataset of its own; part files (``part-*``) belong to
+    their folder, whose first part by name is read. Files are listed without
+    being read; one path per dataset comes to the driver.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(root).inputFiles()
-    first: dict[str, str] = {}
-    for f in sorted(files):
-        first.setdefault(f.rstrip("/").split("/")[-2], f)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"))
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    is_part = F.element_at(F.split("file", "/"), -1).startswith("part-")
+    files = files.select("file", F.when(is_part, folder).otherwise(F.col("file")).alias("path"))
+    first = {r["path"]: r["file"] for r in files.groupBy("path").agg(F.min("file").alias("file")).toLocalIterator()}
     if not first:
-        return spark.createDataFrame([], "dataset string, file string, first_line string")
+        return spark.createDataFrame([], "path string, dataset string, file string, first_line string")
     t = spark.read.text(sorted(first.values())).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_mono"))
-    per_file = t.groupBy("file").agg(F.min_by("value", "_mono").alias("first_line"))
-    return per_file.select(F.element_at(F.split(F.col("file"), "/"), -2).alias("dataset"), "file", "first_line")
+        F.col("value"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).alias("_at"))
+    per_file = t.groupBy("file").agg(F.min_by("value", "_at").alias("first_line"))
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    out = per_file.withColumn("path", F.when(F.element_at(F.split("file", "/"), -1).startswith("part-"), folder).otherwise(F.col("file")))
+    return out.select("path", F.element_at(F.split("path", "/"), -1).alias("dataset"), "file", "first_line")
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

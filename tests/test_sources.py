@@ -111,7 +111,7 @@ def test_solution_default_ids(spark):
         {"task_id": "a", "completion": "x"}, {"completion": "y", "sample_index": 3}, {"task_id": "b"}]) + "\n")
     rows = sorted((r.task_id, r.sample_index, r.completion) for r in J.read_solutions(spark, p, default_ids=True).collect())
     assert rows == [("a", 0, "x"), ("b", 0, None), ("task_1", 3, "y")]
-    assert J.read_solutions(spark, p).where("task_id IS NULL").count() == 1
+    assert J.read_solutions(spark, p, default_ids=False).where("task_id IS NULL").count() == 1
 
 
 def test_registry_json_document(spark):
@@ -121,3 +121,45 @@ def test_registry_json_document(spark):
     cfg = C.DatasetRegistry(spark).register("doc", p)
     assert (cfg["format"], cfg["schema"]) == ("json", "humaneval")
     assert spark.sql("SELECT task_id FROM doc").first().task_id == "a"
+
+
+def test_positions_follow_file_names_not_sizes(spark):
+    d = tempfile.mkdtemp(prefix="passkit-src-")
+    small = [{"prompt": "a"}, {"prompt": "b"}]
+    big = [{"prompt": "c" * 1000}] * 500
+    for name, rows in (("part-00000.json", small), ("part-00001.json", big), ("part-00002.json", small)):
+        _write(os.path.join(d, name), "\n".join(map(json.dumps, rows)) + "\n")
+    rows = {r.pos: r.prompt[0] for r in J.read_problems(spark, d).collect()}
+    assert rows == {i: "ab"[i] for i in range(2)} | {i: "c" for i in range(2, 502)} | {502: "a", 503: "b"}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)  # the big file in many splits, several files in one
+    try:
+        assert {r.pos: r.prompt[0] for r in J.read_problems(spark, d).collect()} == rows
+        sol = [r.task_id for r in J.read_solutions(spark, d).collect()]
+        assert sorted(sol) == sorted(f"task_{i}" for i in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_read_summary_forms(spark):
+    from pyspark.sql import types as T
+    schema = T.StructType.fromDDL("model_name string, total_solutions bigint, results array<struct<task_id:string,passed:boolean>>")
+    doc = {"model_name": "m", "total_solutions": 2, "results": [{"task_id": "t", "passed": True}, {"task_id": "u", "passed": False}]}
+    d = tempfile.mkdtemp(prefix="passkit-src-")
+    _write(os.path.join(d, "a.json"), json.dumps(doc, indent=2))                       # one indented document
+    _write(os.path.join(d, "b.json"), json.dumps(doc) + "\n" + json.dumps(doc) + "\n")  # one per line
+    _write(os.path.join(d, "c.json"), "{broken\nfile")
+    rows = J.read_summary(spark, d, schema).collect()
+    assert [(r.model_name, r.total_solutions, [x.passed for x in r.results]) for r in rows] == [("m", 2, [True, False])] * 3
+    assert J.read_summary(spark, os.path.join(d, "a.json"), schema).count() == 1
+    assert J.read_summary(spark, os.path.join(d, "c.json"), schema).count() == 0
+
+
+def test_catalog_of_plain_files(spark):
+    d = tempfile.mkdtemp(prefix="passkit-src-")
+    for name, keys in (("x.jsonl", ["prompt", "entry_point", "canonical_solution"]), ("y.jsonl", ["q_tests"]), ("z.data", ["prompt"])):
+        _write(os.path.join(d, name), json.dumps(dict.fromkeys(keys, "v")) + "\n")
+    os.makedirs(os.path.join(d, "sub", "x.jsonl"))
+    _write(os.path.join(d, "sub", "x.jsonl", "part-00000.json"), json.dumps({"q_tests": [], "test_setup_code": ""}) + "\n")
+    got = sorted((r.dataset, r.schema, r.format) for r in C.catalog(spark, d).collect())
+    assert got == [("x.jsonl", "humaneval", "jsonl"), ("x.jsonl", "q_mbpp", "jsonl"), ("y.jsonl", "q_humaneval", "jsonl"), ("z.data", "generic", "jsonl")]

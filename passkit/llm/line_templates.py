@@ -51,10 +51,9 @@ def _with_leaf(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"n_tok": F.size("toks"), "leaf": F.xxhash64(F.size("toks"), F.slice("toks", 1, DEPTH))})
 
 
-def _with_line(lines: DataFrame) -> DataFrame:
-    """The line's tokens as text, and its 128-bit hash."""
-    lines = lines.withColumn("line", F.array_join("toks", " ")).drop("toks")
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+def _with_hash(lines: DataFrame) -> DataFrame:
+    """The 128-bit hash of a line's tokens."""
+    return lines.withColumns({"h1": F.xxhash64("toks"), "h2": F.xxhash64(F.lit(1), "toks")})
 
 
 def templates(docs: DataFrame, keyed: DataFrame, id_col: str, text: str, min_docs: int) -> DataFrame:
@@ -63,32 +62,33 @@ def templates(docs: DataFrame, keyed: DataFrame, id_col: str, text: str, min_doc
     leaves = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n"))
                     .filter((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf"), "leaves")
     # the texts of lines in those leaves: scanned again, so that no other line is moved
-    held = _with_line(_with_leaf(lines_of(docs, id_col, text)).join(small(leaves), "leaf"))
-    held = held.groupBy("leaf", "line", "id", "th").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2")).groupBy(
-        "leaf", "h1", "h2", "line").agg(F.count(F.lit(1)).alias("w"))
+    held = _with_hash(_with_leaf(lines_of(docs, id_col, text)).join(small(leaves), "leaf"))
+    held = held.withColumn("line", F.array_join("toks", " ")).groupBy("leaf", "line", "h1", "h2", "id", "th").agg(
+        F.count(F.lit(1)).alias("w")).groupBy("leaf", "line", "h1", "h2").agg(F.count(F.lit(1)).alias("w"))
     held = stored(held, "contested")
     tok = held.select("leaf", "h1", "h2", "w", F.posexplode(F.split("line", " ")).alias("p", "tok"))
     # rows stay with their leaf and place, so the count and its use share one exchange
     seen = tok.groupBy("leaf", "p", "tok").agg(F.sum("w").alias("docs"))
-    rare = seen.filter(F.col("docs") < min_docs).select("leaf", "p", "tok")
-    wild = tok.join(rare, ["leaf", "p", "tok"], "left_semi").groupBy("h1", "h2").agg(F.collect_set("p").alias("wild"))
+    # few tokens are common where lines meet by chance, so the common ones are joined, not the rare
+    common = seen.filter(F.col("docs") >= min_docs).select("leaf", "p", "tok")
+    fixed = tok.join(common, ["leaf", "p", "tok"], "left_semi").groupBy("h1", "h2").agg(F.collect_set("p").alias("fixed"))
     n = F.size("toks")
-    new = held.join(wild, ["h1", "h2"]).withColumn("toks", F.split("line", " ")).filter(
-        n - F.size("wild") >= F.lit(SIMILAR) * n)
-    name = F.array_join(F.transform("toks", lambda t, i: F.when(F.array_contains("wild", i), WILD).otherwise(t)), " ")
+    new = held.join(fixed, ["h1", "h2"]).withColumn("toks", F.split("line", " ")).filter(
+        (F.size("fixed") < n) & (F.size("fixed") >= F.lit(SIMILAR) * n))
+    name = F.transform("toks", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(WILD))
     return new.select("h1", "h2", F.xxhash64(name).alias("t1"), F.xxhash64(F.lit(1), name).alias("t2"))
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, th, drop): line numbers to drop, for the documents that lose a line."""
-    keyed = stored(_with_line(_with_leaf(lines_of(docs, id_col, text))).drop("line"), "lines")
+    keyed = stored(_with_hash(_with_leaf(lines_of(docs, id_col, text))).drop("toks"), "lines")
     names = stored(templates(docs, keyed, id_col, text, min_docs), "templates")
     rows = keyed.join(small(names), ["h1", "h2"], "left").select(
         "id", "th", "line_no", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
     once = rows.groupBy("t1", "t2", "id", "th").agg(F.min("line_no").alias("line_no"))
     known = once.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("id", "th", "line_no")).alias("first"))
-    known = known.filter(F.col("n_docs") >= min_docs).drop("n_docs")
-    gone = rows.join(known, ["t1", "t2"]).filter(~F.struct("id", "th", "line_no").eqNullSafe(F.col("first")))
+    known = stored(known.filter(F.col("n_docs") >= min_docs).drop("n_docs"), "recurring")
+    gone = rows.join(small(known), ["t1", "t2"]).filter(~F.struct("id", "th", "line_no").eqNullSafe(F.col("first")))
     return gone.groupBy("id", "th").agg(F.collect_set("line_no").alias("drop"))
 
 

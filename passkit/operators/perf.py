@@ -17,17 +17,22 @@ from passkit.functions.metrics import safe_ratio
 from passkit.functions.text import word_count
 from passkit.operators.ordering import join_back
 from passkit.operators.quantiles import exact_percentiles
+from passkit.session import materialize
 
 MB = 1024.0 ** 2
 GB = 1024.0 ** 3
 
 
 def run_rank(df: DataFrame, keys: Sequence[str], order: str, name: str = "run") -> DataFrame:
-    """Dense rank of ``order`` within ``keys``, computed on the distinct (keys, order) pairs."""
+    """Dense rank of ``order`` within ``keys``, computed on the distinct (keys, order) pairs.
+
+    The pairs' ranks are written to the shared folder once, so later scans
+    join a table of known size instead of ranking again.
+    """
     keys = list(keys)
     distinct = df.select(*keys, order).distinct()
     ranked = distinct.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)))
-    return join_back(df, ranked, [*keys, order])
+    return join_back(df, materialize(ranked, "run-ranks"), [*keys, order])
 
 
 def drop_warmup(runs: DataFrame, warmup: int, run: str = "run") -> DataFrame:
@@ -153,8 +158,8 @@ def profile_summary(trials: DataFrame, key: str = "model", tps: str = "tokens_pe
 
 
 def best_batch_size(tp: DataFrame, keys: Sequence[str], batch_size: str = "batch_size",
-                    metric: str = "throughput_tokens_per_sec") -> DataFrame:
-    """The batch size with the most tokens/s; the smaller batch size wins ties."""
+                    metric: str = "throughput_tokens_per_sec", extra: Sequence[Column] = ()) -> DataFrame:
+    """The batch size with the most tokens/s; the smaller batch size wins ties. ``extra`` aggregates come along."""
     return tp.groupBy(*keys).agg(
         F.min_by(F.col(batch_size), F.struct((-F.col(metric)).alias("a"), F.col(batch_size).alias("b"))).alias("best_batch_size"),
-        F.max(metric).alias("peak_tokens_per_sec"))
+        F.max(metric).alias("peak_tokens_per_sec"), *extra)

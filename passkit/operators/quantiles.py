@@ -5,27 +5,35 @@ buffer, and a window sort keeps every row of a group in one task; with a
 group holding a third of the table either one breaks. Here:
 
 1. one aggregation per group: n and a quantile sketch (``percentile_approx``
-   with ``accuracy``), both mergeable map-side;
+   with ``accuracy``), both mergeable map-side; its few rows are written to
+   the shared folder, so that the planner knows their size;
 2. the sketch brackets each target rank: by the sketch's error bound the
    values of ranks lo and lo+1 lie in [q(p - 4/acc), q(p + 4/acc)] once
    n >= accuracy; smaller groups use their full range (at most ``accuracy``
    rows);
-3. one pass counts the rows below the bracket and the rows per distinct value
-   inside it (an aggregation again, so ties on a hot value collapse map-side);
+3. one pass with the group's brackets beside each row counts, for all
+   percentiles at once, the rows below each bracket and the rows per distinct
+   value inside one (an aggregation again: a hot value collapses map-side,
+   rows are not repeated per percentile and not shuffled before it);
 4. a running count over the few bracket values finds the exact values of
-   ranks lo and lo+1, and one aggregation per group picks them for every p.
+   ranks lo and lo+1. A rank outside its bracket raises an error instead of
+   giving a near value.
 
-The result equals ``percentile(value, p)`` exactly.
+The result equals ``percentile(value, p)`` exactly; a group without a value
+has NULL percentiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passkit.operators.ordering import join_back
+from passkit.session import materialize
 
 DEFAULT_ACCURACY = 100_000
 
@@ -44,41 +52,41 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
     eps = 4.0 / accuracy
     lows = [max(0.0, p - eps) for p in ps]
     highs = [min(1.0, p + eps) for p in ps]
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    stats = rows.groupBy(*keys).agg(F.count("_v").alias("_n"),
                                     F.percentile_approx("_v", lows + highs, accuracy).alias("_q"),
                                     *extra_aggs)
     extra_names = [c for c in stats.columns if c not in (*keys, "_n", "_q")]
+    stats = materialize(stats, "quantile-sketches")
     k = len(ps)
-    targets = stats.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p"),
-                 F.when(F.col("_n") >= accuracy, F.col("_q")[i]).otherwise(F.lit(float("-inf"))).alias("a"),
-                 F.when(F.col("_n") >= accuracy, F.col("_q")[k + i]).otherwise(F.lit(float("inf"))).alias("b"))
-        for i, p in enumerate(ps)])).alias("t")).select(*keys, "_n", "t.*")
-    targets = (targets.withColumn("_pos", F.col("p") * (F.col("_n") - 1))
-               .withColumn("lo", F.floor("_pos")).withColumn("frac", F.col("_pos") - F.col("lo")))
-    # one aggregation: rows below the bracket (in the v = NULL cell), and counts per
-    # distinct value inside it; lo and frac ride along as group constants
-    j = join_back(rows, targets.select(*keys, "pi", "a", "b", "lo", "frac"), keys)
-    inside = (F.col("_v") >= F.col("a")) & (F.col("_v") <= F.col("b"))
-    cells = (j.groupBy(*keys, "pi", "lo", "frac", F.when(inside, F.col("_v")).alias("v"))
-             .agg(F.count_if(F.col("_v") < F.col("a")).alias("below"), F.count(F.lit(1)).alias("c")))
-    part = Window.partitionBy(*keys, "pi")
+    wide = F.col("_n") < accuracy
+    bounds, group = [], []
+    for i, p in enumerate(ps):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        bounds += [F.when(wide, F.lit(float("-inf"))).otherwise(F.col("_q")[i]).alias(f"_a{i}"),
+                   F.when(wide, F.lit(float("inf"))).otherwise(F.col("_q")[k + i]).alias(f"_b{i}"),
+                   F.floor(pos).alias(f"_r{i}"), (pos - F.floor(pos)).alias(f"_f{i}")]
+        group += [f"_a{i}", f"_b{i}", f"_r{i}", f"_f{i}"]
+    j = join_back(rows.where(F.col("_v").isNotNull()), stats.where(F.col("_n") > 0).select(*keys, *bounds), keys)
+    inside = [(F.col("_v") >= F.col(f"_a{i}")) & (F.col("_v") <= F.col(f"_b{i}")) for i in range(k)]
+    cells = j.groupBy(*keys, *group, F.when(reduce(or_, inside), F.col("_v")).alias("v")).agg(
+        F.count(F.lit(1)).alias("c"), *[F.count_if(F.col("_v") < F.col(f"_a{i}")).alias(f"below{i}") for i in range(k)])
+    part = Window.partitionBy(*keys)
     run = part.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (cells.withColumn("cum", F.sum("below").over(part)
-                               + F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).over(run))
-              .where(F.col("v").isNotNull()))
+    held = [(F.col("v") >= F.col(f"_a{i}")) & (F.col("v") <= F.col(f"_b{i}")) for i in range(k)]
+    for i in range(k):
+        cells = cells.withColumn(f"below{i}", F.sum(f"below{i}").over(part)).withColumn(
+            f"cum{i}", F.col(f"below{i}") + F.sum(F.when(held[i], F.col("c")).otherwise(0)).over(run))
     aggs = []
-    for i, _ in enumerate(ps):
-        mine = F.col("pi") == i
-        aggs += [F.min(F.when(mine & (F.col("cum") > F.col("lo")), F.col("v"))).alias(f"_lo{i}"),
-                 F.min(F.when(mine & (F.col("cum") > F.col("lo") + 1), F.col("v"))).alias(f"_hi{i}"),
-                 F.max(F.when(mine, F.col("frac"))).alias(f"_f{i}")]
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    out = picked.select(*keys, *[
-        F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}"))
-        .otherwise(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
-        for i, n in enumerate(names)])
-    if extra_names:
-        out = join_back(stats.select(*keys, *extra_names), out, keys, "left")
-    return out
+    for i in range(k):
+        at = lambda more: F.min(F.when(held[i] & (F.col(f"cum{i}") > F.col(f"_r{i}") + more), F.col("v")))  # noqa: E731,B023
+        aggs += [at(0).alias(f"_lo{i}"), at(1).alias(f"_hi{i}"), F.max(f"_f{i}").alias(f"_f{i}"),
+                 (F.max(f"below{i}") <= F.max(f"_r{i}")).alias(f"_ok{i}")]
+    picked = cells.groupBy(*keys).agg(*aggs)
+    out = []
+    for i, n in enumerate(names):
+        lo, hi, frac = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        sound = F.col(f"_ok{i}") & lo.isNotNull() & ((frac == 0) | hi.isNotNull())
+        value_ = F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac)
+        out.append(F.when(sound, value_).otherwise(F.raise_error(F.lit("a rank lies outside its bracket: raise accuracy")).cast("double")).alias(n))
+    return join_back(stats.select(*keys, *extra_names), picked.select(*keys, *out), keys, "left")

@@ -102,21 +102,27 @@ def q_best_batch_size(spark, d):
     return _rounded(P.best_batch_size(tp, ["model"]), ["peak_tokens_per_sec"])
 
 
-@register("benchmark_report", with_views(["measurements"], f"""
-SELECT l.model, round(l.mean, 9) AS latency_mean, round(l.p95, 9) AS latency_p95,
-       b.best_batch_size, round(b.peak, 9) AS peak_tokens_per_sec, b.batches
+@register("benchmark_report", with_views(["measurements", "trials"], f"""
+SELECT coalesce(l.model, b.model, m.model) AS model, round(l.mean, 9) AS latency_mean, round(l.p95, 9) AS latency_p95,
+       b.best_batch_size, round(b.peak, 9) AS peak_tokens_per_sec, b.batches,
+       round(m.peak_mb, 6) AS peak_memory_mb, round(m.increase_mb, 6) AS mean_memory_increase_mb
 FROM (SELECT model, avg(latency) AS mean, quantile_cont(latency, 0.95) AS p95 FROM measurements WHERE run > 2 GROUP BY model) l
-JOIN (SELECT model, arg_min(batch_size, (-throughput_tokens_per_sec, batch_size)) AS best_batch_size,
+FULL JOIN (SELECT model, arg_min(batch_size, (-throughput_tokens_per_sec, batch_size)) AS best_batch_size,
              max(throughput_tokens_per_sec) AS peak, count(*) AS batches
-      FROM ({_TP_SQL}) GROUP BY model) b ON l.model = b.model"""))
+      FROM ({_TP_SQL}) GROUP BY model) b ON l.model = b.model
+FULL JOIN (SELECT model, max(greatest(start_memory_gb + memory_used_gb, start_memory_gb)) * 1024 AS peak_mb,
+                  avg(memory_used_gb) * 1024 AS increase_mb FROM trials GROUP BY model) m ON m.model = coalesce(l.model, b.model)"""))
 def q_benchmark_report(spark, d):
-    """Latency and throughput summaries of each model in one row."""
+    """Latency, throughput and memory summaries of each model in one row; a model without one of them keeps the others."""
     lat = P.latency_stats(P.drop_warmup(V.measurements(spark, d), 2), ["model"])
     tp = P.throughput(_outputs(spark, d), ["model"])
-    best = P.best_batch_size(tp, ["model"]).join(tp.groupBy("model").agg(F.count(F.lit(1)).alias("batches")), "model")
-    out = lat.select("model", F.col("mean").alias("latency_mean"), F.col("p95").alias("latency_p95")).join(best, "model")
-    return _rounded(out.withColumnRenamed("peak_tokens_per_sec", "peak_tokens_per_sec"),
-                    ["latency_mean", "latency_p95", "peak_tokens_per_sec"])
+    mem = P.memory_delta(F.col("start_memory_gb") * P.GB, (F.col("start_memory_gb") + F.col("memory_used_gb")) * P.GB,
+                         F.greatest(F.col("start_memory_gb") + F.col("memory_used_gb"), F.col("start_memory_gb")) * P.GB)
+    best = P.best_batch_size(tp, ["model"], extra=[F.count(F.lit(1)).alias("batches")])
+    used = V.trials(spark, d).groupBy("model").agg(
+        F.round(F.max(mem["peak_memory_mb"]), 6).alias("peak_memory_mb"), F.round(F.avg(mem["memory_increase_mb"]), 6).alias("mean_memory_increase_mb"))
+    out = lat.select("model", F.col("mean").alias("latency_mean"), F.col("p95").alias("latency_p95")).join(best, "model", "full").join(used, "model", "full")
+    return _rounded(out, ["latency_mean", "latency_p95", "peak_tokens_per_sec"])
 
 
 @register("memory_delta", with_views(["trials"], """

@@ -131,10 +131,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", id_col: str |
     ``via`` is ``own``, ``directory`` or ``none``; ``licences`` are joined by a comma in sorted order.
     """
     names = [c for c in (id_col, path) if c]
-    rows = files.select(F.struct(*names).alias("_row"), F.col(path).cast("string").alias("_path"), F.col(text).cast("string").alias("_text"),
-                        F.monotonically_increasing_id().alias("_file"))
-    # the row numbers must not change between their uses
-    base = stored(rows.select("_file", "_row", "_path", F.size(_terms(F.coalesce("_text", F.lit("")))).alias("n"), F.xxhash64("_text").alias("_th")), "files")
+    content = (F.col(path).cast("string"), F.col(text).cast("string"))
+    # a file is named by 128 bits of its path and text, so that any scan names it alike; equal rows share their terms
+    rows = files.select(F.struct(*names).alias("_row"), content[0].alias("_path"), content[1].alias("_text"),
+                        F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b")).alias("_file"))
+    base = stored(rows.select("_file", "_row", "_path", F.size(_terms(F.coalesce("_text", F.lit("")))).alias("n")), "files")
     found = stored(matches(rows, "_text", TEMPLATES if templates is None else templates, least), "licences")
     own = found.groupBy("_file").agg(
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("own_licences"), F.max("cosine").alias("best_cosine"),

@@ -310,3 +310,13 @@ def test_licences_and_inheritance(spark):
                           (5, None, None, None, "none"), (6, None, None, None, "none"), (7, "GPL-3.0", None, "GPL-3.0", "own"), (8, None, "a/b", "GPL-3.0", "directory"),
                           (9, None, None, None, "none"), (9, None, None, None, "none")], key=str)
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_broadcasts_are_size_checked_or_of_literals():
+    """A broadcast hint stands in ``small``, which counts first, or on a table made of the templates' literals."""
+    import pathlib
+    import passkit.llm
+    for f in pathlib.Path(passkit.llm.__file__).parent.glob("*.py"):
+        for line in f.read_text().splitlines():
+            if "F.broadcast(" in line:
+                assert f.name == "base.py" or "F.broadcast(_table(" in line, (f.name, line)

@@ -157,7 +157,45 @@ def op7_debruijn_repeats(spark, sf_dir):
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op2_license_scan")
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in t)) for k, t in enumerate(licenses.TEMPLATES))
+OP2_SQL = rf"""
+WITH templates(k, licence, text) AS (VALUES {_TEMPLATE_ROWS}),
+files AS (SELECT doc_id, source || '/' || lang || '/' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS dir, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, unnest(list_concat(
+            list_transform(string_split(t, chr(10)), lambda x: struct_pack(x := x, line := true)),
+            list_transform(list_filter(string_split_regex(t, '
+[ 	]*
+'), lambda x: contains(trim(x, chr(10)), chr(10))),
+                           lambda x: struct_pack(x := x, line := false)))) AS u FROM files),
+units AS (SELECT doc_id, row_number() OVER () AS unit, u.line AS line, regexp_extract_all(lower(u.x), '[a-z0-9]+') AS terms FROM split),
+held AS (SELECT * FROM units WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n FROM held),
+tt AS (SELECT k, licence, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM held) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS (SELECT DISTINCT tt.term, ln((1 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM tt CROSS JOIN total LEFT JOIN df ON df.term = tt.term),
+tw AS (SELECT k, licence, term, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (term) GROUP BY k, licence, term),
+tn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM tw GROUP BY k),
+tf AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(terms) AS term FROM held) GROUP BY ALL),
+w AS (SELECT doc_id, unit, tf.term, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM tf CROSS JOIN total LEFT JOIN idf ON idf.term = tf.term),
+norm AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
+cos AS (SELECT w.unit, tw.k, tw.licence, round(sum(w.w * tw.w) / any_value(tn.norm) / any_value(norm.norm), 6) AS cosine
+        FROM w JOIN tw USING (term) JOIN tn ON tn.k = tw.k JOIN norm ON norm.unit = w.unit GROUP BY w.unit, tw.k, tw.licence),
+best AS (SELECT unit, arg_max(licence, struct_pack(c := cosine, k := -k)) AS licence, max(cosine) AS cosine FROM cos WHERE cosine >= 0.6 GROUP BY unit),
+own AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS own_licences, max(cosine) AS best_cosine,
+          sum(len(terms)) FILTER (WHERE line) AS line_terms FROM best JOIN held USING (unit) GROUP BY doc_id),
+f AS (SELECT files.*, own_licences, best_cosine, own_licences IS NOT NULL AND 2 * line_terms >= len(regexp_extract_all(lower(t), '[a-z0-9]+')) AS gives
+      FROM files LEFT JOIN own USING (doc_id)),
+given AS (SELECT dir, string_agg(DISTINCT l, ',' ORDER BY l) AS licences FROM (SELECT dir, unnest(string_split(own_licences, ',')) AS l FROM f WHERE gives) GROUP BY dir),
+up AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS up FROM (SELECT DISTINCT dir, unnest([0, 1, 2, 3]) AS depth FROM f)),
+near AS (SELECT up.dir, arg_max(up.up, depth) AS inherited_from, arg_max(given.licences, depth) AS licences FROM up JOIN given ON given.dir = up.up GROUP BY up.dir)
+SELECT doc_id, f.dir || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, own_licences, best_cosine,
+  CASE WHEN own_licences IS NULL THEN near.inherited_from END AS inherited_from, coalesce(own_licences, near.licences) AS licences,
+  CASE WHEN own_licences IS NOT NULL THEN 'own' WHEN near.licences IS NOT NULL THEN 'directory' ELSE 'none' END AS via
+FROM f LEFT JOIN near ON near.dir = f.dir
+"""
+
+
+@query("op2_license_scan", OP2_SQL)
 def op2_license_scan(spark, sf_dir):
     """The table has no paths: a document lies in source/lang/<last two digits of its id>/, as <id>.txt."""
     docs = documents(spark, sf_dir).withColumn("path", F.concat_ws(

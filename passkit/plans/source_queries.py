@@ -201,7 +201,7 @@ def q_summary_roundtrip(spark, d):
 
 
 @register("results_roundtrip", with_views(["results"], """
-SELECT model_name, task_id, CAST(sample_index AS INTEGER) AS sample_index, passed FROM results"""))
+SELECT model_name, task_id, CAST(sample_index AS BIGINT) AS sample_index, passed FROM results"""))
 def q_results_roundtrip(spark, d):
     """A run's result rows written beside its summary and read back."""
     results = V.results(spark, d)

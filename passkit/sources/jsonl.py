@@ -27,7 +27,7 @@ PROBLEM_SCHEMA = T.StructType([
 ])
 SOLUTION_SCHEMA = T.StructType([
     T.StructField("task_id", T.StringType()),
-    T.StructField("sample_index", T.IntegerType()),
+    T.StructField("sample_index", T.LongType()),
     T.StructField("completion", T.StringType()),
     T.StructField("model_name", T.StringType()),
     T.StructField("generated_at", T.TimestampNTZType()),
@@ -35,7 +35,7 @@ SOLUTION_SCHEMA = T.StructType([
 ])
 RESULT_SCHEMA = T.StructType([
     T.StructField("task_id", T.StringType()),
-    T.StructField("sample_index", T.IntegerType()),
+    T.StructField("sample_index", T.LongType()),
     T.StructField("passed", T.BooleanType()),
     T.StructField("info", T.StringType()),
     T.StructField("error", T.StringType()),

@@ -24,7 +24,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passkit.llm.base import small, stored, words_of
+from passkit.llm.base import GAP_CHARS, WORD_GAP, small, stored
 
 DEPTH = 2
 MIN_DOCS = 3
@@ -35,8 +35,9 @@ WILD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    return words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", WILD)).otherwise(line))
+    """Tokens of a line that neither begins nor ends with a gap, with ``WILD`` for those with a digit."""
+    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(
+        line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", WILD)).otherwise(line), WORD_GAP)
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -44,7 +45,8 @@ def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     t = F.col(text).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("th"),
                        F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
-    return rows.withColumn("toks", _tokens(F.col("line"))).filter(F.size("toks") > 0).drop("line")
+    rows = rows.withColumn("line", F.trim("line", F.lit(GAP_CHARS))).filter("line <> ''")
+    return rows.withColumn("toks", _tokens(F.col("line"))).drop("line")
 
 
 def _with_leaf(lines: DataFrame) -> DataFrame:

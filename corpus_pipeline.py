@@ -50,7 +50,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = sentencepiece_wfst.compile_model(TOKENIZER)
     rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, model), model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       (F.translate("text", sentencepiece_wfst.SPACE, " ") == F.col("decoded")).alias("lossless"))
+                       (F.replace("text", F.lit(sentencepiece_wfst.SPACE), F.lit(" ")) == F.col("decoded")).alias("lossless"))
 
 
 STAGES = [

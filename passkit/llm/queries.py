@@ -78,7 +78,7 @@ def op4_sentencepiece_wfst(spark, sf_dir, model_path=TOKENIZER):
     model = sentencepiece_wfst.compile_model(model_path)
     rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(documents(spark, sf_dir), model), model)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       (F.translate("text", sentencepiece_wfst.SPACE, " ") == F.col("decoded")).alias("lossless"))
+                       (F.replace("text", F.lit(sentencepiece_wfst.SPACE), F.lit(" ")) == F.col("decoded")).alias("lossless"))
 
 
 OP1_SQL = r"""
@@ -164,7 +164,8 @@ files AS (SELECT doc_id, source || '/' || lang || '/' || lpad(CAST(doc_id % 100
 split AS (SELECT doc_id, unnest(list_concat(
             list_transform(string_split(t, chr(10)), lambda x: struct_pack(x := x, line := true)),
             list_transform(list_filter(string_split_regex(t, '
-[ 	]*
+[ 	
+]*
 '), lambda x: contains(trim(x, chr(10)), chr(10))),
                            lambda x: struct_pack(x := x, line := false)))) AS u FROM files),
 units AS (SELECT doc_id, row_number() OVER () AS unit, u.line AS line, regexp_extract_all(lower(u.x), '[a-z0-9]+') AS terms FROM split),

@@ -41,8 +41,30 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-MEMO = 300_000
+MEMO = 80_000
 LONG = 64
+NOTHING = -1
+PAIR = 1 << 22  # more than the ids and code points together
+NO_PIECE = -2  # less the code point: an arc over a character that is no piece
+
+
+class Memo(dict):
+    """Bounded memo of a function of a string: the last ``MEMO`` results, and those before them until they are asked for again."""
+
+    def __init__(self, fn):
+        self.fn, self.old = fn, {}
+
+    def make(self, s: str):
+        """The result for a string that is not among the last ones."""
+        got = self.old.get(s)
+        if got is None:
+            got = self.fn(s)
+        if len(s) <= LONG:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[s] = got
+        return got
 
 
 @dataclass
@@ -54,7 +76,7 @@ class Transducer:
     weight: list[float] = field(init=False)
     byte_id: dict[int, int] = field(init=False)
     unk: int = field(init=False)
-    tails: dict[str, int] = field(init=False)
+    trie: dict[str, list] = field(init=False)
     segment: re.Pattern | None = field(init=False)
 
     def __post_init__(self):
@@ -62,16 +84,31 @@ class Transducer:
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unk = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
         self.weight = [-s for _, s, _ in self.pieces]
-        # every end of a piece, with the piece's id if it is one: walking back from j stops where no piece ends
-        self.tails = {p[k:]: -1 for p in self.number for k in range(1, len(p))} | self.number
+        # the pieces' automaton: character to (id of the piece that ends here or -1, next states)
+        self.trie = {}
+        for p, i in sorted(self.number.items()):
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, [-1, {}])[1]
+            node.setdefault(p[-1], [-1, {}])[0] = i
         inner = any(SPACE in p.lstrip(SPACE) for p in self.number)
         self.segment = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.far = max(self.weight, default=0.0) + UNKNOWN_PENALTY
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.joints = {p[k:k + 2] for p in self.number for k in range(len(p) - 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty memos; they never travel with the model."""
+        self.pairs: dict[int, bool] = {}  # by left * PAIR + right
+        self.parts, self.segments = Memo(self.path), Memo(self.compose)
+        self.words = Memo(lambda w: self.compose(SPACE + w))  # by the word after a space
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "pairs": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "parts", "segments", "words")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
 
     def normalise(self, text: str) -> str:
         x = text.replace(" ", SPACE)
@@ -93,101 +130,135 @@ class Transducer:
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def crossed(self, left: str, right: str) -> bool:
+        """Whether some piece is an end of ``left`` with a beginning of ``right``."""
+        if left[-1] + right[0] not in self.joints:
+            return False
+        for i in range(len(left)):
+            node = self.trie
+            for k, c in enumerate(left[i:] + right, 1):
+                step = node.get(c)
+                if step is None:
+                    break
+                arc, node = step
+                if arc >= 0 and k > len(left) - i:
+                    return True
+        return False
+
     def accepts(self, left: int, right: int, left_text: str, right_text: str) -> bool:
-        """Whether the piece ``right`` may follow ``left`` (-2 with an empty text: nothing, or a character no piece covers)."""
-        ok = self.pairs.get((left, right))
+        """Whether the arc ``right`` may follow ``left`` (``NOTHING``, with an empty text, at a segment's start)."""
+        ok = self.pairs.get(left * PAIR + right)
         if ok is None:
-            want = [left_text, right_text] if left_text else [right_text]
-            ok = self.merged(left_text + right_text) == want
-            if len(self.pairs) >= 4 * MEMO:
+            if left_text and not self.crossed(left_text, right_text):
+                ok = True  # both are accepted on their own, or no path would have come here
+                if right >= 0:
+                    ok = self.accepts(NOTHING, right, "", right_text)
+            else:
+                want = [left_text, right_text] if left_text else [right_text]
+                ok = self.merged(left_text + right_text) == want
+            if len(self.pairs) >= 5 * MEMO:
                 self.pairs.clear()
-            self.pairs[left, right] = ok
+            self.pairs[left * PAIR + right] = ok
         return ok
 
     # -- composition and shortest path -------------------------------------------
     def path(self, s: str) -> tuple[int, ...]:
         """Ids of the shortest path over one normalised segment."""
-        back = self.accepted(s) if self.kind == BPE else self.cheapest(s)
         out: list[int] = []
-        j = len(s)
-        while j > 0:
-            i, arc = back[j]
+        for i, j, arc in self.accepted(s) if self.kind == BPE else self.cheapest(s):
             if arc >= 0:
                 out.append(arc)
             elif self.byte_id:
-                out.extend(self.byte_id[b] for b in reversed(s[i:j].encode("utf-8", "surrogatepass")))
+                out.extend(self.byte_id[b] for b in s[i:j].encode("utf-8", "surrogatepass"))
             elif not (out and out[-1] == self.unk):  # a run of unknown characters is one piece
                 out.append(self.unk)
-            j = i
-        return tuple(reversed(out))
-
-    def arcs(self, s: str, j: int) -> Iterator[tuple[int, int]]:
-        """(start, id) of the arcs that end at j; id -1 is one character without a piece."""
-        if s[j - 1] not in self.number:
-            yield j - 1, -1
-        for i in range(j - 1, -1, -1):
-            arc = self.tails.get(s[i:j])
-            if arc is None:
-                return
+        return tuple(out)
+
+    def arcs(self, s: str, i: int) -> list[tuple[int, int]]:
+        """(end, id) of the arcs from i, shortest first."""
+        step = self.trie.get(s[i])
+        j, n = i + 1, len(s)
+        found = [] if step is not None and step[0] >= 0 else [(j, NO_PIECE - ord(s[i]))]
+        while step is not None:
+            arc, node = step
             if arc >= 0:
-                yield i, arc
-
-    def cheapest(self, s: str) -> list[tuple[int, int]]:
-        """Last arc (start, id) of the cheapest path to each position."""
-        dist, back = [0.0], [(0, 0)]
-        for j in range(1, len(s) + 1):
-            cost, i, arc = min((dist[i] + (self.weight[arc] if arc >= 0 else self.far), i, arc) for i, arc in self.arcs(s, j))
-            dist.append(cost)
-            back.append((i, arc))
-        return back
-
-    def accepted(self, s: str) -> list[tuple[int, int]]:
-        """Last arc of the one finite path to each position: the first arc that the acceptor lets follow."""
-        back, pairs, tails = [(0, 0)], self.pairs, self.tails
-        for j in range(1, len(s) + 1):
-            arcs, i = [], j - 1
-            while i >= 0:
-                arc = tails.get(s[i:j])
-                if arc is None:
-                    break
-                if arc >= 0:
-                    arcs.append((i, arc))
-                i -= 1
-            last = (j - 1, -1)
-            for i, arc in reversed(arcs):
-                h, left = back[i] if i else (0, -2)
-                ok = pairs.get((left, arc)) if left != -1 else pairs.get((-2, arc))
+                found.append((j, arc))
+            if j == n:
+                break
+            step = node.get(s[j])
+            j += 1
+        return found
+
+    def cheapest(self, s: str) -> list[tuple[int, int, int]]:
+        """The arcs (start, end, id) of the cheapest path."""
+        dist = [0.0] + [math.inf] * len(s)
+        back = [(0, 0)] * (len(s) + 1)
+        for i in range(len(s)):
+            for j, arc in self.arcs(s, i):
+                cost = dist[i] + (self.weight[arc] if arc >= 0 else self.far)
+                if cost < dist[j]:
+                    dist[j], back[j] = cost, (i, arc)
+        path, j = [], len(s)
+        while j:
+            path.append((back[j][0], j, back[j][1]))
+            j = back[j][0]
+        return path[::-1]
+
+    def accepted(self, s: str) -> list[tuple[int, int, int]]:
+        """The arcs (start, end, id) of the one finite path, found depth first, longest arc first.
+
+        All finite paths weigh zero and the pieces before a position are the
+        same on each of them, so a position without a way on is dead for good.
+        """
+        arcs, pairs, n = self.arcs, self.pairs, len(s)
+        path: list[tuple[int, int, int]] = []
+        waiting: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        i, left, options = 0, NOTHING, None
+        while i < n:
+            if options is None:
+                options = arcs(s, i)
+            while options:
+                j, arc = options.pop()
+                if j in dead:
+                    continue
+                ok = pairs.get(left * PAIR + arc)
                 if ok is None:
-                    ok = self.accepts(left, arc, s[h:i], s[i:j]) if left != -1 else self.accepts(-2, arc, "", s[i:j])
+                    ok = self.accepts(left, arc, s[path[-1][0]:i] if path else "", s[i:j])
                 if ok:
-                    last = (i, arc)
+                    path.append((i, j, arc))
+                    waiting.append(options)
+                    i, left, options = j, arc, None
                     break
-            back.append(last)
-        return back
-
-    def segment_ids(self, s: str) -> tuple[int, ...]:
-        got = self.memo.get(s)
-        if got is None:
-            got = self.path(s)
-            if len(s) <= LONG:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[s] = got
-        return got
+            else:
+                dead.add(i)
+                i = path.pop()[0]
+                left, options = path[-1][2] if path else NOTHING, waiting.pop()
+        return path
+
+    def compose(self, s: str) -> tuple[int, ...]:
+        """Ids of one segment, cut where two characters meet that stand side by side in no piece."""
+        joints = self.joints
+        cut = [k for k in range(1, len(s)) if s[k - 1:k + 1] not in joints] if self.byte_id else []
+        if not cut:
+            return self.path(s)
+        return tuple(chain.from_iterable([self.parts.get(x) or self.parts.make(x) for x in (s[a:b] for a, b in zip([0, *cut], [*cut, len(s)]))]))
 
     def encode(self, text: str) -> list[int]:
+        if self.segment and self.dummy_prefix and SPACE not in text:
+            words = text.split(" ")
+            if "" not in words:  # single spaces only: a segment for each word
+                known, make = self.words, self.words.make
+                return list(chain.from_iterable([known.get(w) or make(w) for w in words]))
         x = self.normalise(text)
-        parts = self.segment.findall(x) if self.segment else ([x] if x else [])
-        memo, slow = self.memo, self.segment_ids
-        return list(chain.from_iterable([memo.get(p) or slow(p) for p in parts]))
+        known, make = self.segments, self.segments.make
+        return list(chain.from_iterable([known.get(p) or make(p) for p in (self.segment.findall(x) if self.segment else [x] if x else [])]))
 
-    def decode(self, ids: list[int]) -> str | None:
-        """Text of ids: bytes are joined before they are read as UTF-8, control pieces give nothing."""
+    def decode(self, ids: list[int]) -> str:
+        """Text of the model's ids: bytes are joined before they are read as UTF-8, control pieces give nothing."""
         if not hasattr(self, "raw"):
             self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else
                         " ⁇ ".encode() if t == UNKNOWN else p.encode() for p, _, t in self.pieces]
-        if ids and (min(ids) < 0 or max(ids) >= len(self.raw)):
-            return None
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
@@ -242,7 +313,13 @@ def decode(rows: DataFrame, model: Transducer, ids: str = "ids", into: str = "de
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                got = [None if x is None or None in x else m.decode(x) for x in part.column(at).to_pylist()]
+                col = part.column(at)
+                off, flat = col.offsets.to_numpy().tolist(), col.values  # to_pylist makes an object per id first
+                null = col.is_null().to_pylist()
+                flat = flat.fill_null(-1).to_numpy()  # a null id is no id of the model
+                strange = np.concatenate([[0], np.cumsum((flat < 0) | (flat >= len(m.pieces)))]).tolist()
+                got = [None if no or strange[b] != strange[a] else m.decode(flat[a:b].tolist())
+                       for no, a, b in zip(null, off, off[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], names=[*part.schema.names, into])
 
     from pyspark.sql.types import StringType, StructField, StructType

@@ -2,10 +2,14 @@
 
 Each line goes down a tree of fixed depth: its number of tokens, then its
 first ``DEPTH`` tokens. Tokens with a digit are variable fields from the
-start (``<*>``). In a leaf that holds several different lines, a token that
-fewer than ``min_docs`` documents have at its place is a variable field as
-well; a line takes the generalised template if at least ``SIMILAR`` of its
-tokens stay constant, else it is a template of its own. A template found in
+start (``<*>``). In a leaf that holds several different lines, a token is
+judged by the documents that have it at its place: it is a variable field as
+well if they are fewer than ``min_docs``, or fewer than ``SHARE`` of those that
+have the line's constant part, which is the count that ``SIMILAR`` of the
+line's tokens reach. As that bound grows with the table, the values of a field
+stay variable however often each recurs. A line takes the generalised template
+if at least ``SIMILAR`` of its tokens stay constant, else it is a template of
+its own. A template found in
 ``min_docs`` documents or more recurs: all its lines go, but for the
 first one (smallest id, then text hash, then line number).
 
@@ -30,6 +34,7 @@ from passkit.llm.base import GAP_CHARS, WORD_GAP, small, stored
 DEPTH = 2
 MIN_DOCS = 3
 SIMILAR = 0.8
+SHARE = 0.1  # a field of ten even values or fewer is several templates, each of which recurs
 LEAST_TOKENS = 5  # below it, one variable field is over a fifth of the line
 WILD = "<*>"
 
@@ -68,15 +73,19 @@ def templates(docs: DataFrame, keyed: DataFrame, id_col: str, text: str, min_doc
     held = held.withColumn("line", F.array_join("toks", " ")).groupBy("leaf", "line", "h1", "h2", "id", "th").agg(
         F.count(F.lit(1)).alias("w")).groupBy("leaf", "line", "h1", "h2").agg(F.count(F.lit(1)).alias("w"))
     held = stored(held, "contested")
-    tok = held.select("leaf", "h1", "h2", "w", F.posexplode(F.split("line", " ")).alias("p", "tok"))
+    toks = F.split("line", " ")
+    tok = held.select("leaf", "h1", "h2", "w", F.size(toks).alias("n"), F.posexplode(toks).alias("p", "tok"))
     # rows stay with their leaf and place, so the count and its use share one exchange
     seen = tok.groupBy("leaf", "p", "tok").agg(F.sum("w").alias("docs"))
     # few tokens are common where lines meet by chance, so the common ones are joined, not the rare
-    common = seen.filter(F.col("docs") >= min_docs).select("leaf", "p", "tok")
-    fixed = tok.join(common, ["leaf", "p", "tok"], "left_semi").groupBy("h1", "h2").agg(F.collect_set("p").alias("fixed"))
-    n = F.size("toks")
-    new = held.join(fixed, ["h1", "h2"]).withColumn("toks", F.split("line", " ")).filter(
-        (F.size("fixed") < n) & (F.size("fixed") >= F.lit(SIMILAR) * n))
+    common = seen.filter(F.col("docs") >= min_docs)
+    places = tok.join(common, ["leaf", "p", "tok"]).groupBy("h1", "h2", "n").agg(F.collect_list(F.struct("docs", "p")).alias("places"))
+    least = F.lit(SIMILAR) * F.col("n")
+    # the count that the constant part reaches, in an array so that it is found once a line; the places above it stay constant
+    part = F.array(F.get(F.sort_array("places", asc=False), F.ceil(least).cast("int") - 1)["docs"])
+    fixed = F.flatten(F.transform(part, lambda c: F.transform(F.filter("places", lambda x: x["docs"] >= F.lit(SHARE) * c), lambda x: x["p"])))
+    fixed = places.filter(F.size("places") >= least).select("h1", "h2", "n", fixed.alias("fixed"))
+    new = held.join(fixed, ["h1", "h2"]).withColumn("toks", toks).filter(F.size("fixed") < F.col("n"))
     name = F.transform("toks", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(WILD))
     return new.select("h1", "h2", F.xxhash64(name).alias("t1"), F.xxhash64(F.lit(1), name).alias("t2"))
 

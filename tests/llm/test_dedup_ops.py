@@ -152,3 +152,36 @@ def test_lines_odd_rows(make_docs):
     want = [(1, None, 0), (2, "", 0), (3, " \n\t ", 0), (None, "alpha beta", 0), (4, "", 1), (4, "", 1), (5, "x" * 50_000, 0), (9, "", 2)]
     assert got == sorted(want, key=str)
     assert line_templates.dedup(make_docs([])).count() == 0
+
+
+def brute_templates(rows, min_docs=3):
+    """Line numbers dropped per document, with every leaf's places counted over all its lines one after the other."""
+    lines = [(i, k, tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x))) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    per = {(i, w) for i, _, w in lines if len(w) >= 5}
+    docs = collections.Counter((len(w), w[:2], p, x) for _, w in per for p, x in enumerate(w))
+    name = {}
+    for w in {w for _, w in per}:
+        n = [docs[len(w), w[:2], p, x] for p, x in enumerate(w)]
+        part = sorted(n, reverse=True)[-(-4 * len(w) // 5) - 1]
+        if part >= min_docs:
+            name[w] = tuple(x if m >= min_docs and 10 * m >= part else "<*>" for x, m in zip(w, n))
+    held = collections.defaultdict(list)
+    for i, k, w in lines:
+        if w:
+            held[name.get(w, w)].append((i, k))
+    gone = {x for xs in held.values() if len({i for i, _ in xs}) >= min_docs for x in xs if x != min(xs)}
+    return {i: sum(x[0] == i for x in gone) for i, _ in rows}
+
+
+@pytest.mark.parametrize("n", [100, 1000, 3000])
+def test_fields_whose_values_recur_stay_variable(make_docs, n):
+    """Two word fields of 60 values among 13 tokens, beside a second template of the same leaf and lines of no template."""
+    rng = random.Random(n)
+    word = lambda k, v="v": v + "abcdefghijklmnopqrstuvwxyz"[k % 26] + "abcdefghijklmnopqrstuvwxyz"[k // 26]
+    rows = [(i, f"this account of {word(rng.randrange(60))} was opened in {word(rng.randrange(60))} by the same user again") for i in range(n)]
+    rows += [(n + i, f"this account of ours will never be opened by {word(i % 60)} or by anyone") for i in range(n // 5)]
+    rows += [(2 * n + i, " ".join(["this", "account", *(word(rng.randrange(60), "x") for _ in range(11))])) for i in range(30)]
+    got = {r["doc_id"]: r["_n_dropped"] for r in line_templates.dedup(make_docs(rows)).select("doc_id", "_n_dropped").collect()}
+    assert got == brute_templates(rows)
+    assert sum(got[i] for i in range(n)) == n - 1 and sum(got[n + i] for i in range(n // 5)) == n // 5 - 1
+    assert not any(got[2 * n + i] for i in range(30))

@@ -112,9 +112,8 @@ def q_orphan_solutions(spark, d):
 SELECT task_id, entry_point FROM problems p
 WHERE NOT EXISTS (SELECT 1 FROM completions c WHERE c.task_id = p.task_id AND c.turn % 4 = 0)"""))
 def q_unattempted_problems(spark, d):
-    """Problems with no fenced completion (the fenced shape as a partial run)."""
-    fenced = V.completions(spark, d).where(F.col("turn") % 4 == 0)
-    return E.unattempted_problems(V.problems(spark, d).select("task_id", "entry_point"), fenced)
+    """Problems with no completion of any shape."""
+    return E.unattempted_problems(V.problems(spark, d).select("task_id", "entry_point"), V.completions(spark, d))
 
 
 @register("smart_equal", with_views(["answers"], """

@@ -8,6 +8,7 @@ from passkit.functions.text import py_strip, word_count
 from passkit.operators import perf as P
 from passkit.operators import requests as Q
 from passkit.operators.quantiles import exact_percentiles
+from passkit.plans.registry import QUERIES, load_all
 
 
 def test_percentile_golden(spark):
@@ -121,3 +122,16 @@ def test_salted_attach_equals_plain_with_hot_task(spark):
     salted = attach_problem(sol, probs, salt_buckets=16)
     assert sorted(plain) == sorted(salted.select(*[c for c in plain[0].asDict()]).collect())
     assert salted.count() == 3001 and salted.where("NOT has_problem").count() == 1
+
+
+def _small_tables(spark, folder, turns, items):
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(i, f"item {i}") for i in items], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_any_completion_attempts_its_problem(spark, tmp_path):
+    load_all()
+    turns = [(0, 1, "assistant", "a"), (1, 4, "assistant", "b"), (2, 2, "assistant", "c"), (3, 3, "user", "d")]
+    d = _small_tables(spark, tmp_path, turns, range(5))
+    assert {r["task_id"] for r in QUERIES["unattempted_problems"](spark, d).collect()} == {"3", "4"}

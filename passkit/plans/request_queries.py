@@ -8,6 +8,7 @@ from passkit.functions import models as M
 from passkit.functions import prompts as P
 from passkit.functions.text import sql_strip
 from passkit.operators import requests as Q
+from passkit.operators.ordering import row_index
 from passkit.plans import views as V
 from passkit.plans.oracle_views import with_views
 from passkit.plans.registry import register
@@ -252,13 +253,19 @@ LEFT JOIN (SELECT CAST(conv_id % 40 AS VARCHAR) AS task_id, conv_id // 40 AS s,
            FROM conversations WHERE role = 'assistant' GROUP BY conv_id) x
   ON r.task_id = x.task_id AND r.s = x.s"""))
 def q_pad_failures(spark, d):
-    """Three requests per problem; a conversation's first answer is the response for
-    (conv_id % 40, conv_id div 40); requests nobody answered get ''."""
-    req = Q.expand_samples(V.problems(spark, d).select("task_id"), 3).withColumn(
-        "sample_index", F.col("sample_index").cast("bigint"))
-    c = table(spark, d, "conversations").where(F.col("role") == "assistant")
-    resp = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("completion")).select(
-        (F.col("conv_id") % 40).cast("string").alias("task_id"),
-        F.floor(F.col("conv_id") / 40).cast("bigint").alias("sample_index"), "completion")
-    out = Q.pad_failures(req, resp)
-    return out.withColumn("sample_index", F.col("sample_index").cast("int"))
+    """Every answer is the response to a request: a conversation is of problem conv_id modulo their number, and
+    its answers follow those of earlier conversations of that problem. A problem has a request for each of its
+    user turns or answers, whichever are more, and three at least; requests nobody answered get ''."""
+    p = V.problems(spark, d).select("task_id", "item_id")
+    c = table(spark, d, "conversations").where(F.col("role").isin("assistant", "user"))
+    known = c.agg(F.max("turn")).first()[0] or 0
+    c = c.withColumn("_item", F.pmod(F.col("conv_id"), F.lit(max(p.count(), 1))))
+    asked = c.groupBy("_item").agg(F.greatest(F.count_if(F.col("role") == "user"), F.count_if(F.col("role") == "assistant")).alias("_n"))
+    req = row_index(p, [], ["item_id"], "_item").join(asked, "_item", "left")
+    req = Q.expand_samples(req, F.greatest(F.coalesce("_n", F.lit(0)), F.lit(3)).cast("int")).select("task_id", "_item", "sample_index")
+    # place over conversations and turns as one number, so that a long conversation is cut into blocks
+    answers = c.where(F.col("role") == "assistant").withColumn("_at", F.col("conv_id") * (known + 1) + F.col("turn"))
+    resp = row_index(answers, ["_item"], ["_at", "text"], "sample_index", width=1024).withColumn(
+        "sample_index", F.col("sample_index").cast("int")).withColumnRenamed("text", "completion")
+    out = Q.pad_failures(req, resp, ["_item", "sample_index"])
+    return out.select("task_id", "sample_index", "completion", "failed")

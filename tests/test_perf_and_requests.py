@@ -135,3 +135,19 @@ def test_any_completion_attempts_its_problem(spark, tmp_path):
     turns = [(0, 1, "assistant", "a"), (1, 4, "assistant", "b"), (2, 2, "assistant", "c"), (3, 3, "user", "d")]
     d = _small_tables(spark, tmp_path, turns, range(5))
     assert {r["task_id"] for r in QUERIES["unattempted_problems"](spark, d).collect()} == {"3", "4"}
+
+
+def test_every_answer_meets_a_request(spark, tmp_path):
+    load_all()
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}/{t}") for c in range(700) for t in range(2 + c % 3)]
+    turns += [(1, 100 + t, "assistant", f"1/{100 + t}") for t in range(3000)] + [(900, 0, "user", "900/0")]
+    d = _small_tables(spark, tmp_path, turns, range(7))
+    got = {(r["task_id"], r["sample_index"]): (r["completion"], r["failed"]) for r in QUERIES["pad_failures"](spark, d).collect()}
+    want = {}
+    for item in range(7):
+        mine = sorted(x for x in turns if x[0] % 7 == item)
+        answers = [x[3] for x in mine if x[2] == "assistant"]
+        for k in range(max(3, len(answers), len(mine) - len(answers))):
+            want[str(item), k] = (answers[k], False) if k < len(answers) else ("", True)
+    assert got == want
+    assert sum(not failed for _, failed in got.values()) == sum(x[2] == "assistant" for x in turns)

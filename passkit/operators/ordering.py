@@ -7,6 +7,11 @@ consecutive values: per-(key, block) totals are aggregated (map-side
 combined), a window over the *block totals* gives each block its offset,
 and the row-level window runs per (key, block), so no task sees more than
 one block of one key. The result is exact.
+
+``running_sums`` cuts blocks of equal width in the value, which needs no pass
+of its own and suits dense ids. ``ranged_sums`` cuts them by sampled range
+boundaries over (keys, order), so that a block has about ``rows`` rows
+however the values lie: timestamps, sparse ids, text.
 """
 
 from __future__ import annotations
@@ -16,7 +21,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passkit.session import materialize
+
 DEFAULT_BLOCK_WIDTH = 1 << 16
+RANGE_ROWS = 1 << 18  # rows of a range, about
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -89,3 +97,47 @@ def row_index(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], nam
     """
     out = running_sums(df, keys, order_cols, {name: F.lit(1)}, width)
     return out.withColumn(name, (F.col(name) - 1).cast("bigint"))
+
+
+def ranged(df: DataFrame, cols: Sequence[str], rows: int = RANGE_ROWS, name: str = "_range") -> DataFrame:
+    """``df`` written in ranges of about ``rows`` rows, ascending in ``cols``, with the number of each row's range.
+
+    Boundaries come from a sample of the rows (Spark's range partitioner). Rows that
+    are equal in every column of ``cols`` are dealt over ranges by the split
+    they were read from, so that no value makes a range long. The ranges are
+    written to the shared folder, so their numbers are facts and not a plan's:
+    starts two jobs (count and write).
+    """
+    n = max(1, -(-df.count() // rows))
+    split = f"{name}_split"
+    held = df.withColumn(split, F.spark_partition_id()).repartitionByRange(n, *cols, split).drop(split)
+    return materialize(held.withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def ranged_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], values: Mapping[str, Column],
+                rows: int = RANGE_ROWS) -> DataFrame:
+    """Inclusive running sums of ``values`` per ``keys`` in ``order_cols`` order, as ``running_sums``, over ranges of rows.
+
+    The order columns may be of any type that Spark orders; NULLs sort first.
+    Totals per (key, range) are scanned for the offsets (a key has as many as
+    the ranges it lies in), and the row-level window runs per (key, range).
+    Rows equal in keys and order columns come in any order.
+    """
+    keys, order_cols = list(keys), list(order_cols)
+    rng = "_pk_range"
+    held = ranged(df.select("*", *[v.alias(f"_pk_v_{k}") for k, v in values.items()]), [*keys, *order_cols], rows, rng)
+    totals = held.groupBy(*keys, rng).agg(*[F.sum(f"_pk_v_{k}").alias(f"_pk_t_{k}") for k in values])
+    earlier = Window.partitionBy(*keys).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, rng, *[F.coalesce(F.sum(f"_pk_t_{k}").over(earlier), F.lit(0)).alias(f"_pk_o_{k}") for k in values])
+    inside = Window.partitionBy(*keys, rng).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = join_back(held, offsets, [*keys, rng])
+    for k in values:
+        out = out.withColumn(k, F.col(f"_pk_o_{k}") + F.sum(f"_pk_v_{k}").over(inside))
+    return out.drop(rng, *[f"_pk_{p}_{k}" for k in values for p in ("v", "o")])
+
+
+def ranged_index(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name: str = "row_index",
+                 rows: int = RANGE_ROWS) -> DataFrame:
+    """0-based position of each row inside its key, as ``row_index``, over ranges of rows."""
+    out = ranged_sums(df, keys, order_cols, {name: F.lit(1).cast("bigint")}, rows)
+    return out.withColumn(name, F.col(name) - 1)

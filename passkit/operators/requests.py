@@ -4,7 +4,7 @@ Generators (``explode``/``posexplode`` of ``sequence``) fan rows out inside
 one projection, so planning n samples per problem is a map-only stage;
 per-request facts (seed, family settings, token limit) are expressions on
 that stage. Only batch numbering needs an order, and it uses the
-block-offset prefix count, not a single global window.
+prefix count over ranges of rows, not a single global window.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passkit.functions.text import py_strip
-from passkit.operators.ordering import row_index
+from passkit.operators.ordering import ranged_index
 
 SEED_MULTIPLIER = 2654435761  # odd, so sample -> seed is a bijection mod 2^31
 SEED_MODULUS = 1 << 31
@@ -42,7 +42,7 @@ def unique_seed(base: Column, sample_index: Column) -> Column:
 
 def assign_batches(df: DataFrame, order_cols: Sequence[str], size: int, keys: Sequence[str] = ()) -> DataFrame:
     """Consecutive batches of ``size`` rows in ``order_cols`` order (last one short)."""
-    t = row_index(df, keys, order_cols, "_pos")
+    t = ranged_index(df, keys, order_cols, "_pos")
     return (t.withColumn("batch_no", F.floor(F.col("_pos") / size).cast("bigint"))
             .withColumn("position_in_batch", (F.col("_pos") % size).cast("int")).drop("_pos"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passkit.functions.metrics import K_VALUES, MIN_SUBMISSION_SAMPLES, pass_at_k, safe_ratio, wilson_bounds
-from passkit.operators.ordering import running_sums
+from passkit.operators.ordering import ranged_sums
 
 
 def per_problem(results: DataFrame, keys: Sequence[str] = ("task_id",), passed: str = "passed") -> DataFrame:
@@ -155,8 +155,8 @@ def metric_text(gated_long: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def running_pass_rate(results: DataFrame, key: str, order_col: str, passed: str = "passed") -> DataFrame:
-    """Pass rate after each result, per key in ``order_col`` order (skew-safe prefix sums)."""
-    out = running_sums(results, [key], [order_col], {
+    """Pass rate after each result, per key in ``order_col`` order (prefix sums over ranges of rows)."""
+    out = ranged_sums(results, [key], [order_col], {
         "running_total": F.lit(1).cast("bigint"),
         "running_passed": F.coalesce(F.col(passed), F.lit(False)).cast("bigint")})
     return out.withColumn("running_pass_rate", F.col("running_passed") / F.col("running_total"))

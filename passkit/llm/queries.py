@@ -6,7 +6,8 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from passkit.llm import debruijn, decontaminate, langid, licenses, line_templates, quality_crf, quality_rules, sentencepiece_wfst, simhash, warc
+from passkit.llm import (conversations, debruijn, decontaminate, langid, licenses, line_templates, merkle, mixing, quality_crf,
+                         quality_rules, sentencepiece_wfst, simhash, warc)
 from passkit.llm.base import documents, ship
 
 QUERIES = {}
@@ -202,3 +203,135 @@ def op2_license_scan(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("path", F.concat_ws(
         "/", F.col("source"), F.col("lang"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     return licenses.scan(docs, "path", "text", "doc_id")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: each byte is XORed in, then eight shifts by the reversed polynomial."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    folded = (f"list_reduce(list_concat([4294967295::BIGINT], {steps}), "
+              "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x::BIGINT) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)")
+    return f"xor({folded}, 4294967295::BIGINT)"
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
+_LEAF_SQL = "sha256(" + " || ".join(map(_field_sql, MANIFEST)) + ")"
+_SHOWN_SQL = "sha256(" + " || ".join(_field_sql("n_chars + 1" if c == "n_chars" else c) for c in MANIFEST) + ")"
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF_SQL} AS leaf,
+        CASE WHEN ({_crc32_sql('CAST(doc_id AS VARCHAR)')}) % 7 = 0 THEN {_SHOWN_SQL} ELSE {_LEAF_SQL} END AS shown FROM documents),
+base AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+low AS (SELECT lang, 0 AS level, pos, leaf AS h, n FROM base
+        UNION ALL
+        SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, level, pos // 2),
+sub AS (SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS lpos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, lpos AS pos, subroot AS h, n FROM sub
+        UNION ALL
+        SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2),
+steps AS (SELECT b.doc_id, b.leaf, l.level AS k, s.h AS sibling, (l.pos & 1) = 1 AS is_left FROM base b
+          JOIN low l ON l.lang IS NOT DISTINCT FROM b.lang AND l.pos = b.pos >> l.level AND l.n > 1
+          LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = l.level AND s.pos = xor(l.pos, 1)
+          UNION ALL
+          SELECT b.doc_id, b.leaf, 1000 + l.level, s.h, (l.pos & 1) = 1 FROM base b JOIN sub ON sub.lang IS NOT DISTINCT FROM b.lang
+          JOIN high l ON l.pos = sub.lpos >> l.level AND l.n > 1
+          LEFT JOIN high s ON s.level = l.level AND s.pos = xor(l.pos, 1)),
+path AS (SELECT doc_id, leaf, list({{'sibling': coalesce(sibling, ''), 'is_left': is_left}} ORDER BY k) AS path FROM steps GROUP BY doc_id, leaf),
+rows_ AS (SELECT b.doc_id, b.leaf, b.shown, sub.subroot, (SELECT h FROM high WHERE n = 1) AS root, coalesce(path, []) AS path
+          FROM base b JOIN sub ON sub.lang IS NOT DISTINCT FROM b.lang LEFT JOIN path ON path.doc_id IS NOT DISTINCT FROM b.doc_id AND path.leaf = b.leaf),
+folded AS (SELECT doc_id, leaf, path, 1 AS k, shown AS h FROM rows_
+          UNION ALL
+          SELECT doc_id, leaf, path, k + 1, sha256(CASE WHEN path[k].is_left THEN path[k].sibling || h ELSE h || path[k].sibling END) FROM folded WHERE k <= len(path))
+SELECT r.doc_id, r.leaf, subroot, root, sha256(array_to_string(list_transform(r.path, lambda s: s.sibling), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = root AS verified
+FROM rows_ r JOIN folded f ON f.doc_id IS NOT DISTINCT FROM r.doc_id AND f.leaf = r.leaf AND f.k = len(r.path) + 1
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark, sf_dir):
+    """Tampering: one character more where 7 divides the CRC-32 of the id."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = [F.col(c) + F.when(hit, 1).otherwise(0) if c == "n_chars" else F.col(c) for c in MANIFEST]
+    rows = merkle.manifest(documents(spark, sf_dir), MANIFEST, shown=merkle.digest(shown))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+                       F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    ({_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")}) % 20 AS lot FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS again
+  FROM c WHERE lot <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS a, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o),
+p AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND (before || a) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM p GROUP BY conv_id),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '' AS q, {{'cost': 0::BIGINT, 'audit': '', 'rep': ''}} AS m FROM stats
+  UNION ALL
+  SELECT conv_id, i, q, min(m) FROM (
+    SELECT x.conv_id, f.i, CASE e WHEN 'D' THEN x.q WHEN 'K' THEN f.a ELSE CASE WHEN x.q = 'u' THEN 'a' ELSE 'u' END END AS q,
+      {{'cost': (cost + CASE e WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN e <> 'D' AND fault = 't' THEN 5 ELSE 0 END)::BIGINT, 'audit': audit || e,
+        'rep': rep || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+                 ELSE chr(10) || CASE WHEN x.q = 'u' THEN 'assistant' ELSE 'user' END || ':' || f.text END}} AS m
+    FROM (SELECT conv_id, i, CASE k WHEN 0 THEN q WHEN 1 THEN CASE WHEN q = 'u' THEN 'a' ELSE 'u' END ELSE CASE WHEN q = 'u' THEN 'u' ELSE 'a' END END AS q,
+            m.cost + 5 * k AS cost, m.audit || repeat('I', k) AS audit,
+            m.rep || CASE k WHEN 0 THEN '' WHEN 1 THEN chr(10) || CASE WHEN q = 'u' THEN 'assistant:' ELSE 'user:' END
+              ELSE chr(10) || CASE WHEN q = 'u' THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END END AS rep
+          FROM dp, (VALUES (0), (1), (2)) t(k)) x
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1
+    CROSS JOIN (VALUES ('D'), ('K'), ('R')) v(e)
+    WHERE e = 'D' OR (fault NOT IN ('b', 'd') AND (e = 'R' OR (f.a = 's' AND x.q = '') OR (f.a = 'u' AND x.q <> 'u') OR (f.a = 'a' AND x.q = 'u'))))
+  GROUP BY conv_id, i, q),
+ends AS (SELECT dp.conv_id, min({{'cost': m.cost + CASE q WHEN 's' THEN 10 WHEN 'u' THEN 5 ELSE 0 END, 'audit': m.audit || CASE q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+    'rep': m.rep || CASE q WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END}}) AS m
+  FROM dp JOIN stats s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.i GROUP BY dp.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.m.cost, 0)::BIGINT AS cost,
+  coalesce(e.m.audit, '') AS audit, sha256(coalesce(substr(e.m.rep, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS ssize, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+s AS (SELECT *, number % {len(mixing.WEIGHTS)} + 1 AS w FROM s0),
+lam AS (SELECT 0 AS round, sum(ssize)::DOUBLE / sum(w)::DOUBLE AS l FROM s
+  UNION ALL
+  SELECT round + 1, coalesce((SELECT ((SELECT sum(ssize) FROM s) - coalesce(sum({mixing.REPEATS} * ssize) FILTER ({mixing.REPEATS} * ssize < lam.l * w), 0))::DOUBLE
+      / (sum(w) FILTER (NOT {mixing.REPEATS} * ssize < lam.l * w))::DOUBLE FROM s), lam.l)
+  FROM lam WHERE round <= (SELECT count(*) FROM s)),
+t AS (SELECT s.*, CASE WHEN {mixing.REPEATS} * ssize < l * w THEN ({mixing.REPEATS} * ssize)::DOUBLE ELSE l * w END AS target,
+    least(ssize, greatest(ceil(ssize / {mixing.BLOCK_WORDS}.0), {mixing.LEAST_BLOCKS}))::BIGINT AS nb FROM s, (SELECT l FROM lam ORDER BY round DESC LIMIT 1)),
+q AS (SELECT *, CASE WHEN ssize > 0 THEN least(nb * {mixing.REPEATS}, floor(target * nb / ssize + 0.5)::BIGINT) ELSE 0 END AS quota FROM t),
+blocks AS (SELECT number, nb, quota, ssize, unnest(range(nb)) AS block FROM q WHERE ssize > 0),
+lots AS (SELECT *, unnest(range((quota + nb - 1) // nb)) AS copy FROM blocks WHERE quota > 0),
+ranked AS (SELECT number, block, copy * nb + row_number() OVER (PARTITION BY number, copy ORDER BY md5('{mixing.SEED}/' || number || '/' || copy || '/' || block), block) - 1 AS draw, quota FROM lots),
+taken AS (SELECT number, block, count(*) AS copies FROM ranked WHERE draw < quota GROUP BY ALL),
+spans AS (SELECT number, block, block * (ssize // nb) + least(block, ssize % nb) AS b, (block + 1) * (ssize // nb) + least(block + 1, ssize % nb) AS e FROM blocks),
+placed AS (SELECT d.*, q.number, q.ssize, q.target, sum(size) OVER (PARTITION BY q.number ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS stop
+  FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source),
+got AS (SELECT p.doc_id, p.number, p.stop, sum((least(p.stop, e) - greatest(p.stop - p.size, b)) * copies) AS taken
+  FROM placed p JOIN spans x ON x.number = p.number AND x.b < p.stop AND x.e > p.stop - p.size JOIN taken k ON k.number = x.number AND k.block = x.block GROUP BY ALL)
+SELECT p.doc_id, p.size, p.ssize AS source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken
+FROM placed p LEFT JOIN got g ON p.size > 0 AND g.doc_id IS NOT DISTINCT FROM p.doc_id AND g.number = p.number AND g.stop = p.stop
+"""
+
+
+@query("op13_source_mix", OP13_SQL)
+def op13_source_mix(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -157,6 +157,7 @@ def manifest(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id", gro
     tops = stored(_tops(trees), "merkle-subroots")
     over = ranged_index(tops, [], ["g"], "pos", range_rows).select(F.lit(0).alias("g"), "pos", F.col("top").alias("node"),
                                                                     F.struct(F.col("g").alias("group")).alias("item"))
+    over = stored(over, "merkle-crown")  # g is a column of it, no constant that joins would lose
     crown = _tiers(over, levels)
     root = _tops(crown).first()
     none = F.array().cast("array<struct<sibling:string,left:boolean>>")

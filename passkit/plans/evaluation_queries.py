@@ -110,7 +110,7 @@ def q_orphan_solutions(spark, d):
 
 @register("unattempted_problems", with_views(["problems", "completions"], """
 SELECT task_id, entry_point FROM problems p
-WHERE NOT EXISTS (SELECT 1 FROM completions c WHERE c.task_id = p.task_id AND c.turn % 4 = 0)"""))
+WHERE NOT EXISTS (SELECT 1 FROM completions c WHERE c.task_id = p.task_id)"""))
 def q_unattempted_problems(spark, d):
     """Problems with no completion of any shape."""
     return E.unattempted_problems(V.problems(spark, d).select("task_id", "entry_point"), V.completions(spark, d))

@@ -21,6 +21,7 @@ from passkit.plans.oracle_views import with_views
 from passkit.plans.registry import register
 from passkit.session import shared_dir
 from passkit.sources import catalog as C
+from passkit.sources import evalfiles as EF
 from passkit.sources import jsonl as J
 
 
@@ -55,16 +56,50 @@ def q_read_problems(spark, d):
 @register("read_solutions", with_views(["completions"], """
 SELECT task_id, sample_index, model_name, completion FROM completions"""))
 def q_read_solutions(spark, d):
+    return J.read_solutions(spark, _write_solutions(spark, d)).select(*_LEGACY_COLUMNS)
+
+
+_LEGACY_COLUMNS = ["task_id", "sample_index", "model_name", "completion"]
+
+
+def _write_solutions(spark, d):
     """V4 written as solutions; shape-3 rows use the legacy ``extracted_code`` field."""
     c = V.completions(spark, d)
     legacy = F.col("turn") % 4 == 3
-    out = c.select("task_id", "sample_index", "model_name",
-                   F.when(~legacy, F.col("completion")).alias("completion"),
-                   F.when(legacy, F.col("completion")).alias("extracted_code"),
-                   F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("generated_at"))
     path = derived_dir(spark, d, "solutions.jsonl")
-    J.write_jsonl(out, path, mode="overwrite")
-    return J.read_solutions(spark, path).select("task_id", "sample_index", "model_name", "completion")
+    J.write_jsonl(c.select("task_id", "sample_index", "model_name", F.when(~legacy, F.col("completion")).alias("completion"),
+                           F.when(legacy, F.col("completion")).alias("extracted_code"),
+                           F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("generated_at")), path, mode="overwrite")
+    return path
+
+
+@register("source_problems", """
+SELECT CASE WHEN item_id % 7 = 3 THEN 'task_' || CAST(row_number() OVER (ORDER BY item_id) - 1 AS VARCHAR)
+            ELSE CAST(item_id AS VARCHAR) END AS task_id,
+       CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS pos,
+       text AS prompt, 'f' || CAST(item_id AS VARCHAR) AS entry_point
+FROM benchmark""")
+def q_source_problems(spark, d):
+    """The written problems through the byte-range data source, in ranges of 4 KB so that files are cut."""
+    return EF.read_problems(spark, _write_problems(spark, d), rangeBytes=4096).select("task_id", "pos", "prompt", "entry_point")
+
+
+@register("source_solutions", with_views(["completions"], """
+SELECT task_id, sample_index, model_name, completion FROM completions"""))
+def q_source_solutions(spark, d):
+    """The written solutions through the byte-range data source, legacy field included."""
+    return EF.read_solutions(spark, _write_solutions(spark, d), rangeBytes=1 << 16).select(*_LEGACY_COLUMNS)
+
+
+@register("source_pushed_filter", with_views(["completions"], """
+SELECT task_id, count(*) AS answers, min(sample_index) AS first_sample, max(sample_index) AS last_sample
+FROM completions WHERE sample_index >= 1000 AND task_id IN ('3', '17') GROUP BY task_id"""))
+def q_source_pushed_filter(spark, d):
+    """Solutions of two problems from their second fold on: the reader drops the other lines."""
+    rows = EF.load(spark, _write_solutions(spark, d), "solutions", rangeBytes=1 << 16)
+    rows = rows.where((F.col("sample_index") >= 1000) & F.col("task_id").isin("3", "17"))
+    return rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("answers"), F.min("sample_index").alias("first_sample"),
+                                       F.max("sample_index").alias("last_sample"))
 
 
 @register("sample_row", """

@@ -1,9 +1,8 @@
 """Dataset catalog: format and schema detection over many datasets at once.
 
-Detection is a job over the datasets' first lines rather than a loop of
-file opens on the driver: every file's first line comes from one text scan
-(``_metadata.file_path`` + ``min_by`` on the scan order), keys come from
-``json_object_keys``.
+Detection is a job over the datasets' first records rather than a loop of
+file opens on the driver: tasks read the head of each first file and no
+more (``evalfiles.heads``), keys come from ``json_object_keys``.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passkit.sources.evalfiles import heads
+
 # Language pair of every dataset.
 LANGUAGE = "q"
 TEST_LANGUAGE = "python"
@@ -41,42 +42,28 @@ def detect_format(name: Column, first_line: Column) -> Column:
 
 
 def first_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(path, dataset, file, first_line) for every dataset under ``root``.
+    """(path, dataset, file, first_line, first_record) for every dataset under ``root``.
 
     A plain file is a dataset of its own; part files (``part-*``) belong to
     their folder, whose first part by name is read. Files are listed without
-    being read; one path per dataset comes to the driver.
+    being read; of each first file a task reads the first line and, of a
+    ``.json`` document, the first record. Nothing comes to the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"))
-    folder = F.regexp_replace("file", "/[^/]*$", "")
     is_part = F.element_at(F.split("file", "/"), -1).startswith("part-")
-    files = files.select("file", F.when(is_part, folder).otherwise(F.col("file")).alias("path"))
-    first = {r["path"]: r["file"] for r in files.groupBy("path").agg(F.min("file").alias("file")).toLocalIterator()}
-    if not first:
-        return spark.createDataFrame([], "path string, dataset string, file string, first_line string")
-    t = spark.read.text(sorted(first.values())).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).alias("_at"))
-    per_file = t.groupBy("file").agg(F.min_by("value", "_at").alias("first_line"))
-    folder = F.regexp_replace("file", "/[^/]*$", "")
-    out = per_file.withColumn("path", F.when(F.element_at(F.split("file", "/"), -1).startswith("part-"), folder).otherwise(F.col("file")))
-    return out.select("path", F.element_at(F.split("path", "/"), -1).alias("dataset"), "file", "first_line")
+    files = files.select("file", F.when(is_part, F.regexp_replace("file", "/[^/]*$", "")).otherwise(F.col("file")).alias("path"))
+    first = files.groupBy("path").agg(F.min("file").alias("file")).withColumn("dataset", F.element_at(F.split("path", "/"), -1))
+    found = heads(first.withColumn("document", F.col("dataset").endswith(".json")), document="document")
+    return found.where(F.col("first_line").isNotNull()).select("path", "dataset", "file", "first_line", "first_record")
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Auto-configuration of every dataset under ``root`` (format, schema, languages, template)."""
-    fl = first_lines(spark, root)
-    # a '.json' dataset is a JSON document (an array of records or one record per
-    # file): its first record, not its first line, carries the keys
-    docs = [r.file for r in fl.where(F.col("dataset").endswith(".json")).select("file").collect()]
-    if docs:
-        whole = (spark.read.text(docs, wholetext=True)
-                 .select(F.col("_metadata.file_path").alias("file"), F.trim(F.col("value")).alias("_doc")))
-        fl = fl.join(whole, "file", "left")
-        record = F.when(F.col("_doc").startswith("["), F.get_json_object(F.col("_doc"), "$[0]")).otherwise(F.col("_doc"))
-        fl = fl.withColumn("_record", F.coalesce(record, F.col("first_line"))).drop("_doc")
-    else:
-        fl = fl.withColumn("_record", F.col("first_line"))
+    """Auto-configuration of every dataset under ``root`` (format, schema, languages, template).
+
+    A '.json' dataset is a JSON document (an array of records or one record): its first
+    record, not its first line, carries the keys.
+    """
+    fl = first_lines(spark, root).withColumn("_record", F.coalesce("first_record", "first_line")).drop("first_record")
     keys = F.coalesce(F.json_object_keys(F.col("_record")), F.array().cast("array<string>"))
     out = fl.withColumn("keys", keys).withColumn("format", detect_format(F.col("dataset"), F.col("first_line")))
     out = out.withColumn("schema", detect_schema(F.col("keys")))
@@ -106,14 +93,8 @@ class DatasetRegistry:
     def register(self, name: str, path: str, config: dict | None = None) -> dict:
         from passkit.sources.jsonl import read_problems
         if config is None:
-            if path.rstrip("/").endswith(".json"):  # a document: keys of its first record
-                doc = F.trim(F.col("value"))
-                fl = self.spark.read.text(path, wholetext=True).limit(1).select(
-                    F.when(doc.startswith("["), F.get_json_object(doc, "$[0]")).otherwise(doc).alias("first_line"))
-            else:
-                fl = self.spark.read.text(path).limit(1).select(F.col("value").alias("first_line"))
-            keys = F.coalesce(F.json_object_keys("first_line"), F.array().cast("array<string>"))
-            row = fl.select(detect_schema(keys).alias("schema"), keys.alias("keys")).first()
+            keys = F.coalesce(F.json_object_keys(F.coalesce("first_record", "first_line")), F.array().cast("array<string>"))
+            row = first_lines(self.spark, path).orderBy("file").select(detect_schema(keys).alias("schema"), keys.alias("keys")).first()
             schema = row.schema if row else "generic"
             keys_list = row["keys"] if row else []
             fmt = "json" if path.rstrip("/").endswith(".json") else "jsonl"

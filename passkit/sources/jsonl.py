@@ -99,22 +99,21 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def first_file(spark: SparkSession, path: str) -> str:
-    """The first data file of a dataset (by name), from the file listing only."""
-    files = sorted(spark.read.text(path).inputFiles())
-    if not files:
+    """The first data file of a dataset (by name); files are listed without being read, one name comes to the driver."""
+    name = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.min("path")).first()[0]
+    if name is None:
         raise ValueError(f"Dataset is empty: {path}")
-    return files[0]
+    return name
 
 
 def sample_row(spark: SparkSession, path: str) -> DataFrame:
     """First line of the first file: its text, whether it is a JSON object, and its keys.
 
-    Only the first file is read, and only its first split is scanned for
-    the one line (``limit(1)`` stops the scan). A non-object (array,
-    scalar, bad JSON) gives ``is_object`` false and NULL keys.
+    The file is read up to the end of that line (``evalfiles.heads``). A
+    non-object (array, scalar, bad JSON) gives ``is_object`` false and NULL keys.
     """
-    f = first_file(spark, path)
-    line = spark.read.text(f).limit(1).select(F.lit(f).alias("file"), F.col("value").alias("first_line"))
+    from passkit.sources.evalfiles import heads
+    line = heads(spark.createDataFrame([(first_file(spark, path),)], "file string")).where("first_line IS NOT NULL")
     keys = F.json_object_keys(F.col("first_line"))
     return line.select("file", "first_line", keys.isNotNull().alias("is_object"), keys.alias("keys"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from passkit.plans import views as V
 from passkit.plans.oracle_views import with_views
 from passkit.plans.registry import register
+from passkit.sources import evalfiles as EF
 from passkit.streaming import live as L
 
 RESULTS_STREAM_SCHEMA = T.StructType([
@@ -17,12 +18,12 @@ RESULTS_STREAM_SCHEMA = T.StructType([
 ])
 
 
-def _write_result_files(spark, d, run_dir: str, copies: int = 1) -> str:
-    """V2 results as 8 files per copy (by task), appended ``copies`` times."""
+def _write_result_files(spark, d, run_dir: str, copies: int = 1, rows_per_file: int = 20_000) -> str:
+    """V2 results as files of ``rows_per_file`` rows at most, appended ``copies`` times."""
     src = V.results(spark, d).select(*RESULTS_STREAM_SCHEMA.fieldNames())
     path = f"{run_dir}/in"
     for _ in range(copies):
-        src.repartition(8, "task_id").write.mode("append").json(path)
+        src.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(path)
     return path
 
 
@@ -30,13 +31,13 @@ def _write_result_files(spark, d, run_dir: str, copies: int = 1) -> str:
 SELECT model_name, task_id, count(*) AS num_samples, CAST(count_if(passed) AS BIGINT) AS num_correct
 FROM results GROUP BY model_name, task_id"""))
 def q_stream_tally(spark, d):
-    """The live tally after every file has arrived equals the batch per-problem counts."""
+    """The live tally after every file has arrived equals the batch per-problem counts; some keys are closed on the way."""
     run = L.new_run_dir(spark, "tally")
     src = _write_result_files(spark, d, run)
     q = L.live_tally(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=2),
-                     f"{run}/out", f"{run}/checkpoint", ks=(1,))
+                     f"{run}/out", f"{run}/checkpoint", idle="1 day")
     q.awaitTermination()
-    return L.read_tally(spark, f"{run}/out")
+    return L.read_tally(spark, f"{run}/out", f"{run}/checkpoint")
 
 
 @register("stream_dedup", with_views(["results"], """
@@ -45,14 +46,27 @@ def q_stream_dedup(spark, d):
     """Every result file appended twice; the stream keeps one row per (model, task, sample)."""
     run = L.new_run_dir(spark, "dedup")
     src = _write_result_files(spark, d, run, copies=2)
-    # the files are split by task, not by time: every file spans the whole event range,
-    # so the delay covers the full range and no row is ever late
+    # every file may span the whole event range: the delay is what the files need
+    delay = L.spread(spark.read.schema(RESULTS_STREAM_SCHEMA).json(src))
     q = L.stream_dedup(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=4),
-                       f"{run}/out", f"{run}/checkpoint", delay="3650 days")
+                       f"{run}/out", f"{run}/checkpoint", delay)
     q.awaitTermination()
     return spark.read.parquet(f"{run}/out").select("model_name", "task_id", "sample_index")
 
 
+@register("stream_committed_sink", with_views(["results"], """
+SELECT task_id, CAST(sample_index AS BIGINT) AS sample_index, passed FROM results"""))
+def q_stream_committed_sink(spark, d):
+    """Result files streamed into the sink with commits and read back from its committed batches."""
+    run = L.new_run_dir(spark, "sink")
+    src = _write_result_files(spark, d, run)
+    EF.register(spark)
+    q = (L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=2).writeStream.format(EF.FORMAT)
+         .option("path", f"{run}/out").option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return EF.load(spark, f"{run}/out", "results", committed=True).select("task_id", "sample_index", "passed")
+
+
 @register("dedup_solutions", """
 SELECT model_name, task_id, sample_index, completion, generated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY model_name, task_id, sample_index

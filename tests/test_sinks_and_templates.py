@@ -100,17 +100,87 @@ def test_live_tally_running_pass_at_k(spark):
     from passkit.plans.streaming_queries import RESULTS_STREAM_SCHEMA, _write_result_files
     from passkit.streaming import live as L
     run = L.new_run_dir(spark, "tally-test")
-    src = _write_result_files(spark, SF01, run)
-    L.live_tally(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=3),
-                 f"{run}/out", f"{run}/ck", ks=(1,)).awaitTermination()
-    written = spark.read.parquet(f"{run}/out")
-    assert written.select("batch_id").distinct().count() > 1  # several micro-batches
-    final = written.groupBy("model_name", "task_id").agg(F.max_by("pass_at_1", "batch_id").alias("p"))
+    src = _write_result_files(spark, SF01, run, rows_per_file=1000)
+    sizes = {}
+    for files in (1, 4):  # the live table has a row per key, however many micro-batches there were
+        q = L.live_tally(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=files), f"{run}/out{files}", f"{run}/ck{files}")
+        q.awaitTermination()
+        sizes[files] = (q.lastProgress.batchId, L.tally_state(spark, f"{run}/ck{files}").count())
+    assert sizes[1][0] > sizes[4][0] and sizes[1][1] == sizes[4][1]
+    early = L.tally_state(spark, f"{run}/ck1", batch_id=1).agg(F.sum("num_samples")).first()[0]
+    assert 0 < early < V.results(spark, SF01).count()
+    final = L.read_tally(spark, f"{run}/out1", f"{run}/ck1", ks=(1,)).withColumnRenamed("pass_at_1", "p").drop("num_samples", "num_correct")
     batch = V.results_counts(spark, SF01).withColumn("q", pass_at_k("num_samples", "num_correct", F.lit(1)))
     diff = final.join(batch, ["model_name", "task_id"]).where(F.abs(F.col("p") - F.col("q")) > 1e-12)
     assert diff.count() == 0 and final.count() == batch.count()
 
 
+def _files(path, batches):
+    """One JSON file per batch, in this order for a stream; rows (task_id, sample_index, passed, generated_at)."""
+    import json
+    import os
+    os.makedirs(path)
+    for k, rows in enumerate(batches):
+        with open(f"{path}/f{k}.json", "w") as f:
+            f.writelines(json.dumps({"model_name": "m", "task_id": t, "sample_index": i, "passed": p, "generated_at": w}) + "\n" for t, i, p, w in rows)
+        os.utime(f"{path}/f{k}.json", (1e9 + k, 1e9 + k))
+    return path
+
+
+def test_idle_keys_leave_the_state_and_come_back(spark, tmp_path):
+    from passkit.plans.streaming_queries import RESULTS_STREAM_SCHEMA
+    from passkit.streaming import live as L
+    src = _files(str(tmp_path / "in"), [
+        [("a", 0, True, "2024-01-01T00:00:00"), ("a", 1, False, None), ("b", 0, True, "1970-01-01T00:00:00"), (None, 0, True, None)],
+        [("c", 0, True, "2024-01-03T00:00:00"), ("c", 1, None, "2199-01-03T00:00:00")],
+        [("a", 2, True, "2023-01-01T00:00:00")]])  # a comes back
+    for idle in ("0 seconds", "1 day", None):
+        out, ck = (str(tmp_path / f"{x}-{str(idle)[:1]}") for x in ("out", "ck"))
+        L.live_tally(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=1), out, ck, idle=idle).awaitTermination()
+        closed = {(r["task_id"], r["num_samples"], r["num_correct"]) for r in spark.read.schema(
+            "task_id string, num_samples long, num_correct long").parquet(out).collect()}
+        open_keys = {r["task_id"] for r in L.tally_state(spark, ck).collect()}
+        if idle == "0 seconds":
+            assert {("a", 2, 1), ("b", 1, 1), (None, 1, 1)} <= closed and "b" not in open_keys
+        else:
+            assert closed == set() and open_keys == {"a", "b", "c", None}
+        got = {r["task_id"]: (r["num_samples"], r["num_correct"]) for r in L.read_tally(spark, out, ck).collect()}
+        assert got == {"a": (3, 2), "b": (1, 1), "c": (2, 1), None: (1, 1)}
+
+
+def test_every_late_row_is_counted(spark, tmp_path):
+    """A wrong future date makes no row late; a delay that is too short loses rows, and each one is counted."""
+    import time as _time
+    from passkit.plans.streaming_queries import RESULTS_STREAM_SCHEMA
+    from passkit.streaming import live as L
+    src = _files(str(tmp_path / "in"), [
+        [("a", 0, True, "2024-01-05T00:00:00"), ("a", 1, True, "2150-01-01T00:00:00")],
+        [("b", 0, True, "2024-01-05T00:00:01")],
+        [("c", i, True, "2024-01-01T00:00:00") for i in range(3)] + [("a", 0, True, "2024-01-05T00:00:00")],
+        [("d", 0, True, "2024-01-04T00:00:00")]])
+    counts = L.StreamCounts()
+    spark.streams.addListener(counts)
+    try:
+        seen = {}
+        table = spark.read.schema(RESULTS_STREAM_SCHEMA).json(src)
+        for name, delay in (("long", L.spread(table)), ("short", "1 hour")):
+            q = L.stream_dedup(L.stream_files(spark, src, RESULTS_STREAM_SCHEMA, files_per_trigger=1), str(tmp_path / name), str(tmp_path / f"ck-{name}"), delay)
+            q.awaitTermination()
+            for _ in range(100):  # progress comes in a thread of its own
+                if str(q.id) in counts.ended:
+                    break
+                _time.sleep(0.1)
+            seen[name] = counts.of(q), spark.read.parquet(str(tmp_path / name)).count()
+        assert seen["long"][0]["read"] == seen["short"][0]["read"] == 8
+        assert seen["long"][0]["late"] == 0 and seen["long"][1] == 7  # one repeated sample
+        late, kept = seen["short"][0]["late"], seen["short"][1]
+        assert late > 0 and kept + late + 1 >= 8 and kept + late <= 8
+    finally:
+        spark.streams.removeListener(counts)
+    days = table.where("generated_at < '2025-01-01'")  # from the first to the fifth
+    assert L.spread(days) == f"{5 * 86400 + 1} seconds" and L.spread(days.limit(0)) == "86400 seconds"
+
+
 def test_read_summary_missing_path_is_empty(spark):
     from passkit.plans.source_queries import _SUMMARY_SCHEMA
     missing = tempfile.mkdtemp(prefix="passkit-none-") + "/does-not-exist"

@@ -84,3 +84,24 @@ def render(df: DataFrame, name: str, out: str = "rendered", errors: str = "error
             .withColumn(errors, F.when(F.size("_missing") > 0,
                                        F.concat(F.lit("Missing required fields: "), F.array_join("_missing", ", "))))
             .drop("_missing", *[f for f in fields if f not in present]))
+
+
+def registry(spark) -> DataFrame:
+    """The template registry as a table: (schema, template, fields), a row for each schema label of a dataset."""
+    rows = [(label, name, list(TEMPLATES[name][0])) for label, name in sorted(SCHEMA_TO_TEMPLATE.items())]
+    return spark.createDataFrame(rows, "schema string, template string, fields array<string>")
+
+
+def render_by_schema(df: DataFrame, schema: str, out: str = "rendered", errors: str = "error") -> DataFrame:
+    """Render every row with the template of its own schema label; an unknown label is an error of its row."""
+    t = df
+    for f in ("prompt", "entry_point", "text", "q_test_list"):
+        if f not in df.columns:
+            t = t.withColumn(f, F.lit(None).cast("array<string>" if f == "q_test_list" else "string"))
+    text, why = F.lit(None).cast("string"), F.concat(F.lit("Unknown template: "), F.coalesce(F.col(schema), F.lit("None")))
+    for label, name in sorted(SCHEMA_TO_TEMPLATE.items()):
+        fields, fn = TEMPLATES[name]
+        miss, here = missing_fields(t, fields), F.col(schema) == label
+        text = F.when(here & (F.size(miss) == 0), fn(t)).otherwise(text)
+        why = F.when(here, F.when(F.size(miss) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(miss, ", ")))).otherwise(why)
+    return t.withColumns({out: text, errors: why}).select(*df.columns, out, errors)

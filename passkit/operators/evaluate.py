@@ -53,15 +53,54 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], buckets:
     return b.join(s, on=[*keys, "_salt"], how=how).drop("_salt")
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01) -> dict[int, float]:
+    """Hash of each key that may hold at least ``share`` of the rows, and its estimated share.
+
+    One scan with a frequent-items sketch, which counts map-side and never
+    misses a key of that size; at most ``1 / share`` hashes (and a few it takes for one) come to the driver.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share must be in (0, 1]")
+    k = int(1 / share) + 1
+    tracked = 1 << (8 * k).bit_length()
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(k), F.lit(tracked)).alias("top")).first()
+    return {t["item"]: t["count"] / got["n"] for t in got["top"] or [] if t["count"] >= share * got["n"]}
+
+
+def heavy_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", share: float = 0.01,
+               salt_from: Sequence[str] = ()) -> DataFrame:
+    """Equi-join that spreads the heavy keys of ``big``, and only those, over partitions of about ``share`` of its rows.
+
+    A key with an estimated third of the rows gets ``1 / (3 share)`` salts: its
+    rows take one by hash, its row in ``small`` is repeated for each. All other
+    rows keep salt 0, so ``small`` grows by the heavy keys' salts and no more.
+    """
+    keys = list(keys)
+    heavy = heavy_keys(big, keys, share)
+    if not heavy:
+        return big.join(small, on=keys, how=how)
+    salts = F.create_map(*[F.lit(x) for h, part in sorted(heavy.items()) for x in (h, max(2, round(part / share)))])
+    many = F.coalesce(F.element_at(salts, F.xxhash64(*keys)), F.lit(1))
+    src = [F.col(c) for c in (salt_from or big.columns)]
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), *src), many).cast("int"))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
+    return b.join(s, on=[*keys, "_salt"], how=how).drop("_salt")
+
+
 def attach_problem(solutions: DataFrame, problems: DataFrame, keys: Sequence[str] = ("task_id",),
-                   salt_buckets: int = 0) -> DataFrame:
+                   salt_buckets: int = 0, heavy_share: float = 0.0) -> DataFrame:
     """Left outer join solutions -> problems; unmatched solutions are kept with ``has_problem`` false.
 
     By default the planner broadcasts the problems when their measured size
     allows, and AQE splits a skewed task partition otherwise;
-    ``salt_buckets`` forces a deterministic salted join instead.
+    ``salt_buckets`` forces a deterministic salted join of all tasks instead, and
+    ``heavy_share`` finds the tasks with that share of the solutions and salts those (one more scan of the keys).
     """
     p = problems.withColumn("has_problem", F.lit(True))
+    if heavy_share:
+        salt_cols = [c for c in ("model_name", "sample_index") if c in solutions.columns]
+        out = heavy_join(solutions, p, keys, "left", heavy_share, salt_cols)
+        return out.withColumn("has_problem", F.coalesce(F.col("has_problem"), F.lit(False)))
     if salt_buckets > 1:
         salt_cols = [c for c in ("model_name", "sample_index") if c in solutions.columns]
         out = salted_join(solutions, p, keys, salt_buckets, "left", salt_cols)

@@ -90,3 +90,23 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
         value_ = F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac)
         out.append(F.when(sound, value_).otherwise(F.raise_error(F.lit("a rank lies outside its bracket: raise accuracy")).cast("double")).alias(n))
     return join_back(stats.select(*keys, *extra_names), picked.select(*keys, *out), keys, "left")
+
+
+KLL_K = 800  # sketch size: a rank error of about 0.4 %
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, name: str = "sketch") -> DataFrame:
+    """(keys, n, sketch): a mergeable KLL sketch of each group's values, a few KB whatever the group's size.
+
+    To be stored (say per model and day) and merged for any period later,
+    without the values. Nulls are left out; a group of nulls has none.
+    """
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull()).groupBy(*keys).agg(F.count(v).alias("n"), F.kll_sketch_agg_double(v, F.lit(KLL_K)).alias(name))
+
+
+def sketched_percentiles(sketches: DataFrame, keys: Sequence[str], ps: Sequence[float], name: str = "sketch") -> DataFrame:
+    """(keys, n, p, value) from stored sketches, merged per ``keys``; ``value`` has nearly rank ``p``."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double(name).alias("_s"))
+    found = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias("value")) for p in ps])
+    return merged.select(*keys, "n", F.inline(found))

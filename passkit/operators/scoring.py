@@ -8,8 +8,13 @@ other; everything after that works on models x problems rows.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,3 +193,79 @@ def summary(problems_counts: DataFrame, by: Sequence[str], max_workers: int = 1,
     return (out.drop("_min_n", *[f"_m{k}" for k in ks])
             .withColumn("execution_method", F.lit(method))
             .withColumn("max_workers", F.lit(max_workers)))
+
+
+def poisson_bootstrap(replicates: int = 200, level: float = 0.95):
+    """A grouped-aggregate Arrow UDF (task, estimate) -> [low, high]: bootstrap interval of the mean estimate over tasks.
+
+    Each replicate weights every task by a Poisson(1) count drawn from the hash
+    of (task, replicate), so neither the order nor the split of the rows
+    matters and a rerun agrees. Replicates without any weight are left out; a
+    group without an estimate has no interval.
+    """
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+
+    @F.arrow_udf("array<double>")
+    def interval(task: pa.Array, estimate: pa.Array) -> Any:
+        kept = [(t, e) for t, e in zip(task.to_pylist(), estimate.to_pylist()) if e is not None]
+        value = np.array([e for _, e in kept])
+        means = []
+        for r in range(replicates if kept else 0):
+            u = np.array([int(hashlib.md5(f"{t}/{r}".encode()).hexdigest()[:8], 16) for t, _ in kept]) / 2.0 ** 32
+            weight = np.searchsorted(steps, u, side="right")
+            if weight.sum():
+                means.append(float((weight * value).sum() / weight.sum()))
+        return [float(x) for x in np.quantile(means, [(1 - level) / 2, (1 + level) / 2])] if means else None
+
+    return interval
+
+
+def pass_at_k_interval(problems: DataFrame, by: Sequence[str], k: int = 1, task: str = "task_id", replicates: int = 200) -> DataFrame:
+    """Mean pass@k per group with its bootstrap interval over problems (rows of a group: one per problem)."""
+    est = with_pass_at_k(problems, k, "_pk")
+    out = est.groupBy(*by).agg(poisson_bootstrap(replicates)(F.col(task).cast("string"), F.col("_pk")).alias("_i"))
+    mean = est.groupBy(*by).agg(F.avg("_pk").alias("pass_at_k"))
+    return mean.join(out, list(by)).select(*by, "pass_at_k", F.col("_i")[0].alias("low"), F.col("_i")[1].alias("high"))
+
+
+# -- submissions ---------------------------------------------------------------------
+
+# The fields of a model card, and what each must look like.
+CARD_FIELDS = ("Provider", "Version", "Parameters", "License", "Dataset", "Samples", "Date", "Hardware", "Pass@1", "Pass@5", "Pass@10")
+CARD_RULES = (
+    *((f"missing {f}", f"coalesce(trim(fields['{f}']), '') <> ''") for f in CARD_FIELDS),
+    ("no date", "fields['Date'] IS NULL OR fields['Date'] RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'"),
+    *((f"{f} is no percentage", f"fields['{f}'] IS NULL OR fields['{f}'] RLIKE '^[0-9]+([.][0-9]+)?%$'") for f in CARD_FIELDS if f.startswith("Pass@")),
+    ("samples stated differently", "fields['Samples'] IS NULL OR min_samples IS NULL OR coalesce(try_cast(regexp_extract(fields['Samples'], '[0-9]+', 0) AS bigint), 0) <= min_samples"),
+    (f"fewer than {MIN_SUBMISSION_SAMPLES} samples for some problem", f"coalesce(min_samples, 0) >= {MIN_SUBMISSION_SAMPLES}"),
+    ("results are not valid JSON", "coalesce(bad_lines, 0) = 0"),
+    ("not one model", "coalesce(models, 0) = 1"),
+)
+
+
+def read_cards(spark, path: str) -> DataFrame:
+    """(file, title, fields): model cards in Markdown, one a file; fields are its ``**name**: value`` pairs, the first of a name counts."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    pairs = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(?:[-*]\s+)?\*\*([^*\n]+)\*\*:[ \t]*([^\r\n]*)"), F.lit(0)), lambda line: F.struct(
+        F.regexp_extract(line, r"\*\*([^*]+)\*\*:", 1).alias("key"), F.trim(F.regexp_extract(line, r"\*\*:[ \t]*(.*)$", 1)).alias("value")))
+    once = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
+    return whole.select("file", F.regexp_extract("value", r"(?m)^#\s+(.*)$", 1).alias("title"), F.map_from_entries(once).alias("fields"))
+
+
+def read_submitted(spark, path: str) -> DataFrame:
+    """(file, models, min_samples, bad_lines) of submitted result files, one submission a file."""
+    keys = "model_name string, task_id string, sample_index bigint"
+    rows = spark.read.text(path).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), F.from_json("value", keys).alias("r"), F.json_object_keys("value").isNull().alias("bad"))
+    counts = rows.groupBy("file", "r.model_name", "r.task_id", "bad").agg(F.count(F.lit(1)).alias("n"))
+    good = ~F.col("bad")
+    names = counts.where(good).select("file", "model_name").distinct().groupBy("file").agg(F.count("model_name").alias("models"))
+    return counts.groupBy("file").agg(F.min(F.when(good, F.col("n"))).alias("min_samples"),
+                                      F.sum(F.when(good, 0).otherwise(F.col("n"))).alias("bad_lines")).join(names, "file", "left")
+
+
+def submission_report(cards: DataFrame, submitted: DataFrame, key: str = "submission", rules=CARD_RULES) -> DataFrame:
+    """(key, accepted, reasons): each card with its results against the table of rules (name, what must hold in SQL)."""
+    both = cards.join(submitted, key, "left")
+    broken = F.filter(F.array(*[F.when(~F.coalesce(F.expr(f"({must})"), F.lit(False)), F.lit(name)) for name, must in rules]), lambda x: x.isNotNull())
+    return both.select(key, (F.size(broken) == 0).alias("accepted"), F.array_join(broken, "; ").alias("reasons"))

@@ -228,3 +228,16 @@ def q_failure_breakdown(spark, d):
     labelled = runs.select(E.classify_outcome(F.col("stage"), F.col("message")).alias("label"))
     out = E.failure_breakdown(labelled)
     return out.withColumn("share", F.round("share", 9))
+
+
+@register("attach_problem_heavy", """
+SELECT e.event_id AS sample_index, e.event_type AS task_id, p.entry_point, p.task_id IS NOT NULL AS has_problem
+FROM events e LEFT JOIN (SELECT event_type AS task_id, 'f_' || event_type AS entry_point FROM events
+                         WHERE event_type <> 'error' GROUP BY event_type) p ON p.task_id = e.event_type""")
+def q_attach_problem_heavy(spark, d):
+    """A few tasks hold all solutions (a task per event type): the heavy ones are found by a sketch and salted."""
+    e = table(spark, d, "events")
+    sol = e.select(F.col("event_type").alias("task_id"), F.col("event_id").alias("sample_index"))
+    prob = e.where(F.col("event_type") != "error").groupBy(F.col("event_type").alias("task_id")).agg(
+        F.concat(F.lit("f_"), F.first("event_type")).alias("entry_point"))
+    return E.attach_problem(sol, prob, heavy_share=0.05).select("sample_index", "task_id", "entry_point", "has_problem")

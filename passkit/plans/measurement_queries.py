@@ -203,3 +203,20 @@ SELECT model, count(*) AS configurations_tested, CAST(count_if(error IS NULL) AS
 FROM trials GROUP BY model"""))
 def q_profile_summary(spark, d):
     return _rounded(P.profile_summary(V.trials(spark, d)), ["max_tokens_per_second", "min_memory_usage_gb"])
+
+
+@register("latency_sketch_percentiles", with_views(["measurements"], """
+SELECT model, p, n, true AS within_error
+FROM (SELECT model, count(latency) AS n FROM measurements GROUP BY model), (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) v(p)"""))
+def q_latency_sketch_percentiles(spark, d):
+    """Percentiles per model from stored sketches per model and day, and whether each one's exact rank is within a hundredth of p."""
+    from passkit.operators.quantiles import quantile_sketches, sketched_percentiles
+    from passkit.session import materialize
+    e = table(spark, d, "events").select(F.col("event_type").alias("model"), F.to_date("ts").alias("day"), F.col("value").alias("latency"))
+    daily = materialize(quantile_sketches(e, ["model", "day"], "latency"), "latency-sketches")
+    found = materialize(sketched_percentiles(daily, ["model"], [0.05, 0.5, 0.95, 0.99]), "sketched-percentiles")
+    wide = found.groupBy("model").agg(F.collect_list(F.struct("p", "n", "value")).alias("found"))
+    ranks = e.where(F.col("latency").isNotNull()).join(wide, "model").select("model", "latency", F.inline("found"))
+    ranks = ranks.groupBy("model", "p", "n").agg(F.count_if(F.col("latency") < F.col("value")).alias("below"), F.count_if(F.col("latency") <= F.col("value")).alias("upto"))
+    inside = (F.col("below") <= (F.col("p") + 0.01) * F.col("n")) & (F.col("upto") >= (F.col("p") - 0.01) * F.col("n"))
+    return ranks.select("model", "p", "n", inside.alias("within_error"))

@@ -246,12 +246,13 @@ def q_flatten_completions(spark, d):
 
 
 @register("pad_failures", with_views(["problems"], """
-SELECT r.task_id, CAST(r.s AS INTEGER) AS sample_index, coalesce(x.completion, '') AS completion,
-       x.completion IS NULL AS failed
-FROM (SELECT task_id, s FROM problems, range(0, 3) t(s)) r
-LEFT JOIN (SELECT CAST(conv_id % 40 AS VARCHAR) AS task_id, conv_id // 40 AS s, arg_min(text, turn) AS completion
-           FROM conversations WHERE role = 'assistant' GROUP BY conv_id) x
-  ON r.task_id = x.task_id AND r.s = x.s"""))
+SELECT r.task_id, CAST(r.s AS INTEGER) AS sample_index, coalesce(x.completion, '') AS completion, x.completion IS NULL AS failed
+FROM (SELECT p.task_id, p.item, unnest(range(greatest(coalesce(a.n, 0), 3)::BIGINT)) AS s
+      FROM numbered p LEFT JOIN (SELECT item, greatest(count_if(role = 'user'), count_if(role = 'assistant')) AS n FROM told GROUP BY item) a USING (item)) r
+LEFT JOIN (SELECT item, text AS completion, row_number() OVER (PARTITION BY item ORDER BY conv_id, turn, text) - 1 AS s
+           FROM told WHERE role = 'assistant') x ON r.item = x.item AND r.s = x.s""", (
+    "numbered AS (SELECT task_id, row_number() OVER (ORDER BY item_id) - 1 AS item FROM problems)",
+    "told AS (SELECT *, conv_id % (SELECT count(*) FROM problems) AS item FROM conversations WHERE role IN ('assistant', 'user'))")))
 def q_pad_failures(spark, d):
     """Every answer is the response to a request: a conversation is of problem conv_id modulo their number, and
     its answers follow those of earlier conversations of that problem. A problem has a request for each of its

@@ -231,3 +231,55 @@ def q_card_reconcile(spark, d):
     out = S.card_reconcile(V.attempt_counts(spark, d), "model")
     return out.withColumn("pass_at_1", r("pass_at_1")).withColumn("pass_rate", r("pass_rate"))
 
+
+
+@register("pass_at_k_bootstrap", with_views(["attempts"], f"""
+SELECT model, round(any_value(pass_at_1), 9) AS pass_at_1, round(quantile_cont(mean, (1 - 0.95::DOUBLE) / 2), 9) AS low, round(quantile_cont(mean, (1 + 0.95::DOUBLE) / 2), 9) AS high
+FROM (SELECT model, r, avg(e) AS pass_at_1, sum(w * e) / nullif(sum(w), 0) AS mean
+      FROM (SELECT model, r, e, (u >= 0.36787944117144233)::INT + len(list_filter(range(1, 13),
+              lambda k: u >= list_sum(list_transform(range(0, k + 1), lambda j: exp(-1) / gamma(j + 1.0))))) AS w
+            FROM (SELECT model, r, e, ('0x' || substr(md5(task_id || '/' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+                  FROM (SELECT model, task_id, {sql_pass_at_k('num_samples', 'num_correct', '1')} AS e FROM {_ATTEMPT_COUNTS}), range(200) t(r)))
+      GROUP BY model, r)
+GROUP BY model"""))
+def q_pass_at_k_bootstrap(spark, d):
+    """pass@1 per model with a Poisson bootstrap interval over its problems."""
+    out = S.pass_at_k_interval(V.attempt_counts(spark, d), ["model"])
+    return out.select("model", r("pass_at_k").alias("pass_at_1"), r("low").alias("low"), r("high").alias("high"))
+
+
+_CARD_LINES = [("Provider", "'org'"), ("Version", "'v1.0'"), ("Parameters", "'7B'"), ("License", "'MIT'"), ("Dataset", "'q-humaneval'"),
+               ("Samples", "'50 per problem'"), ("Date", "'2025-01-31'"), ("Hardware", "'8 GPUs'"), ("Pass@1", "'7.01%'"), ("Pass@5", "'15%'"), ("Pass@10", "'19.9%'")]
+
+
+@register("submission_rules", with_views(["attempts"], """
+SELECT model AS submission, len(reasons) = 0 AS accepted, array_to_string(reasons, '; ') AS reasons
+FROM (SELECT model, list_filter([
+  CASE WHEN k = 1 THEN 'missing Provider' END, CASE WHEN k = 2 THEN 'missing License' END, CASE WHEN k = 2 THEN 'missing Samples' END, CASE WHEN k = 3 THEN 'missing Hardware' END,
+  CASE WHEN k = 3 THEN 'no date' END, CASE WHEN k = 4 THEN 'Pass@5 is no percentage' END,
+  CASE WHEN k <> 2 AND CASE WHEN k = 5 THEN 5000 ELSE 50 END > n THEN 'samples stated differently' END,
+  CASE WHEN n < 50 THEN 'fewer than 50 samples for some problem' END,
+  CASE WHEN k = 6 THEN 'results are not valid JSON' END, CASE WHEN k = 7 THEN 'not one model' END], lambda x: x IS NOT NULL) AS reasons
+  FROM (SELECT model, min(c) AS n, min(nationkey) % 8 AS k FROM (SELECT model, task_id, count(*) AS c FROM attempts GROUP BY ALL)
+        JOIN (SELECT n_name, n_nationkey AS nationkey FROM nation) ON n_name = model GROUP BY model))"""))
+def q_submission_rules(spark, d):
+    """A card and a result file per model, seven of eight with one thing wrong, against the rules of a submission."""
+    from passkit.plans.source_queries import derived_dir
+    base = derived_dir(spark, d, "submissions")
+    li = V.attempts(spark, d).select("model", "task_id", F.xxhash64("l_orderkey", "l_linenumber").alias("sample_index"))
+    k = V.table(spark, d, "nation").select(F.col("n_name").alias("model"), (F.col("n_nationkey") % 8).alias("k"))
+    k = k.join(li.select("model").distinct(), "model")
+    shown = {"Provider": F.col("k") != 1, "License": F.col("k") != 2, "Hardware": F.col("k") != 3, "Samples": F.col("k") != 2}
+    put = {"Date": F.when(F.col("k") == 3, "31 Jan 2025"), "Pass@5": F.when(F.col("k") == 4, "15"), "Samples": F.when(F.col("k") == 5, "5000 per problem")}
+    lines = [F.when(shown.get(f, F.lit(True)), F.concat(F.lit(f"- **{f}**: "), F.coalesce(put.get(f, F.lit(None).cast("string")), F.expr(v)))) for f, v in _CARD_LINES]
+    cards = k.select("model", F.concat_ws("\n", F.concat(F.lit("# "), "model"), *lines).alias("value"))
+    cards.repartition("model").write.partitionBy("model").text(f"{base}/cards")
+    row = F.to_json(F.struct(F.when((F.col("k") == 7) & (F.col("sample_index") % 2 == 0), "other").otherwise(F.col("model")).alias("model_name"), "task_id", "sample_index"))
+    rows = li.join(k, "model").select("model", row.alias("value"))
+    bad = k.where(F.col("k") == 6).select("model", F.lit('{"open').alias("value"))
+    rows.union(bad).repartition("model").write.partitionBy("model").text(f"{base}/results")
+    name = F.regexp_extract("file", "model=([^/]*)/", 1)
+    got = S.read_submitted(spark, f"{base}/results").withColumn("submission", name).groupBy("submission").agg(
+        F.max("models").alias("models"), F.min("min_samples").alias("min_samples"), F.sum("bad_lines").alias("bad_lines"))
+    out = S.submission_report(S.read_cards(spark, f"{base}/cards").withColumn("submission", name), got)
+    return out.withColumn("submission", F.url_decode("submission"))

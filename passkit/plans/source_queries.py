@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passkit.functions import prompts as PT
 from passkit.operators import scoring as S
 from passkit.plans import views as V
 from passkit.plans.oracle_views import with_views
@@ -23,6 +24,7 @@ from passkit.session import shared_dir
 from passkit.sources import catalog as C
 from passkit.sources import evalfiles as EF
 from passkit.sources import jsonl as J
+from passkit.sources import profiles as PR
 
 
 def derived_dir(spark, sf_dir: str, name: str) -> str:
@@ -257,3 +259,51 @@ def q_registry_listing(spark, d):
     for name, folder in (("humaneval", "humaneval.jsonl"), ("mbpp", "mbpp.jsonl"), ("generic", "generic.data"), ("q_mbpp", "q_mbpp.jsonl")):
         registry.register(name, os.path.join(root, folder))
     return registry.listing()
+
+
+@register("summary_indented", with_views(["results"], """
+SELECT model_name, task_id, count(*) AS num_samples, CAST(count_if(passed) AS BIGINT) AS num_correct
+FROM results GROUP BY model_name, task_id"""))
+def q_summary_indented(spark, d):
+    """Indented summary documents, a file each, read back; their per-problem rows must survive."""
+    pp = V.results_counts(spark, d)
+    path = derived_dir(spark, d, "summaries")
+    docs = J.summary_documents(S.summary(pp, ["model_name"]), pp, ["model_name"], indented=True)
+    J.write_summary_files(docs, path)
+    return J.read_summary(spark, path, _SUMMARY_SCHEMA).select("model_name", F.inline("per_problem_results"))
+
+
+@register("profile_documents", with_views(["trials"], """
+SELECT model, trial_no, CAST(tensor_parallel_size AS INTEGER) AS tensor_parallel_size, CAST(batch_size AS INTEGER) AS batch_size, max_tokens,
+       CASE WHEN error IS NULL THEN tokens_per_second END AS tokens_per_second, CASE WHEN error IS NULL THEN tokens_generated END AS tokens_generated, error
+FROM trials"""))
+def q_profile_documents(spark, d):
+    """Trials saved as indented documents with nested metrics (even blocks) and flat lines of a later version (odd ones), loaded as VARIANT."""
+    t = V.trials(spark, d).withColumn("block", F.floor(F.col("trial_no") / 500))
+    ok = F.col("error").isNull()
+    metrics = [F.when(ok, F.col(c)).alias(c) for c in ("tokens_per_second", "memory_used_gb", "total_time_seconds")]
+    count = F.when(ok, F.col("tokens_generated")).alias("tokens_generated")
+    conf = [F.col(c) for c in ("tensor_parallel_size", "batch_size", "max_tokens", "trial_no")]
+    old = t.where("block % 2 = 0").groupBy("model", "block").agg(F.collect_list(F.struct(
+        *conf, F.when(ok, F.struct(*metrics, count)).alias("metrics"), "error")).alias("configurations"))
+    new = t.where("block % 2 = 1").groupBy("model", "block").agg(F.collect_list(F.struct(*conf, *metrics, count, "error")).alias("trials"))
+    path = derived_dir(spark, d, "profiles")
+    old.select("model", "block", F.to_json(F.struct(F.col("model").alias("model_name"), F.lit(1.7e9).alias("timestamp"), "configurations"), {"pretty": "true"})
+               .alias("value")).repartition("model", "block").write.partitionBy("model", "block").text(f"{path}/v1")
+    new.select(F.to_json(F.struct(F.lit(2).alias("version"), "model", "trials")).alias("value")).write.text(f"{path}/v2")
+    docs = PR.documents(spark, f"{path}/v1").union(PR.documents(spark, f"{path}/v2"))
+    PR_FIELDS = dict(PR.TRIAL_FIELDS, trial_no=("bigint", ("$.trial_no",)))
+    held = docs.select(PR.field("document", "string", PR.MODEL_PATHS).alias("model"), F.explode(PR.field("document", "array<variant>", PR.TRIAL_LISTS)).alias("_t"))
+    names = ["trial_no", "tensor_parallel_size", "batch_size", "max_tokens", "tokens_per_second", "tokens_generated", "error"]
+    return held.select("model", *[PR.field("_t", *PR_FIELDS[n]).alias(n) for n in names])
+
+
+@register("template_registry", with_views(["texts"], f"""
+SELECT doc_id, schema, CASE schema WHEN 'mbpp' THEN 'q_mbpp' WHEN 'humaneval' THEN 'q_humaneval' ELSE schema END AS template,
+       CASE WHEN schema IN ('mbpp', 'q_mbpp') THEN 'text,q_test_list' WHEN schema = 'generic' THEN 'prompt' ELSE 'prompt,entry_point' END AS fields
+FROM (SELECT doc_id, {_SCHEMA_SQL} AS schema FROM {_KEYS_SQL})"""))
+def q_template_registry(spark, d):
+    """The template, and the fields it reads, that the registry has for each key set's schema."""
+    k = _key_sets(spark, d)
+    found = k.select("doc_id", C.detect_schema(F.col("keys")).alias("schema")).join(PT.registry(spark), "schema", "left")
+    return found.select("doc_id", "schema", "template", F.array_join("fields", ",").alias("fields"))

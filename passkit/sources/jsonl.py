@@ -132,8 +132,8 @@ def required_fields_report(lines: DataFrame, required=REQUIRED_PROBLEM_FIELDS, v
     return counts.selectExpr(f"stack({len(required)}, {stack}) AS (field, present, null_rows)", "_rows AS rows")
 
 
-def summary_documents(summary: DataFrame, per_problem: DataFrame, keys=("model_name",)) -> DataFrame:
-    """One JSON document per group: summary scalars + its per-problem rows.
+def summary_documents(summary: DataFrame, per_problem: DataFrame, keys=("model_name",), indented: bool = False) -> DataFrame:
+    """One JSON document per group: summary scalars + its per-problem rows; on one line, or ``indented``.
 
     Per-problem rows are few per model (one per problem); raw results are
     not embedded -- they stay their own table.
@@ -142,7 +142,7 @@ def summary_documents(summary: DataFrame, per_problem: DataFrame, keys=("model_n
     pp = per_problem.groupBy(*keys).agg(F.collect_list(F.struct("task_id", "num_samples", "num_correct"))
                                         .alias("per_problem_results"))
     doc = summary.join(pp, on=keys, how="left")
-    return doc.select(*keys, F.to_json(F.struct(*[c for c in doc.columns])).alias("document"))
+    return doc.select(*keys, F.to_json(F.struct(*[c for c in doc.columns]), {"pretty": str(indented).lower()}).alias("document"))
 
 
 def write_summary(docs: DataFrame, path: str) -> None:
@@ -150,6 +150,11 @@ def write_summary(docs: DataFrame, path: str) -> None:
     docs.select("document").write.mode("overwrite").text(path)
 
 
+def write_summary_files(docs: DataFrame, path: str, keys=("model_name",)) -> None:
+    """One file per document (indented or not) under folders named by the keys, as ``read_summary`` reads them."""
+    docs.repartition(*keys).select(*keys, "document").write.mode("overwrite").partitionBy(*keys).text(path)
+
+
 def write_run(docs: DataFrame, results: DataFrame, path: str, keys=("model_name",)) -> None:
     """A run's summary documents under ``summary/`` and its result rows, JSON Lines by ``keys``, under ``results/``.
 

@@ -161,8 +161,8 @@ def unpacked(z: bytes | None) -> list[bytes]:
 
 
 def _by_document(rows: DataFrame, *cols: str) -> DataFrame:
-    """One row per document with its places; bounded by the document's own length."""
-    return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*cols)).alias("places")).withColumnsRenamed({"id": "_id", "th": "_th"})
+    """One row per document with its places, each once however many equal rows there are; bounded by the document's own length."""
+    return rows.groupBy("id", "th").agg(F.collect_set(F.struct(*cols)).alias("places")).withColumnsRenamed({"id": "_id", "th": "_th"})
 
 
 def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:

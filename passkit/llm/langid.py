@@ -190,7 +190,8 @@ def learn(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text
     """Model from the rows where ``usable`` holds; what reaches the driver is bounded by the sample's size per language."""
     rows = docs.filter(usable).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.filter("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # of different texts, so that a text which many rows repeat weighs once
+    counts = rows.select("lang", F.xxhash64("text").alias("th")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.withColumn("h", h).join(small(counts, 10_000), "lang").filter(F.col("h") * F.col("n") < SAMPLE_DOCS)
     got = sample.select("lang", "text", "h").dropDuplicates(["lang", "text"]).groupBy("lang").applyInPandas(

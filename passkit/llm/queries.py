@@ -92,10 +92,12 @@ per AS (SELECT DISTINCT doc_id, line, toks, n_tok, lead FROM lines WHERE n_tok >
 leaves AS (SELECT n_tok, lead FROM lines WHERE n_tok >= 5 GROUP BY n_tok, lead HAVING count(DISTINCT line) > 1 AND count(*) >= 3),
 held AS (SELECT line, toks, n_tok, lead, count(*) AS w FROM per JOIN leaves USING (n_tok, lead) GROUP BY ALL),
 tok AS (SELECT n_tok, lead, line, w, unnest(toks) AS tok, unnest(range(len(toks))) AS p FROM held),
-marked AS (SELECT *, sum(w) OVER (PARTITION BY n_tok, lead, p, tok) < 3 AS wild FROM tok),
-named AS (SELECT line, string_agg(CASE WHEN wild THEN '<*>' ELSE tok END, ' ' ORDER BY p) AS name, count(*) FILTER (WHERE wild) AS n_wild,
-            count(*) AS n FROM marked GROUP BY line, n_tok, lead),
-x AS (SELECT doc_id, line_no, coalesce(CASE WHEN n - n_wild >= 0.8 * n THEN name END, lines.line) AS t FROM lines LEFT JOIN named ON named.line = lines.line),
+marked AS (SELECT *, sum(w) OVER (PARTITION BY n_tok, lead, p, tok) AS docs FROM tok),
+parts AS (SELECT line, n_tok, lead, count(*) AS n, count(*) FILTER (WHERE docs >= 3) AS n_common,
+            list_sort(list(docs) FILTER (WHERE docs >= 3), 'DESC')[ceil(0.8::DOUBLE * count(*))::BIGINT] AS part FROM marked GROUP BY line, n_tok, lead),
+named AS (SELECT line, string_agg(CASE WHEN docs >= 3 AND docs >= 0.1::DOUBLE * part THEN tok ELSE '<*>' END, ' ' ORDER BY p) AS name
+          FROM marked JOIN parts USING (line, n_tok, lead) WHERE n_common >= 0.8::DOUBLE * n GROUP BY line, n_tok, lead),
+x AS (SELECT doc_id, line_no, coalesce(name, lines.line) AS t FROM lines LEFT JOIN named ON named.line = lines.line),
 known AS (SELECT t, min(doc_id) AS first FROM x GROUP BY t HAVING count(DISTINCT doc_id) >= 3),
 first AS (SELECT t, doc_id, min(line_no) AS line_no FROM x JOIN known USING (t) WHERE doc_id = first GROUP BY t, doc_id),
 gone AS (SELECT x.doc_id, x.line_no FROM x JOIN first f USING (t) WHERE x.doc_id <> f.doc_id OR x.line_no <> f.line_no)

@@ -41,8 +41,12 @@ WILD = "<*>"
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line that neither begins nor ends with a gap, with ``WILD`` for those with a digit."""
-    return F.split(F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", WILD)).otherwise(line), WORD_GAP)
+    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(
+        line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", WILD)).otherwise(line)
+    other = line.contains("  ")  # most lines have single spaces only, which are split without a pattern
+    for gap in GAP_CHARS[1:]:
+        other = other | line.contains(gap)
+    return F.when(other, F.split(plain, WORD_GAP)).otherwise(F.split(plain, " "))
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -48,11 +48,12 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-MEMO = 40_000     # segments in each of the memo's two generations
+MEMO = 80_000     # segments in each of the memo's two generations
 LONG = 64          # characters of the longest segment that is kept
-GROUP = 1 << 16    # characters composed at once
+GROUP = 1 << 17    # characters composed at once
 CHUNK = 1 << 20    # characters of the texts encoded at once
 NOTHING = -1
+JUDGED = 1 << 18   # verdicts on pairs that are kept
 VALUE_BITS = 24    # states, and twice the ranks, stay below 2 ** 24
 VALUES = (1 << VALUE_BITS) - 1
 
@@ -245,11 +246,12 @@ class Transducer:
         """Empty memos, and the table of letters; they never travel with the model."""
         self.code = np.zeros(0x110000, dtype=np.int32)
         self.code[self.letters] = np.arange(1, self.width)
+        self.judged = np.full(JUDGED, -3, dtype=np.int64)  # no pair's key
         self.segments = Memo(self.compose)
         self.words = Memo(lambda ws: self.compose([SPACE + w for w in ws]))  # by the word after a space
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("code", "segments", "words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("code", "judged", "segments", "words")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -284,7 +286,19 @@ class Transducer:
         return reached
 
     def accepts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the pieces ``right`` may follow the pieces ``left`` (``NOTHING``: a beginning, followed by any)."""
+        """Whether the pieces ``right`` may follow the pieces ``left``; a pair's last verdict stays in its slot."""
+        key = left * (self.none + 1) + right
+        slot = key * 0x9E3779B97F4A7C1 >> 20 & JUDGED - 1
+        got = self.judged[slot]
+        ok = got & 1 == 1
+        new = np.flatnonzero(got >> 1 != key)
+        if len(new):
+            ok[new] = self.judge(left[new], right[new])
+            self.judged[slot[new]] = key[new] << 1 | ok[new]
+        return ok
+
+    def judge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The acceptor itself (``NOTHING``: a beginning, followed by any)."""
         ok = np.ones(len(left), dtype=bool)
         at = np.flatnonzero(left != NOTHING)
         l, r = left[at], right[at]
@@ -301,9 +315,11 @@ class Transducer:
         return ok
 
     # -- composition and shortest path -------------------------------------------
-    def weigh(self, left: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """Weight of each arc behind the arc ``left``."""
-        return np.where(self.accepts(left, arc), 0.0, np.inf) if self.kind == BPE else self.weight[arc]
+    def weigh(self, left: np.ndarray | None, arc: np.ndarray) -> np.ndarray:
+        """Weight of each arc behind the arc ``left`` (none: at a beginning)."""
+        if self.kind == UNIGRAM:
+            return self.weight[arc]
+        return np.zeros(len(arc)) if left is None else np.where(self.accepts(left, arc), 0.0, np.inf)
 
     def arcs(self, code: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of every arc over the letters, none beyond ``until``; longer ones of a start later."""
@@ -340,7 +356,8 @@ class Transducer:
         crossed = np.cumsum(np.bincount(start[wide] + 1, minlength=len(cp) + 1) - np.bincount(end[wide], minlength=len(cp) + 1))
         first = np.flatnonzero(crossed[:-1] == 0)
         place = np.arange(len(cp)) - np.repeat(first, np.diff(np.append(first, len(cp))))
-        order = np.argsort(place[start], kind="stable")
+        turn = place[start]
+        order = np.argsort(turn.astype(np.uint16) if turn.max(initial=0) < 1 << 16 else turn, kind="stable")  # short keys are sorted by digits
         start, end, arc = start[order], end[order], arc[order]
         step = np.searchsorted(place[start], np.arange(int(place.max(initial=-1)) + 2))
         # relaxation; last, back and dist belong to a part's positions behind its first
@@ -348,7 +365,7 @@ class Transducer:
         last, back = np.full(len(cp) + 1, NOTHING), np.zeros(len(cp) + 1, dtype=np.int64)
         for k in range(len(step) - 1):
             s, e, x = (v[step[k]:step[k + 1]] for v in (start, end, arc))
-            cost = dist[s] + self.weigh(last[s], x) if k else self.weigh(np.full(len(s), NOTHING), x)
+            cost = dist[s] + self.weigh(last[s], x) if k else self.weigh(None, x)
             better = cost < dist[e]
             to = e[better]  # no place comes twice: a part's arcs of one start end at different places
             dist[to], last[to], back[to] = cost[better], x[better], s[better]

@@ -51,9 +51,10 @@ def execute_solutions(solutions: DataFrame, problems: DataFrame,
     """One result per solution: guarded rows fail with their message, the rest are
     extracted and tested. No row is dropped; scans and joins happen once.
 
-    Tested by ``runner`` (a plug-in over batches), or by ``verdicts``: a
-    table of ``verdict_keys`` and ``passed``, such as ``evaluate.check_answers``
-    gives for recorded answers; a solution without a verdict fails.
+    Tested by ``runner`` (a plug-in over batches), or by ``verdicts``: the
+    recorded runs, a table of ``verdict_keys`` (one row for each solution that was run), ``passed``
+    and, where known, the runner's ``info``. A solution without a recorded run fails and says so.
+    Only keys and guard results meet the verdicts; no code is shuffled.
 
     ``problems`` needs task_id, entry_point, tests and (optionally)
     test_setup_code; duplicates of a task_id should be resolved first with
@@ -66,17 +67,24 @@ def execute_solutions(solutions: DataFrame, problems: DataFrame,
     j = E.attach_problem(solutions, probs, salt_buckets=salt_buckets)
     j = j.withColumn("error", E.guard_error(F.col("task_id"), F.col("has_problem"), F.col("entry_point"),
                                            F.col("completion")))
+    # guarded rows are not run, so nothing is cut out of their text
+    j = j.withColumn("completion", F.when(F.col("error").isNull(), F.col("completion")))
     coded = with_solution_code(j, "completion", "entry_point")
     coded = coded.withColumn("sample_index", F.col("sample_index").cast("bigint"))
     if verdicts is None:
         return G.evaluate(coded, runner)
-    v = verdicts.select(*verdict_keys, F.col("passed").alias("_passed"))
-    out = coded.join(v, on=list(verdict_keys), how="left").withColumn(
-        "error", F.coalesce("error", F.when(py_strip(F.coalesce("code", F.lit(""))) == "", F.lit("Empty code"))))
-    ok = F.col("error").isNull() & F.coalesce("_passed", F.lit(False))
+    blank = py_strip(F.coalesce("code", F.lit(""))) == ""
+    keys = list(verdict_keys)
+    ran = coded.select(*dict.fromkeys(["task_id", "sample_index", "model_name", *keys]),
+                       F.coalesce("error", F.when(blank, F.lit("Empty code"))).alias("error"))
+    told = F.col("info").cast("string") if "info" in verdicts.columns else F.lit(None).cast("string")
+    out = ran.join(verdicts.select(*keys, F.col("passed").alias("_passed"), told.alias("_info")), on=keys, how="left")
+    runnable = F.col("error").isNull()
+    ok = runnable & F.coalesce("_passed", F.lit(False))
+    why = F.coalesce("_info", F.when(F.col("_passed").isNull(), F.lit(E.FAILED_PREFIX + "no recorded run")).otherwise(
+        F.lit(E.FAILED_PREFIX + "Test assertion failed: an answer differs")))
     return out.select("task_id", "sample_index", "model_name", ok.alias("passed"),
-                      F.when(ok, F.lit(E.PASSED)).when(F.col("error").isNull(), F.lit(
-                          E.FAILED_PREFIX + "Test assertion failed: an answer differs")).alias("info"), "error")
+                      F.when(ok, F.lit(E.PASSED)).when(runnable, why).alias("info"), "error")
 
 
 def score_results(results: DataFrame, by: Sequence[str] = ("model_name",), max_workers: int = 1

@@ -121,7 +121,11 @@ def q_benchmark_report(spark, d):
     best = P.best_batch_size(tp, ["model"], extra=[F.count(F.lit(1)).alias("batches")])
     used = V.trials(spark, d).groupBy("model").agg(
         F.round(F.max(mem["peak_memory_mb"]), 6).alias("peak_memory_mb"), F.round(F.avg(mem["memory_increase_mb"]), 6).alias("mean_memory_increase_mb"))
-    out = lat.select("model", F.col("mean").alias("latency_mean"), F.col("p95").alias("latency_p95")).join(best, "model", "full").join(used, "model", "full")
+    # one row per model and summary, folded into one per model: no join, and a NULL model stays one row
+    parts = lat.select("model", F.col("mean").alias("latency_mean"), F.col("p95").alias("latency_p95"))
+    for more in (best, used):
+        parts = parts.unionByName(more, allowMissingColumns=True)
+    out = parts.groupBy("model").agg(*[F.max(c).alias(c) for c in parts.columns if c != "model"])
     return _rounded(out, ["latency_mean", "latency_p95", "peak_tokens_per_sec"])
 
 

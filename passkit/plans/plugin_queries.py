@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from passkit.functions.text import sql_strip
 from passkit.operators import plugins as G
-from passkit.operators import requests as Q
 from passkit.operators import scoring as S
 from passkit.plans import views as V
-from passkit.plans.oracle_views import VIEWS, with_views
+from passkit.plans.oracle_views import _DEPS, VIEWS, with_views
 from passkit.plans.registry import register
+from passkit.plans.request_queries import ANSWERED_CTES, ANSWERED_SQL, asked_and_answered
 from passkit.sources.tables import table
 
 VIEWS["rich_tests"] = """
@@ -43,17 +43,14 @@ def rich_tests(spark, d):
     return b.select(iid.alias("task_id"), tests.alias("tests"))
 
 
-@register("generate_plugin", with_views(["problems"], """
-SELECT r.task_id, CAST(r.s AS INTEGER) AS sample_index, 'replay' AS model_name, coalesce(x.text, '') AS completion
-FROM (SELECT task_id, s FROM problems, range(0, 4) t(s)) r
-LEFT JOIN conversations x ON x.role = 'assistant' AND CAST(x.conv_id AS VARCHAR) = r.task_id AND x.turn = 2 * r.s + 1"""))
+@register("generate_plugin", with_views(["problems"], f"""
+SELECT task_id, CAST(s AS INTEGER) AS sample_index, 'replay' AS model_name, coalesce(completion, '') AS completion FROM {ANSWERED_SQL}""",
+                                        ANSWERED_CTES))
 def q_generate_plugin(spark, d):
-    """Four samples per problem, replayed from the recorded answers of the conversation with its id; '' where it has none."""
-    req = Q.expand_samples(V.problems(spark, d).select("task_id"), 4).withColumn("model_name", F.lit("replay"))
-    told = table(spark, d, "conversations").where(F.col("role") == "assistant").select(
-        F.col("conv_id").cast("string").alias("task_id"), ((F.col("turn") - 1) / 2).alias("sample_index"), F.col("text").alias("recorded"))
-    req = req.withColumn("sample_index", F.col("sample_index").cast("int"))
-    return G.generate(req.join(told, ["task_id", "sample_index"], "left"), G.replay_generator)
+    """Every recorded answer is replayed as the sample of its request (``pad_failures`` says which); requests without one get ''."""
+    requests, told = asked_and_answered(spark, d)
+    req = requests.join(told.withColumnRenamed("completion", "recorded"), ["_item", "sample_index"], "left").drop("_item")
+    return G.generate(req.withColumn("model_name", F.lit("replay")), G.replay_generator)
 
 
 @register("loosen_equality", with_views(["rich_tests"], """
@@ -106,18 +103,33 @@ def q_assertion_inventory_exact(spark, d):
     return t.groupBy("kind", "function").agg(F.count(F.lit(1)).alias("asserts"))
 
 
-def evaluated(spark, d):
-    """Solutions -> problems -> guards -> extraction -> answers: one result row per solution.
+VIEWS["recorded_runs"] = """
+  SELECT model_name, task_id, sample_index, text LIKE '%' || chr(10) || '%' AS passed, NULL::VARCHAR AS info
+  FROM completions JOIN (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') USING (conv_id, turn)
+  UNION ALL
+  SELECT 'm1', CAST(user_id AS VARCHAR), CAST(event_id AS BIGINT), event_type = 'purchase',
+         CASE WHEN event_type <> 'purchase' THEN 'failed: ' || event_type END
+  FROM events WHERE value IS NOT NULL"""
+_DEPS["recorded_runs"] = ["completions"]
+
+
+def recorded_runs(spark, d):
+    """One recorded run of each solution, keyed like the solution itself: an answer's run passed if
+    the answer has several lines (m0, without a message), an event's if it is a purchase (m1)."""
+    told = V.completions(spark, d, with_text=True).select("model_name", "task_id", "sample_index", F.col("text").contains("\n").alias("passed"),
+                                                         F.lit(None).cast("string").alias("info"))
+    bought = F.col("event_type") == "purchase"
+    e = table(spark, d, "events").where(F.col("value").isNotNull()).select(
+        F.lit("m1").alias("model_name"), F.col("user_id").cast("string").alias("task_id"), F.col("event_id").cast("bigint").alias("sample_index"),
+        bought.alias("passed"), F.when(~bought, F.concat(F.lit("failed: "), F.col("event_type"))).alias("info"))
+    return told.unionByName(e)
 
-    The table has no recorded runs of these solutions, so a solution is
-    given one of the answer sheets of ``check_answers``: the label and the
-    sheet that its sample number names.
-    """
+
+def evaluated(spark, d):
+    """Solutions -> problems -> guards -> extraction -> recorded runs: one result row per solution."""
     from passkit.operators.harness import execute_solutions
-    from passkit.plans.evaluation_queries import problems_g, q_check_answers, solutions
-    sheets = q_check_answers(spark, d).select(F.col("task_id").alias("label"), F.col("sample_index").alias("sheet"), "passed")
-    sol = solutions(spark, d).withColumns({"label": (F.col("sample_index") % 10).cast("string"), "sheet": (F.col("sample_index") % 4).cast("int")})
-    return execute_solutions(sol, problems_g(spark, d), verdicts=sheets, verdict_keys=["label", "sheet"])
+    from passkit.plans.evaluation_queries import problems_g, solutions
+    return execute_solutions(solutions(spark, d), problems_g(spark, d), verdicts=recorded_runs(spark, d))
 
 
 _GUARD_SQL = f"""CASE WHEN p.task_id IS NULL THEN 'No problem data found for ' || s.task_id
@@ -126,7 +138,6 @@ _GUARD_SQL = f"""CASE WHEN p.task_id IS NULL THEN 'No problem data found for ' |
 
 
 def _evaluated_sql(select: str) -> str:
-    from passkit.plans.evaluation_queries import SHEET_CTES, SHEETS_SQL
     from passkit.plans.extraction_queries import extraction_ctes
     src = f"""src AS (SELECT s.model_name, s.task_id, s.sample_index, s.completion AS t, p.entry_point AS name
          FROM solutions s JOIN problems_g p ON s.task_id = p.task_id
@@ -137,15 +148,16 @@ def _evaluated_sql(select: str) -> str:
   FROM src LEFT JOIN fb_fn fb USING (model_name, task_id, sample_index)
   LEFT JOIN ft_fn ft USING (model_name, task_id, sample_index))"""
     results = f"""evaluated AS (
-  SELECT task_id, sample_index, model_name, error IS NULL AND ok AS passed,
-         CASE WHEN error IS NULL THEN CASE WHEN ok THEN 'passed' ELSE 'failed: Test assertion failed: an answer differs' END END AS info, error
-  FROM (SELECT s.task_id, CAST(s.sample_index AS BIGINT) AS sample_index, s.model_name, coalesce(v.passed, false) AS ok,
+  SELECT task_id, sample_index, model_name, error IS NULL AND coalesce(ran, false) AS passed,
+         CASE WHEN error IS NOT NULL THEN NULL WHEN ran THEN 'passed' WHEN ran IS NULL THEN coalesce(told, 'failed: no recorded run')
+              ELSE coalesce(told, 'failed: Test assertion failed: an answer differs') END AS info, error
+  FROM (SELECT s.task_id, CAST(s.sample_index AS BIGINT) AS sample_index, s.model_name, v.passed AS ran, v.info AS told,
                coalesce({_GUARD_SQL}, CASE WHEN c.code = '' THEN 'Empty code' END) AS error
         FROM solutions s LEFT JOIN problems_g p ON s.task_id = p.task_id
         LEFT JOIN code c ON s.model_name = c.model_name AND s.task_id = c.task_id AND s.sample_index = c.sample_index
-        LEFT JOIN sheets v ON v.task_id = CAST(s.sample_index % 10 AS VARCHAR) AND v.sample_index = s.sample_index % 4))"""
-    return with_views(["solutions", "problems_g", "completions", "problems", "answers"], select,
-                      (*SHEET_CTES, f"sheets AS ({SHEETS_SQL})") + extraction_ctes(src) + (code, results))
+        LEFT JOIN recorded_runs v ON v.model_name = s.model_name AND v.task_id = s.task_id AND v.sample_index = s.sample_index))"""
+    return with_views(["completions", "solutions", "problems", "problems_g", "recorded_runs"], select,
+                      extraction_ctes(src) + (code, results))
 
 
 @register("evaluate_plugin", _evaluated_sql("SELECT * FROM evaluated"))

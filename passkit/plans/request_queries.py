@@ -245,28 +245,44 @@ def q_flatten_completions(spark, d):
     return Q.flatten_completions(n, "cs", "m0").drop("generated_at")
 
 
-@register("pad_failures", with_views(["problems"], """
-SELECT r.task_id, CAST(r.s AS INTEGER) AS sample_index, coalesce(x.completion, '') AS completion, x.completion IS NULL AS failed
-FROM (SELECT p.task_id, p.item, unnest(range(greatest(coalesce(a.n, 0), 3)::BIGINT)) AS s
-      FROM numbered p LEFT JOIN (SELECT item, greatest(count_if(role = 'user'), count_if(role = 'assistant')) AS n FROM told GROUP BY item) a USING (item)) r
-LEFT JOIN (SELECT item, text AS completion, row_number() OVER (PARTITION BY item ORDER BY conv_id, turn, text) - 1 AS s
-           FROM told WHERE role = 'assistant') x ON r.item = x.item AND r.s = x.s""", (
+ANSWERED_CTES = (
     "numbered AS (SELECT task_id, row_number() OVER (ORDER BY item_id) - 1 AS item FROM problems)",
-    "told AS (SELECT *, conv_id % (SELECT count(*) FROM problems) AS item FROM conversations WHERE role IN ('assistant', 'user'))")))
-def q_pad_failures(spark, d):
-    """Every answer is the response to a request: a conversation is of problem conv_id modulo their number, and
+    "told AS (SELECT *, conv_id % (SELECT count(*) FROM problems) AS item FROM conversations WHERE role IN ('assistant', 'user'))")
+ANSWERED_SQL = """
+(SELECT r.task_id, r.s, x.completion
+ FROM (SELECT p.task_id, p.item, unnest(range(greatest(coalesce(a.n, 0), 3)::BIGINT)) AS s
+       FROM numbered p LEFT JOIN (SELECT item, greatest(count_if(role = 'user'), count_if(role = 'assistant')) AS n FROM told GROUP BY item) a USING (item)) r
+ LEFT JOIN (SELECT item, text AS completion, row_number() OVER (PARTITION BY item ORDER BY conv_id, turn, text) - 1 AS s
+            FROM told WHERE role = 'assistant') x ON r.item = x.item AND r.s = x.s)"""
+
+
+def asked_and_answered(spark, d):
+    """(requests, answers) with the keys ``_item`` and ``sample_index``.
+
+    Every answer is the response to a request: a conversation is of problem conv_id modulo their number, and
     its answers follow those of earlier conversations of that problem. A problem has a request for each of its
-    user turns or answers, whichever are more, and three at least; requests nobody answered get ''."""
+    user turns or answers, whichever are more, and three at least. The two numbers
+    that this needs of the tables are scalar subqueries of the plan.
+    """
     p = V.problems(spark, d).select("task_id", "item_id")
     c = table(spark, d, "conversations").where(F.col("role").isin("assistant", "user"))
-    known = c.agg(F.max("turn")).first()[0] or 0
-    c = c.withColumn("_item", F.pmod(F.col("conv_id"), F.lit(max(p.count(), 1))))
+    n_items = p.select(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    turns = c.select(F.coalesce(F.max("turn"), F.lit(0)) + 1).scalar()
+    c = c.withColumn("_item", F.pmod(F.col("conv_id"), n_items))
     asked = c.groupBy("_item").agg(F.greatest(F.count_if(F.col("role") == "user"), F.count_if(F.col("role") == "assistant")).alias("_n"))
     req = row_index(p, [], ["item_id"], "_item").join(asked, "_item", "left")
     req = Q.expand_samples(req, F.greatest(F.coalesce("_n", F.lit(0)), F.lit(3)).cast("int")).select("task_id", "_item", "sample_index")
     # place over conversations and turns as one number, so that a long conversation is cut into blocks
-    answers = c.where(F.col("role") == "assistant").withColumn("_at", F.col("conv_id") * (known + 1) + F.col("turn"))
-    resp = row_index(answers, ["_item"], ["_at", "text"], "sample_index", width=1024).withColumn(
-        "sample_index", F.col("sample_index").cast("int")).withColumnRenamed("text", "completion")
-    out = Q.pad_failures(req, resp, ["_item", "sample_index"])
-    return out.select("task_id", "sample_index", "completion", "failed")
+    answers = c.where(F.col("role") == "assistant").withColumn("_at", F.col("conv_id") * turns + F.col("turn"))
+    told = row_index(answers, ["_item"], ["_at", "text"], "sample_index", width=1024).select(
+        "_item", F.col("sample_index").cast("int").alias("sample_index"), F.col("text").alias("completion"))
+    return req.withColumn("sample_index", F.col("sample_index").cast("int")), told
+
+
+@register("pad_failures", with_views(["problems"], f"""
+SELECT task_id, CAST(s AS INTEGER) AS sample_index, coalesce(completion, '') AS completion, completion IS NULL AS failed FROM {ANSWERED_SQL}""",
+                                     ANSWERED_CTES))
+def q_pad_failures(spark, d):
+    """Every request of ``asked_and_answered`` with its answer; requests nobody answered get ''."""
+    requests, told = asked_and_answered(spark, d)
+    return Q.pad_failures(requests, told, ["_item", "sample_index"]).select("task_id", "sample_index", "completion", "failed")

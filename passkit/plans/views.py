@@ -124,8 +124,8 @@ def attempt_counts(spark: SparkSession, d: str) -> DataFrame:
             .agg(F.sum("n").alias("num_samples"), F.sum("c").alias("num_correct")))
 
 
-def completions(spark: SparkSession, d: str) -> DataFrame:
-    """V4: assistant turns wrapped into four completion shapes by turn % 4."""
+def completions(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
+    """V4: assistant turns wrapped into four completion shapes by turn % 4 (``with_text``: beside the turn's own text)."""
     c = table(spark, d, "conversations").where(F.col("role") == "assistant")
     task = _s(F.col("conv_id") % N_TASKS_COMPLETIONS)
     name = F.concat(F.lit("f"), task)
@@ -144,7 +144,7 @@ def completions(spark: SparkSession, d: str) -> DataFrame:
         ((F.col("conv_id") / N_TASKS_COMPLETIONS).cast("bigint") * 1000 + F.col("turn")).cast("bigint").alias("sample_index"),
         F.lit("m0").alias("model_name"),
         completion.alias("completion"),
-        F.col("conv_id"), F.col("turn"))
+        F.col("conv_id"), F.col("turn"), *([text] if with_text else []))
 
 
 def measurements(spark: SparkSession, d: str) -> DataFrame:

@@ -53,3 +53,28 @@ def test_unrendered_problems_are_reported(spark):
     rows = generate_solutions(problems, "m", 2, generator=lambda b: b[["task_id", "sample_index", "model_name"]].assign(completion="c")).collect()
     assert sorted((r.task_id, r.sample_index, r.completion, r.error is None) for r in rows) == [
         ("a", 0, "c", True), ("a", 1, "c", True), ("b", 0, "", False), ("b", 1, "", False)]
+
+
+def test_recorded_runs_decide_and_missing_ones_fail(spark):
+    """Verdicts belong to the solution itself: (task, sample, model); guarded rows keep their guard's message."""
+    from passkit.operators.harness import execute_solutions
+    problems = spark.createDataFrame([("t1", "f", "x"), ("t2", "", "x")], "task_id string, entry_point string, tests string")
+    solutions = spark.createDataFrame(
+        [("t1", 0, "m", "f:{x+1}"), ("t1", 1, "m", "f:{x+2}"), ("t1", 2, "m", "f:{x+3}"), ("t1", 3, "m", " "), ("t1", 4, "m", None),
+         ("t2", 0, "m", "f:{x}"), ("t9", 0, "m", "f:{x}"), ("t1", 0, "other", "f:{x}")],
+        "task_id string, sample_index int, model_name string, completion string")
+    runs = spark.createDataFrame(
+        [("t1", 0, "m", True, None), ("t1", 1, "m", False, "timed out"), ("t1", 3, "m", True, None), ("t1", 0, "other", False, None),
+         ("t2", 0, "m", True, None), ("t9", 0, "m", True, None)],
+        "task_id string, sample_index int, model_name string, passed boolean, info string")
+    got = {(r["task_id"], r["sample_index"], r["model_name"]): (r["passed"], r["info"], r["error"])
+           for r in execute_solutions(solutions, problems, verdicts=runs).collect()}
+    assert got == {
+        ("t1", 0, "m"): (True, "passed", None),
+        ("t1", 1, "m"): (False, "timed out", None),
+        ("t1", 2, "m"): (False, "failed: no recorded run", None),
+        ("t1", 3, "m"): (False, None, "Empty code"),
+        ("t1", 4, "m"): (False, None, "Empty code"),
+        ("t2", 0, "m"): (False, None, "Missing entry_point for t2"),
+        ("t9", 0, "m"): (False, None, "No problem data found for t9"),
+        ("t1", 0, "other"): (False, "failed: Test assertion failed: an answer differs", None)}

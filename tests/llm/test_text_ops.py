@@ -243,6 +243,48 @@ def test_wand_equals_plain_bm25(spark, make_docs, monkeypatch):
     assert {r["doc_id"] for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_pivots_and_bounds_of_blocks(monkeypatch):
+    """Against the impacts themselves: every block's bound, and every item that reaches its threshold."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)] + ["the", "of"] * 60
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(3, 25)))) for i in range(60)]
+    df = decontaminate.Counter(w for _, t in rows for w in set(t.split()))
+    index = decontaminate.build_index(rows, df, len(rows), 12.0, 0.3)
+    shard, = index.shards
+    impact = np.zeros((len(rows), len(shard.terms)))
+    impact[shard.item, np.repeat(np.arange(len(shard.terms)), np.diff(shard.ptr))] = shard.impact
+    dense, row, _ = shard.maxima
+    assert 0 < len(dense) - 1 < len(shard.terms)  # both kinds of rows
+    found = 0
+    for _ in range(200):
+        term = np.array(sorted(rng.sample(range(len(shard.terms)), rng.randrange(1, 60))))
+        edge = np.array([0, len(term)])
+        upper = shard.bounds(term, edge)[0]
+        score = impact[:, term].sum(axis=1)
+        n = len(shard.least)
+        got = {(int(p), int(i)): x for ps, ks, xs in shard.pivots(np.repeat(np.arange(n), len(term)), np.tile(term, n), np.arange(n))
+               for p, i, x in zip(ps, ks, xs)}
+        assert got == pytest.approx({(k // 2, k): score[k] for k in range(len(rows)) if score[k] >= shard.theta[k]})
+        found += len(got)
+        for b in range(n):
+            own = impact[2 * b:2 * b + 2, term]
+            assert upper[b] == pytest.approx(own.max(axis=0).sum(), rel=1e-5, abs=1e-6)
+    assert found > 100
+
+
+def test_index_is_a_few_bytes_a_word():
+    import pickle
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 11))) for _ in range(20_000)]
+    rows = [(i, " ".join(words[int(20_000 * rng.random() ** 3)] for _ in range(40))) for i in range(3_000)]
+    df = decontaminate.Counter(w for _, t in rows for w in set(t.split()))
+    index = decontaminate.build_index(rows, df, len(rows), 40.0, 0.6)
+    assert len(pickle.dumps(index)) <= 4 * sum(len(t) for _, t in rows)
+    for shard in index.shards:
+        assert shard.maxima[0].size <= 8 * len(shard.item) + len(shard.least)
+
+
 def test_decontamination_odd_rows(spark, make_docs):
     items = spark.createDataFrame([(1, "what is the colour of the early morning sky. deep blue."), (2, None), (3, ""), (None, "alpha beta"), (1, "alpha beta")],
                                   "item_id bigint, text string")

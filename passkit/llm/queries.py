@@ -77,7 +77,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 @query("op4_sentencepiece_wfst")
 def op4_sentencepiece_wfst(spark, sf_dir, model_path=TOKENIZER):
     model = sentencepiece_wfst.compile_model(model_path)
-    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(documents(spark, sf_dir), model), model)
+    rows = sentencepiece_wfst.encode(documents(spark, sf_dir), model, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                        (F.replace("text", F.lit(sentencepiece_wfst.SPACE), F.lit(" ")) == F.col("decoded")).alias("lossless"))
 

@@ -89,6 +89,8 @@ def test_unigram_shortest_path_is_the_cheapest_of_all():
 def test_encode_decode_tables(spark, make_docs, bpe, texts001):
     docs = make_docs([*ODD, (6, "tab\tand  two spaces ")])
     rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, bpe), bpe)
+    at_once = sentencepiece_wfst.encode(docs, bpe, decoded="decoded")
+    assert at_once.columns == rows.columns and sorted(map(str, at_once.collect())) == sorted(map(str, rows.collect()))
     got = sorted(((r["doc_id"], r["text"], r["decoded"], r["ids"] is None) for r in rows.collect()), key=str)
     assert got == sorted([(i, t, t, t is None) for i, t in [*ODD, (6, "tab\tand  two spaces ")]], key=str)
     assert sentencepiece_wfst.encode(make_docs([]), bpe).count() == 0

@@ -48,7 +48,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of every document, and whether decoding gives its text back."""
     ship(spark)
     model = sentencepiece_wfst.compile_model(TOKENIZER)
-    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, model), model)
+    rows = sentencepiece_wfst.encode(docs, model, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                        (F.replace("text", F.lit(sentencepiece_wfst.SPACE), F.lit(" ")) == F.col("decoded")).alias("lossless"))
 

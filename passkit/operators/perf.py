@@ -92,13 +92,19 @@ def config_grid(models: DataFrame, tp_sizes: Sequence[int], max_tokens: Sequence
 def cycle_prompts(batches: DataFrame, prompts: DataFrame, size: str) -> DataFrame:
     """Each batch of ``size`` takes prompts[i % n] for i in 0..size-1 (repeat, then cut).
 
-    ``prompts`` carries a 0-based ``prompt_pos``; slots are generated per
-    batch and joined to the prompts on ``pmod(slot, n)`` (an equi-join).
+    ``prompts`` carries a 0-based ``prompt_pos`` (0 to n-1, each once) and is written to the
+    shared folder once; slots are generated per batch and joined to the
+    prompts that any batch reaches on ``pmod(slot, n)``. Spark takes the slots for as small as
+    the batches they are made of; the join is a left one (every slot has a prompt), so
+    that it can broadcast the prompts, if they are small, but never the slots.
     """
+    prompts = materialize(prompts, "prompts")
     n_prompts = prompts.select(F.count(F.lit(1))).scalar()  # scalar subquery, no driver round trip
-    slots = batches.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col(size) - 1)))
+    most = F.max(F.when(F.col(size) < 1, F.lit(1 << 62)).otherwise(F.col(size)))  # slots below 0 wrap to the last prompts
+    reached = prompts.where(F.col("prompt_pos") < batches.select(most).scalar())
+    slots = batches.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col(size) - 1))).where(n_prompts > 0)
     slots = slots.withColumn("prompt_pos", F.pmod(F.col("slot"), n_prompts))
-    return slots.join(prompts, on="prompt_pos")
+    return slots.join(reached, on="prompt_pos", how="left")
 
 
 def trial_metrics(trials: DataFrame) -> DataFrame:

@@ -103,6 +103,16 @@ def test_null_keys_and_orders_keep_every_row(spark):
     assert pct == {"a": 1.5, None: 4.0, "b": None} or pct == {"a": 1.5, None: 4.0}
 
 
+def test_cycled_slots_are_not_broadcast(spark, tmp_path):
+    """The batches' file is small, their slots need not be: only the prompts may be broadcast."""
+    spark.range(1, 9).select(F.col("id").alias("b"), F.col("id").cast("int").alias("size")).write.parquet(str(tmp_path / "b"))
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(3)], "prompt_pos long, task_id string")
+    out = P.cycle_prompts(spark.read.parquet(str(tmp_path / "b")), prompts, "size")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    assert sorted((r.b, r.slot, r.task_id) for r in out.collect()) == [(b, i, f"p{i % 3}") for b in range(1, 9) for i in range(b)]
+
+
 def test_latency_stats_approx_close_to_exact(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([("m", float(v)) for v in rng.exponential(10, 5000)], "model string, latency double")

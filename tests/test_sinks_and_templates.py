@@ -127,6 +127,24 @@ def _files(path, batches):
     return path
 
 
+@pytest.mark.parametrize("name", ["stream_tally"])
+def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch, name):
+    import os
+    from passkit.plans import streaming_queries as SQ
+    from passkit.streaming import live as L
+    spark.range(400, numPartitions=1).select(
+        F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.when(F.col("id") % 3 == 0, "purchase").otherwise("view").alias("event_type"),
+        F.lit(1.0).alias("value"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id)").alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    write = SQ._write_result_files
+    monkeypatch.setattr(SQ, "_write_result_files", lambda s, d, run, copies=1: write(s, d, run, copies, rows_per_file=4))
+    monkeypatch.setattr(L, "new_run_dir", lambda s, kind: str(tmp_path / kind))
+    rows = getattr(SQ, f"q_{name}")(spark, str(tmp_path)).count()
+    assert rows == (7 if name == "stream_tally" else 400)
+    run = tmp_path / name.removeprefix("stream_").removeprefix("committed_")
+    assert len(list((run / "in").glob("*.json"))) >= 100
+    assert 1 < len([x for x in os.listdir(run / "checkpoint" / "commits") if x.isdigit()]) <= 9  # and one without rows
+
+
 def test_idle_keys_leave_the_state_and_come_back(spark, tmp_path):
     from passkit.plans.streaming_queries import RESULTS_STREAM_SCHEMA
     from passkit.streaming import live as L

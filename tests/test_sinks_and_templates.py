@@ -127,7 +127,7 @@ def _files(path, batches):
     return path
 
 
-@pytest.mark.parametrize("name", ["stream_tally", "stream_dedup"])
+@pytest.mark.parametrize("name", ["stream_tally", "stream_dedup", "stream_committed_sink"])
 def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch, name):
     import os
     from passkit.plans import streaming_queries as SQ
